@@ -7,19 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid, quality
+from .common import split_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, learn=split_of("doc_id", 4) != 2)
+    out = docs.select("doc_id", (split_of("doc_id", 4) == 2).alias("held_out"), quality.quality_score(docs, model, "text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn=split_of("doc_id", 3) != 1)
+    found = docs.select("doc_id", (split_of("doc_id", 3) == 1).alias("held_out"), langid.language(docs, model, "text").alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op3_language": op3_language,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
