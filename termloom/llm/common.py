@@ -56,6 +56,15 @@ def split_of(id_col: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def hash_sample(df: DataFrame, id_col: str | None, bound: int) -> DataFrame:
+    """About bound rows of df, the same ones each time: those whose hash (of the id, or of the whole row) is small enough.
+    Rows without an id are left out. All rows, if there are no more than bound."""
+    rows = df.where(F.col(id_col).isNotNull()) if id_col else df
+    n = rows.count()
+    h = F.xxhash64(*([id_col] if id_col else [F.col(f"`{c}`") for c in df.columns]))
+    return rows if n <= bound else rows.where(F.pmod(h, F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+
+
 def map_batches(df: DataFrame, of: Callable[[list], Iterable[tuple]], schema: str) -> DataFrame:
     """Runs of() over slices of the rows (a list of columns as Python lists) inside tasks; it yields output rows.
 

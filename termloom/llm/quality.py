@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader updates.
 
 A text's features are its words and punctuation runs and their pairs, hashed to 2**bits buckets; a feature's value is its count
-over the root of the number of features. Training takes a bounded sample of labelled rows (max_rows, the smallest
-hashes of their ids); scoring is one sparse dot product a text, over whole texts.
+over the root of the number of features. Training takes a bounded sample of labelled rows (about max_rows,
+chosen by the hash of their ids); scoring is one sparse dot product a text, over whole texts.
 
 Null texts count as empty; an empty text's score is that of the bias alone. Labels other than 0 and 1 are not learned
 from. Without any label every score is 0.5. Rows with equal texts get equal scores.
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import hash_sample, map_batches
 
 BITS, MAX_ROWS, EPOCHS = 18, 6_000, 3
 REMEMBERED = 300_000
@@ -88,14 +88,14 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, *, epochs: i
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, max_rows: int = MAX_ROWS, bits: int = BITS) -> Model:
-    """Learns from at most max_rows labelled rows (those of the smallest hashed ids) of the documents that learn allows.
+    """Learns from about max_rows labelled rows (chosen by the hash of their ids) of the documents that learn allows.
 
-    learn is a condition on the labels' id column. The sample's ids and labels are at most max_rows rows, so they are
+    learn is a condition on the labels' id column. The sample's ids and labels are about max_rows rows, so they are
     broadcast; its features are made on the executors.
     """
     some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     some = some.where(learn) if learn is not None else some
-    some = some.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
+    some = hash_sample(some.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")), "id", max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
 
     def count(columns: list) -> Iterator[tuple]:
