@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secrets
+from . import bpe, langid, mixing, quality, secrets, urls, warc
 from .common import split_of
 
 
@@ -29,6 +29,18 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+#: Hosts with paths and what they are: the rules that the query fixes.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", secrets.secret_spans(docs, secrets.train(docs), "text").alias("found"))
@@ -43,11 +55,58 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_language": op3_language,
+    "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
+    "op6_urls": op6_urls,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+MIXING_SQL = """
+WITH RECURSIVE docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS tokens FROM documents),
+per AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM docs GROUP BY source),
+one AS (SELECT list(CAST(tokens AS DOUBLE) ORDER BY tokens, source) FILTER (WHERE tokens > 0) AS ts, CAST(sum(tokens) AS DOUBLE) AS total FROM per),
+bis(step, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN good THEN lo ELSE mid END, CASE WHEN good THEN mid ELSE hi END
+  FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid,
+          list_max(list_transform(ts, lambda x: pow(x / total, (lo + hi) / 2) / x)) * total <= list_sum(list_transform(ts, lambda x: pow(x / total, (lo + hi) / 2))) * 2.0 AS good
+        FROM bis, one WHERE step < 40)),
+ex AS (SELECT CASE WHEN list_max(list_transform(ts, lambda x: 1.0 / x)) * total <= len(ts) * 2.0 THEN CAST(0 AS DOUBLE) ELSE round(hi, 9) END AS e, total, list_sum(list_transform(ts, lambda x: pow(x / total, CASE WHEN list_max(list_transform(ts, lambda x: 1.0 / x)) * total <= len(ts) * 2.0 THEN CAST(0 AS DOUBLE) ELSE round(hi, 9) END))) AS norm FROM bis, one WHERE step = 40),
+w AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN round(pow(tokens / total, e) / norm, 9) ELSE 0.0 END AS weight, total FROM per, ex),
+b AS (SELECT source, tokens, weight, CAST(floor(weight * total) AS BIGINT) AS budget, CAST(ceil(sqrt(tokens / 100)) AS BIGINT) AS blocks FROM w),
+s AS (SELECT source, weight, blocks, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM b),
+d AS (SELECT doc_id, d.source, d.tokens, weight, passes, rest, CAST('0x' || substr(md5('1:' || doc_id), 1, 8) AS BIGINT) % greatest(blocks, 1) AS block FROM docs d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+k AS (SELECT source, block, sum(tokens) AS size, any_value(rest) AS rest, any_value(passes) AS pass FROM d GROUP BY source, block),
+o AS (SELECT source, block, size, rest, row_number() OVER g AS place, sum(size) OVER g - size AS before FROM k WINDOW g AS (PARTITION BY source ORDER BY CAST('0x' || substr(md5('1:' || coalesce(source, '') || ':' || pass || ':' || block), 1, 8) AS BIGINT), block)),
+r AS (SELECT source, block, place, size, least(greatest(rest - before, 0), size) AS room FROM o),
+m AS (SELECT d.doc_id, d.source, d.tokens, d.block, r.place, d.weight, d.passes, r.room, r.size,
+        sum(d.tokens) OVER (PARTITION BY d.source, d.block ORDER BY CAST('0x' || substr(md5('1:d:' || d.doc_id), 1, 8) AS BIGINT), d.doc_id) AS run
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.block = r.block)
+SELECT doc_id, source, tokens AS n_tokens, block, CAST(place AS INTEGER) AS place, weight,
+  CASE WHEN tokens = 0 THEN 1 ELSE passes + CASE WHEN room > 0 AND (room = size OR run <= room) THEN 1 ELSE 0 END END AS copies
+FROM m
+"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+q AS (SELECT page_id, n, sha1(html) AS digest, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS response FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN response <> page_id THEN response END AS refers_to
+FROM q
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_mixing": MIXING_SQL,
+    "op10_warc": WARC_SQL,
+}
