@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, secrets, urls, warc
+from . import bpe, langid, mixing, neighbours, quality, secrets, topk, urls, warc
 from .common import split_of
 
 
@@ -55,6 +55,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.linked(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 20, is_query=F.col("vec_id") % 20 == 0)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
     return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_urls": op6_urls,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_embeddings": op8_embeddings,
+    "op9_topk": op9_topk,
     "op10_warc": op10_warc,
 }
 
@@ -106,7 +116,27 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM q
 """
 
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.w) = len(b.w) AND list_inner_product(a.w, b.w) / (sqrt(list_inner_product(a.w, a.w)) * sqrt(list_inner_product(b.w, b.w))) >= 0.95),
+r(id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON r.reached = e.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m JOIN c ON c.id = m.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) n ON n.a = m.vec_id
+"""
+
 ORACLES: dict[str, str] = {
     "op4_mixing": MIXING_SQL,
+    "op8_embeddings": LINKS_SQL,
+    "op9_topk": TOPK_SQL,
     "op10_warc": WARC_SQL,
 }
