@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neighbours, quality, secrets, topk, urls, warc
+from . import bpe, langid, mixing, neardup, neighbours, quality, secrets, topk, urls, warc
 from .common import split_of
 
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, learn=split_of("doc_id", 3) != 1)
@@ -70,6 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
@@ -134,7 +139,22 @@ SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, m.
 FROM embeddings m JOIN c ON c.id = m.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) n ON n.a = m.vec_id
 """
 
+#: WIDTH words a shingle.
+NEAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(ws) - WIDTH + 2, 2)), lambda i: array_to_string(ws[i:i + WIDTH - 1], ' '))) AS gs FROM w WHERE len(ws) > 0),
+s AS (SELECT doc_id, unnest(gs) AS sh FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN g x ON x.doc_id = p.a JOIN g y ON y.doc_id = p.b WHERE 100 * n >= 80 * (len(x.gs) + len(y.gs) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.reached = e.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(len(g.gs), 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_near_duplicates": NEAR_SQL.replace("WIDTH", "4"),
     "op4_mixing": MIXING_SQL,
     "op8_embeddings": LINKS_SQL,
     "op9_topk": TOPK_SQL,
