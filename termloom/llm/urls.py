@@ -2,7 +2,7 @@
 
 Rules are applied with column expressions: a rule fits its host and all subdomains, if the URL's path starts with the
 rule's; the longest rule wins. The trees learn from a bounded sample of the URLs that rules have labelled, on length, depth, digit
-ratio, entropy, parameter counts and statistics of the host's suffixes, and judge the URLs without a rule.
+ratio, entropy, parameter counts and statistics of the suffixes of hosts, alone and with the first directory, and judge the URLs without a rule.
 
 A null URL, or one without `://`, has an empty host and path; no rule fits it, and the trees judge it as an empty text.
 Without labelled URLs of both kinds the trees give the share of blocked ones (allow, if there are none). Rows are judged alone,
@@ -28,7 +28,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_ROWS, TREES, DEPTH, BINS = 20_000, 30, 3, 32
 #: Suffixes with fewer labelled URLs have no statistics of their own.
 LEAST = 5
-FEATURES = ("length", "host length", "path length", "depth", "digit ratio", "entropy", "parameters", "longest part", "labels", "hyphens", "fragment", "last label's share", "last two labels' share", "extension's share")
+FEATURES = ("length", "host length", "path length", "depth", "digit ratio", "entropy", "parameters", "longest part", "labels", "hyphens", "fragment", "last label's share", "last two labels' share", "share of those with the first directory", "extension's share")
 
 
 def host_of(url: Column) -> Column:
@@ -57,10 +57,12 @@ def verdict_of(rule: Column, rules: dict[str, str]) -> Column:
     return reduce(lambda out, r: F.when(rule == r, rules[r]).otherwise(out), rules, F.lit(None).cast("string"))
 
 
-def suffixes(host: str, path: str) -> tuple[str, str, str]:
+def suffixes(host: str, path: str) -> tuple[str, str, str, str]:
+    """The host's last label, its last two, these with the path's first directory, and the file's extension."""
     parts = host.split(".")
     name = path.rsplit("/", 1)[-1]
-    return parts[-1], ".".join(parts[-2:]), name.rsplit(".", 1)[-1] if "." in name else ""
+    two = ".".join(parts[-2:])
+    return parts[-1], two, f"{two}/{path[1:].partition('/')[0]}" if path.count("/") > 1 else two, name.rsplit(".", 1)[-1] if "." in name else ""
 
 
 def lexical(url: str, host: str, path: str, shares: list[dict[str, float]], prior: float) -> list[float]:
@@ -79,7 +81,7 @@ def lexical(url: str, host: str, path: str, shares: list[dict[str, float]], prio
 class Model:
     prior: float = 0.0
     start: float = -20.0
-    shares: list[dict[str, float]] = field(default_factory=lambda: [{}, {}, {}])
+    shares: list[dict[str, float]] = field(default_factory=lambda: [{}, {}, {}, {}])
     #: Each tree: features and limits of its inner nodes, values of its leaves, as a full binary tree.
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
@@ -150,7 +152,7 @@ def train(rows: DataFrame, *, max_rows: int = MAX_ROWS) -> Model:
 def suffix_shares(rows: list, prior: float) -> list[dict[str, float]]:
     """For each kind of suffix, the smoothed share of blocked URLs."""
     out = []
-    for kind in range(3):
+    for kind in range(4):
         n, bad = Counter(), Counter()
         for r in rows:
             k = suffixes(r.host, r.path)[kind]
