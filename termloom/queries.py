@@ -15,7 +15,7 @@ from .functions import gold as G
 from .functions import identity as I
 from .functions import numbers as N
 from .functions import text as T
-from .operators import audit, calibrate, candidates, compare, hierarchy, retrieve, routing, runs, score
+from .operators import audit, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score
 from .plans import mapping
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,3 +578,80 @@ def lookup_then_score(spark, d):
     per = found.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("x"))
     rows = per.select("request_id", G.five(F.transform("x", lambda x: x.code)).alias("ranks"), F.array(F.concat(F.lit("PART:"), "request_id")).alias("gold"), F.lit("mapped").alias("status"))
     return rounded(score.summed(score.scored(rows)))
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PRED}, m AS (SELECT mode, CASE WHEN status = 'error' THEN 'ERROR' WHEN status = 'unmapped' THEN 'UNMAPPED' WHEN list_contains(gold, ranks[1]) THEN 'EXACT' ELSE 'UNKNOWN' END AS m FROM g) SELECT CASE WHEN grouping(mode) = 1 THEN 'total' ELSE 'entity' END AS slice, mode AS value, count(*) AS n, count(*) FILTER (WHERE m = 'EXACT') AS exact, count(*) FILTER (WHERE m = 'UNKNOWN') AS unknown, count(*) FILTER (WHERE m = 'UNMAPPED') AS unmapped, count(*) FILTER (WHERE m = 'ERROR') AS error, round(count(*) FILTER (WHERE m = 'EXACT') / count(*), 6) AS accuracy FROM m GROUP BY GROUPING SETS ((mode), ())")
+def evaluator_breakdown(spark, d):
+    p = predictions(spark, d)
+    code = F.when(F.col("status") == "error", "ERROR").when(F.col("status") == "unmapped", "UNKNOWN:UNMAPPED").otherwise(F.col("ranks")[0])
+    rows = p.withColumn("match", evaluate.match_type(code, F.col("gold"), F.lit(None).cast("boolean"))).withColumnRenamed("mode", "entity")
+    return rounded(evaluate.breakdown(rows).select("slice", "value", "n", "exact", "unknown", "unmapped", "error", "accuracy"))
+
+
+_E2E = "CASE WHEN status = 'error' THEN 'Execution error' WHEN status = 'unmapped' THEN 'Unmapped' WHEN r IS NULL THEN 'Mapped, gold not in Top 5' ELSE 'Gold rank ' || r END"
+
+
+@query(f"WITH {_PRED}, o AS (SELECT mode, {_E2E} AS outcome FROM g), c AS (SELECT unnest(['Execution error', 'Unmapped', 'Gold rank 1', 'Gold rank 2', 'Gold rank 3', 'Gold rank 4', 'Gold rank 5', 'Mapped, gold not in Top 5']) AS outcome), t AS (SELECT mode, count(*) AS t FROM o GROUP BY mode) SELECT t.mode, c.outcome, count(o.outcome) AS count, round(count(o.outcome) / any_value(t.t), 6) AS share FROM t CROSS JOIN c LEFT JOIN o ON o.mode = t.mode AND o.outcome = c.outcome GROUP BY t.mode, c.outcome")
+def e2e_outcomes(spark, d):
+    s = score.scored(predictions(spark, d)).withColumn("outcome", evaluate.e2e_outcome(F.col("status"), F.col("gold_rank")))
+    return rounded(score.distribution(s, "outcome", evaluate.E2E, ["mode"]))
+
+
+@query(f"WITH {_PRED}, a AS (SELECT mode, avg(top1::DOUBLE) AS x, avg(top3::DOUBLE) AS y, avg(top5::DOUBLE) AS z FROM s GROUP BY mode) SELECT mode, round(x, 6) AS rank_1, round(y - x, 6) AS rank_2_3, round(z - y, 6) AS rank_4_5, round(1 - z, 6) AS beyond FROM a")
+def exclusive_rank_bins(spark, d):
+    s = score.summed(score.scored(predictions(spark, d)), ["mode"])
+    return rounded(s.select("mode", *evaluate.exclusive_bins(F.col("top1"), F.col("top3"), F.col("top5"))))
+
+
+@query("SELECT l_returnflag AS flag, round(avg(l_quantity), 6) AS total, round(avg(l_quantity * l_discount), 6) AS planner, round(avg(l_quantity * l_tax), 6) AS reranker, round(avg(l_quantity) - avg(l_quantity * l_discount) - avg(l_quantity * l_tax), 6) AS rest FROM lineitem GROUP BY 1")
+def latency_breakdown(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("total"), (F.col("l_quantity") * F.col("l_discount")).alias("planner"), (F.col("l_quantity") * F.col("l_tax")).alias("reranker"))
+    return rounded(evaluate.latency(li, "total", ["planner", "reranker"], ["flag"]))
+
+
+@query(f"WITH {_PRED}, x AS (SELECT id, ranks AS a, CASE WHEN id % 3 = 0 THEN list_reverse(ranks) WHEN id % 3 = 1 THEN ranks ELSE ranks[1:1] END AS b FROM g WHERE status <> 'error') SELECT count(*) AS n, round(avg((a[1] IS NOT DISTINCT FROM b[1])::INT), 6) AS top1_agreement, round(avg((list_sort(list_distinct(a)) = list_sort(list_distinct(b)))::INT), 6) AS top5_agreement FROM x")
+def reproducibility_summary(spark, d):
+    p = predictions(spark, d).select("id", "status", "ranks")
+    own = F.filter("ranks", lambda x: x.isNotNull())
+    again = p.withColumn("ranks", F.when(F.col("id") % 3 == 0, F.reverse(own)).when(F.col("id") % 3 == 1, F.col("ranks")).otherwise(F.slice("ranks", 1, 1)))
+    return rounded(evaluate.reproducibility(p, again))
+
+
+@query(f"WITH {_PRED} SELECT mode, count(*) AS n, round(count(*) FILTER (WHERE status = 'error') * 100 / count(*), 6) AS errors, round(count(*) FILTER (WHERE status = 'unmapped') * 100 / count(*), 6) AS unmapped FROM g GROUP BY mode")
+def reliability_per_hundred(spark, d):
+    return rounded(evaluate.per_hundred(predictions(spark, d), {"errors": F.col("status") == "error", "unmapped": F.col("status") == "unmapped"}, ["mode"]))
+
+
+@query("SELECT o_orderkey AS id FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 50")
+def random_sample(spark, d):
+    return evaluate.sample(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", 50)
+
+
+@query("SELECT 'ALS' AS short, 'alpha ' || lower(p_brand) || ' x' AS long, count(*) AS n FROM part WHERE false GROUP BY 2 UNION ALL SELECT upper(left(w[1], 1) || left(w[2], 1)), lower(w[1] || ' ' || w[2]), count(*) FROM (SELECT regexp_extract_all(p_name, '[A-Za-z]+') AS w FROM part) WHERE len(w) = 2 GROUP BY 1, 2")
+def abbreviations(spark, d):
+    w = F.regexp_extract_all("p_name", F.lit("([A-Za-z]+)"), F.lit(1))
+    p = table(spark, d, "part").select(w.alias("w")).where(F.size("w") == 2)
+    text = F.concat(F.array_join("w", " "), F.lit(" ("), F.upper(F.concat(F.left(F.col("w")[0], F.lit(1)), F.left(F.col("w")[1], F.lit(1)))), F.lit(")"))
+    return evaluate.abbreviations(p.select(text.alias("t")), "t")
+
+
+@query("SELECT route, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors, CAST(sum(retries) AS BIGINT) AS retries, count(*) FILTER (WHERE retries <> 0) AS rows_with_retries FROM (SELECT event_type AS route, event_id % 13 = 0 AS failed, event_id % 4 AS retries FROM events) GROUP BY route")
+def retrieval_diagnostics(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("route"), (F.col("event_id") % 13 == 0).alias("failed"), (F.col("event_id") % 4).alias("retries"))
+    return e.groupBy("route").agg(F.count("*").alias("calls"), F.count_if("failed").alias("errors"), F.sum("retries").alias("retries"), F.count_if(F.coalesce("retries", F.lit(0)) != 0).alias("rows_with_retries"))
+
+
+@query("WITH p AS (SELECT p_partkey AS k, p_brand AS ns, CASE WHEN p_partkey % 9 = 0 THEN 'MONDO:' || p_partkey ELSE 'HP:' || p_partkey END AS code FROM part) SELECT k, 'MONDO' AS found, 'HPO' AS expected FROM p WHERE code LIKE 'MONDO%'")
+def namespace_violations(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("MONDO:"), "p_partkey")).otherwise(F.concat(F.lit("HP_"), "p_partkey")).alias("code"))
+    return p.select("k", I.namespace(F.col("code")).alias("found"), F.lit("HPO").alias("expected")).where("found <> expected")
+
+
+@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c.k IS NULL THEN 'missing left' WHEN s.k IS NULL THEN 'missing right' ELSE 'differs' END AS reason FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) c FULL JOIN (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier) s ON c.k = s.k WHERE c.k IS NULL OR s.k IS NULL OR c.n <> s.n) GROUP BY reason")
+def run_compatibility(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    return compare.mismatches(a, b, "k", ["n"]).groupBy("reason").agg(F.count("*").alias("n"))
