@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def canonical_queries(pairs: DataFrame, *, query: str = "query", code: str = "code", ord_: str = "ord") -> DataFrame:
     """pairs: query, code, ord (a total order). A row a query: query_id (dense, by first appearance), its distinct codes in order
-    of appearance and each one's first ord. Queries are numbered by one pass over a row a query."""
+    of appearance and each one's first ord. Numbers come from running counts in two levels."""
     firsts = pairs.groupBy(F.col(query).alias("query"), F.col(code).alias("code")).agg(F.min(ord_).alias("ord"), F.count("*").alias("copies"))
     per = firsts.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "code"))).alias("g"), F.min("ord").alias("first_ord"), F.sum("copies").alias("pair_rows"))
-    return per.select((F.row_number().over(Window.orderBy("first_ord", "query")) - 1).alias("query_id"), "query", F.transform("g", lambda x: x.code).alias("gold_codes"), F.transform("g", lambda x: x.ord).alias("gold_ords"), "first_ord", "pair_rows")
+    return numbered(per, "first_ord", ["query"], "query_id").select("query_id", "query", F.transform("g", lambda x: x.code).alias("gold_codes"), F.transform("g", lambda x: x.ord).alias("gold_ords"), "first_ord", "pair_rows")
 
 
 def mapping_pairs(queries: DataFrame) -> DataFrame:

@@ -1,17 +1,17 @@
 """Calibration of confidences: ROC AUC, Brier score, expected calibration error, separation.
 
-Ranks come from counts of distinct scores, so the running sum passes over distinct scores and not over rows; scores are rounded where
-that bounds them.
+Ranks come from counts of distinct scores and running sums in two levels, so that no task sees all of them.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import hard_fail
+from .ordering import accumulated
 
 BINS = 10
 
@@ -24,8 +24,7 @@ def valid_confidence(c: Column) -> Column:
 def rank_sums(rows: DataFrame, label: str, score: str) -> DataFrame:
     """n1, n0 and r1: the sum of the average ranks of the rows labelled 1."""
     per = rows.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("n1"))
-    before = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
+    per = accumulated(per, "s", [], F.col("n"), "before").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     return per.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("n") - F.col("n1")), F.lit(0)).alias("n0"), F.sum(F.col("n1") * F.col("rank")).alias("r1"))
 
 
