@@ -170,30 +170,18 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> n
 def by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """members: bucket and id. Links a, b between all ids that share a bucket, as a root a member and pair of blocks.
 
-    Ids are sorted by their smallest bucket and cut into blocks, so a bucket lies in few of them; blocks meet if a bucket is in both."""
+    Ids go to blocks by their smallest bucket, so a bucket lies in few of them: a bucket with many ids has blocks of its own, about
+    BLOCK ids each by their hash, the others share blocks. Blocks meet if a bucket is in both."""
     order = members.groupBy("id").agg(F.min("bucket").alias("first"))
-    cores = members.sparkSession.sparkContext.defaultParallelism
-    rows = order.join(sets, "id").repartitionByRange(cores, "first", "id").sortWithinPartitions("first", "id").select("id", "set")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held = [], []
-
-        def out() -> pa.RecordBatch:
-            sizes = [len(x) // 8 for x in held]
-            return pa.RecordBatch.from_pydict({"ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "sets": [b"".join(held)]})
-
-        for batch in batches:
-            for i, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                ids.append(i)
-                held.append(s)
-                if len(ids) == BLOCK:
-                    yield out()
-                    ids, held = [], []
-        if ids:
-            yield out()
-
-    blocks = stored(rows.mapInArrow(pack, "ids array<bigint>, sizes array<int>, sets binary").withColumn("block", F.monotonically_increasing_id()))
-    of = members.join(blocks.select("block", F.explode("ids").alias("id")), "id").select("bucket", "block").distinct()
+    sizes = order.groupBy("first").agg(F.count("*").alias("n"))
+    rest = sizes.where(F.col("n") < BLOCK // 2).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rest"))
+    sizes = sizes.join(rest, F.lit(True))
+    share = lambda key, n: F.pmod(key, F.ceil(n / BLOCK).cast("bigint"))
+    of_id = order.join(sizes, "first").select("id", F.when(F.col("n") < BLOCK // 2, F.xxhash64(F.lit(0), share(F.col("first"), F.col("rest")))).otherwise(F.xxhash64(F.lit(1), "first", share(F.xxhash64("id"), F.col("n")))).alias("block"))
+    of_id = stored(of_id)
+    rows = of_id.join(sets, "id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "set"))).alias("x"))
+    blocks = stored(rows.select("block", F.transform("x", lambda x: x.id).alias("ids"), F.transform("x", lambda x: (F.length(x.set) / 8).cast("int")).alias("sizes"), F.transform("x", lambda x: x.set).alias("sets")))
+    of = members.join(of_id, "id").select("bucket", "block").distinct()
     meet = of.select("bucket", F.col("block").alias("b1")).join(of.select("bucket", F.col("block").alias("b2")), "bucket").where("b1 <= b2").select("b1", "b2").distinct()
     side = lambda k: blocks.select(F.col("block").alias(f"b{k}"), F.col("ids").alias(f"ids{k}"), F.col("sizes").alias(f"sizes{k}"), F.col("sets").alias(f"sets{k}"))
     pairs = meet.join(side(1), "b1").join(side(2), "b2").select("b1", "b2", "ids1", "sizes1", "sets1", "ids2", "sizes2", "sets2")
@@ -202,7 +190,7 @@ def by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 _, _, ids1, sizes1, sets1, ids2, sizes2, sets2 = [c[k].as_py() for c in batch.columns]
-                x, y = [np.split(np.frombuffer(s, "<u8"), np.cumsum(n)[:-1]) for s, n in ((sets1, sizes1), (sets2, sizes2))]
+                x, y = [[np.frombuffer(x, "<u8") for x in s] for s in (sets1, sets2)]
                 hit = similar(overlaps(x, y), np.array(sizes1)[:, None], np.array(sizes2)[None, :], percent)
                 ids = np.unique(np.array([*ids1, *ids2], np.int64))
                 root = np.arange(len(ids))

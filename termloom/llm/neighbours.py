@@ -102,8 +102,9 @@ def _pairs(reps: DataFrame, threshold: float, rows: int) -> DataFrame:
     spark = reps.sparkSession
     far = 2 - 2 * threshold + 1e-9  # the greatest square distance of a link
     width = far**0.5
-    dims = reps.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if dims is None:
+    per = reps.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"))
+    dims = per.agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("d"), F.sum("n").alias("all")).first()
+    if dims.d is None:
         return spark.createDataFrame([], "id bigint, links bigint, root bigint")
     dim = dims.d  # vectors of other lengths lie at the origin of the grid
     some = hash_sample(reps.where(F.size("vec") == dim).select("id", "vec"), "id", SAMPLE).collect()
@@ -128,7 +129,8 @@ def _pairs(reps: DataFrame, threshold: float, rows: int) -> DataFrame:
 
     cores = spark.sparkContext.defaultParallelism
     ordered = reps.select("id", "copies", "vec").mapInArrow(cells, "id bigint, copies bigint, vec array<double>, cell array<int>, first double")
-    ordered = ordered.repartitionByRange(cores * 2, "cell", "first", "id").sortWithinPartitions("cell", "first", "id")
+    # as many parts as blocks, so that a block's size doesn't depend on the cluster's
+    ordered = ordered.repartitionByRange(max(1, round(dims.all / rows)), "cell", "first", "id").sortWithinPartitions("cell", "first", "id")
     # a block holds ids and copies as one more component of its vectors
     ordered = ordered.select("id", F.concat("vec", F.array(F.col("copies").cast("double"))).alias("vec"))
     blocks = packed(ordered, [], rows)
