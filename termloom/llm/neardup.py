@@ -225,7 +225,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cross = sized(cross.where("a < b AND ca <> cb").select("a", "b").distinct(), size, percent)
     cross = stored(cross.join(pairs, ["a", "b"], "left_anti"))
     many = members.where(F.col("members") > small).select("bucket", "id")
-    sets = _sets(docs, cross.unionByName(many.select(F.col("id").alias("a"), F.col("id").alias("b"))), reps, width)
+    # a document lies in up to 66 large buckets, but its set is needed once
+    alone = many.select("id").distinct().select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sets = _sets(docs, cross.unionByName(alone), reps, width)
     more = verified(cross, sets, percent).unionByName(by_blocks(many, sets, percent))
     found = components(links.unionByName(stored(more)))
     of_rep = reps.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
