@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import positional
+from . import blocks
 
 
 def words(c: Column) -> Column:
@@ -30,10 +31,10 @@ def lexical(calls: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6) -> DataFrame:
-    """queries: query_id, vec; vectors: vec_id, vec, label. Exact top k by cosine (rounded, ties to the smaller id). Queries
-    are a stated, small set, all rows are compared with them."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.select("vec_id", "label", F.col("vec").alias("v")).join(queries.select("query_id", F.col("vec").alias("q")), F.col("vec_id") != F.col("query_id"))
-    cosine = F.round(dot(F.col("q"), F.col("v")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("v"), F.col("v"))), digits)
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return pairs.select("query_id", "vec_id", "label", cosine.alias("cosine")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    """queries: query_id, vec; vectors: vec_id, vec, label. Exact top k by cosine (rounded, ties to the smaller id), without the
+    query's own id. Every block of queries meets every block of vectors, and k rows a query leave each meeting."""
+    q = blocks.packed(queries.where("query_id IS NOT NULL"), ["query_id"], blocks.QUERY_ROWS, "q_")
+    v = blocks.packed(vectors.where("vec_id IS NOT NULL"), ["vec_id", "label"], blocks.ROWS, "c_")
+    best = blocks.closest(q.crossJoin(v), k, digits)
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("cosine"), "vec_id")
+    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -304,10 +304,14 @@ def lexical_topk(spark, d):
 _KNN = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(q.w, v.w) / sqrt(list_inner_product(q.w, q.w) * list_inner_product(v.w, v.w)), 6) AS cosine FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id < 10), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM c)"
 
 
-def neighbours(spark, d, k):
+def neighbours(spark, d, k, stated="vec_id < 10"):
     v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
-    # the stated queries: the first ten vectors
-    return retrieve.nearest(v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "vec"), v, k)
+    return retrieve.nearest(v.where(stated).select(F.col("vec_id").alias("query_id"), "vec"), v, k)
+
+
+def hit_rate(spark, d, found):
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    return rounded(found.join(own, "query_id").agg(F.avg((F.col("label") == F.col("own")).cast("double")).alias("hit_rate"), F.count("*").alias("n")))
 
 
 @query(f"WITH {_KNN} SELECT query_id, vec_id, label, cosine, place FROM k WHERE place <= 5")
@@ -317,8 +321,22 @@ def knn_topk(spark, d):
 
 @query(f"WITH {_KNN} SELECT round(avg(CASE WHEN k.label = e.label THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate, count(*) AS n FROM k JOIN embeddings e ON e.vec_id = query_id WHERE place <= 5")
 def knn_label_hit_rate(spark, d):
-    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    return rounded(neighbours(spark, d, 5).join(own, "query_id").agg(F.avg((F.col("label") == F.col("own")).cast("double")).alias("hit_rate"), F.count("*").alias("n")))
+    return hit_rate(spark, d, neighbours(spark, d, 5))
+
+
+# the whole set of stated queries, every id that 20 divides; the two above search for the ten vectors of their SQL
+_STATED = "vec_id % 20 = 0"
+_KNN_STATED = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(q.w, v.w) / sqrt(list_inner_product(q.w, q.w) * list_inner_product(v.w, v.w)), 6) AS cosine FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM c)"
+
+
+@query(f"WITH {_KNN_STATED} SELECT query_id, vec_id, label, cosine, place FROM k WHERE place <= 5")
+def knn_topk_stated(spark, d):
+    return rounded(neighbours(spark, d, 5, _STATED)).withColumn("label", F.col("label").cast("int"))
+
+
+@query(f"WITH {_KNN_STATED} SELECT round(avg(CASE WHEN k.label = e.label THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate, count(*) AS n FROM k JOIN embeddings e ON e.vec_id = query_id WHERE place <= 5")
+def knn_label_hit_rate_stated(spark, d):
+    return hit_rate(spark, d, neighbours(spark, d, 5, _STATED))
 
 
 # --- hierarchy --------------------------------------------------------------------------------------------------------
