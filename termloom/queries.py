@@ -130,10 +130,19 @@ def gold_cardinality(spark, d):
     return audit.cardinality(pairs(spark, d))
 
 
+def gold_codes(spark, d, text):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(G.split_codes(F.replace(text, F.lit(" "), F.lit(" | "))), "|").alias("codes"))
+
+
 @query("SELECT item_id, array_to_string(list_filter(list_transform(string_split(replace(left(text, 80), ' ', ' | '), ' | '), lambda x: trim(x)), lambda x: x <> ''), '|') AS codes FROM benchmark")
 def parse_gold_codes(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select("item_id", F.array_join(G.split_codes(F.replace(F.left("text", F.lit(80)), F.lit(" "), F.lit(" | "))), "|").alias("codes"))
+    return gold_codes(spark, d, F.left("text", F.lit(80)))
+
+
+# the whole text; the query above splits the 80 characters of its SQL
+@query("SELECT item_id, array_to_string(list_filter(list_transform(string_split(replace(text, ' ', ' | '), ' | '), lambda x: trim(x)), lambda x: x <> ''), '|') AS codes FROM benchmark")
+def parse_gold_codes_whole(spark, d):
+    return gold_codes(spark, d, F.col("text"))
 
 
 # --- ranked predictions -----------------------------------------------------------------------------------------------
@@ -273,14 +282,26 @@ def normalize_candidates(spark, d):
 # --- routing and lookups ----------------------------------------------------------------------------------------------
 
 
+def routed(spark, d, text):
+    b = table(spark, d, "benchmark")
+    os = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("HPO"), F.lit("ICD"))).when(F.col("item_id") % 3 == 1, F.array(F.lit("SNOMED"))).otherwise(F.array(F.lit("NOPE"), F.lit("RxNorm")))
+    plans = b.select(F.col("item_id").alias("request_id"), routing.queries_of(F.array(text, F.lit(" x"))).alias("queries"), os.alias("ontologies"))
+    return rounded(routing.calls(plans).select("request_id", "query_ord", "query", "onto_ord", "asked", "source_id", "supported"))
+
+
 @query("""WITH q AS (SELECT item_id AS request_id, [left(text, 20), 'x'] AS qs, CASE item_id % 3 WHEN 0 THEN ['HPO', 'ICD'] WHEN 1 THEN ['SNOMED'] ELSE ['NOPE', 'RxNorm'] END AS os FROM benchmark),
 a AS (SELECT request_id, unnest(range(0, len(qs))) AS query_ord, qs, os FROM q), b AS (SELECT request_id, query_ord, qs[query_ord + 1] AS query, unnest(range(0, len(os))) AS onto_ord, os FROM a)
 SELECT request_id, query_ord, trim(query) AS query, onto_ord, os[onto_ord + 1] AS asked, CASE os[onto_ord + 1] WHEN 'HPO' THEN 'ols4' WHEN 'ICD' THEN 'nih_clinical_tables' WHEN 'SNOMED' THEN 'ols4' WHEN 'RxNorm' THEN 'rxnav' END AS source_id, os[onto_ord + 1] <> 'NOPE' AS supported FROM b""")
 def route_calls(spark, d):
-    b = table(spark, d, "benchmark")
-    os = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("HPO"), F.lit("ICD"))).when(F.col("item_id") % 3 == 1, F.array(F.lit("SNOMED"))).otherwise(F.array(F.lit("NOPE"), F.lit("RxNorm")))
-    plans = b.select(F.col("item_id").alias("request_id"), routing.queries_of(F.array(F.left("text", F.lit(20)), F.lit(" x"))).alias("queries"), os.alias("ontologies"))
-    return rounded(routing.calls(plans).select("request_id", "query_ord", "query", "onto_ord", "asked", "source_id", "supported"))
+    return routed(spark, d, F.left("text", F.lit(20)))
+
+
+# the whole text; the query above takes the 20 characters of its SQL
+@query("""WITH q AS (SELECT item_id AS request_id, [text, 'x'] AS qs, CASE item_id % 3 WHEN 0 THEN ['HPO', 'ICD'] WHEN 1 THEN ['SNOMED'] ELSE ['NOPE', 'RxNorm'] END AS os FROM benchmark),
+a AS (SELECT request_id, unnest(range(0, len(qs))) AS query_ord, qs, os FROM q), b AS (SELECT request_id, query_ord, qs[query_ord + 1] AS query, unnest(range(0, len(os))) AS onto_ord, os FROM a)
+SELECT request_id, query_ord, trim(query) AS query, onto_ord, os[onto_ord + 1] AS asked, CASE os[onto_ord + 1] WHEN 'HPO' THEN 'ols4' WHEN 'ICD' THEN 'nih_clinical_tables' WHEN 'SNOMED' THEN 'ols4' WHEN 'RxNorm' THEN 'rxnav' END AS source_id, os[onto_ord + 1] <> 'NOPE' AS supported FROM b""")
+def route_calls_whole(spark, d):
+    return routed(spark, d, F.col("text"))
 
 
 _LEX = """v AS (SELECT 'PART:' || p_partkey AS code, p_brand AS ontology, list_distinct(string_split(lower(p_name), ' ')) AS vw FROM part),
