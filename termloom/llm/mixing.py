@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 A source's share of all tokens is raised to an exponent and the shares are normalised: exponent 1 keeps the sources' own shares, 0 makes them
-equal. Bisection finds the smallest exponent (the flattest mix) at which no source is repeated more often than a limit, or the exponent at
-which the mix has a target entropy. The mix has a budget of tokens, and each source its weight's part of it. A source is dealt into
+equal; beyond 1 the mix gets sharper than the corpus, without a limit to the exponent. Bisection finds the smallest exponent (the flattest mix) at which no source is repeated more often than a limit, or the exponent at
+which the mix has a target entropy. Where no exponent meets the limit or the target, that is an error. The mix has a budget of tokens, and each source its weight's part of it. A source is dealt into
 blocks of about equal size by the hash of its documents; each pass over a source takes its blocks in another permutation. Whole passes take every
 document; of the last pass come the blocks that fit the rest of the budget, and of the block at the border the documents that fit.
 
@@ -25,8 +25,8 @@ from .common import stored
 STEPS, DIGITS = 40, 9
 #: A source has the root of its tokens over this many blocks: both their number and their size grow slowly.
 BLOCK_RULE = 100
-#: Ends of the exponent's range; beyond 1 the mix gets sharper than the corpus.
-LOW, HIGH = 0.0, 1.0
+#: Ends of the exponent's range: the upper one is the first that meets the limit or the target, but for rounding.
+LOW, HIGHS, SLACK = 0.0, [2.0**k for k in range(21)], 1e-9
 
 
 def tokens_of(text: Column) -> Column:
@@ -40,24 +40,34 @@ def hashed(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def raised(tokens: Column, e: Column, total: Column, top: Column) -> Column:
+    """A source's weight before it is normalised: for sharp mixes against the largest source, so that it doesn't vanish."""
+    return F.when(tokens > 0, F.pow(tokens / F.when(e > 1, top).otherwise(total), e)).otherwise(F.lit(0.0))
+
+
 def exponent(sources: Column, *, max_repeats: float | None, entropy: float | None, budget: Column) -> Column:
-    """sources: an array of structs with tokens. Bisects between LOW and HIGH in one expression."""
+    """sources: an array of structs with tokens. Bisects between LOW and the first end that will do, in one expression."""
     total = F.aggregate(sources, F.lit(0.0), lambda a, s: a + s.tokens)
+    top = F.aggregate(sources, F.lit(0.0), lambda a, s: F.greatest(a, s.tokens.cast("double")))
 
-    def good(e: Column) -> Column:
+    def good(e: Column, slack: float = 0.0) -> Column:
         """Whether the exponent is large enough."""
-        weight = lambda s: F.when(s.tokens > 0, F.pow(s.tokens / total, e)).otherwise(0.0)
+        weight = lambda s: raised(s.tokens, e, total, top)
         norm = F.aggregate(sources, F.lit(0.0), lambda a, s: a + weight(s))
         if entropy is not None:
-            h = F.aggregate(sources, F.lit(0.0), lambda a, s: a - F.when(s.tokens > 0, weight(s) / norm * F.log2(weight(s) / norm)).otherwise(0.0))
-            return h <= F.lit(float(entropy))
+            h = F.aggregate(sources, F.lit(0.0), lambda a, s: a - F.when(weight(s) / norm > 0, weight(s) / norm * F.log2(weight(s) / norm)).otherwise(0.0))
+            return h <= F.lit(float(entropy) + slack)
         most = F.aggregate(sources, F.lit(0.0), lambda a, s: F.greatest(a, F.when(s.tokens > 0, weight(s) / s.tokens).otherwise(0.0)))
-        return most * budget <= norm * F.lit(float(max_repeats))
+        return most * budget <= norm * F.lit(float(max_repeats) * (1 + slack))
 
-    ends = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
+    # repeats are fewest at exponent 1, where all sources have the same; beyond it the largest has more
+    highs = HIGHS if entropy is not None else HIGHS[:1]
+    high = F.get(F.filter(F.array(*[F.lit(x) for x in highs]), lambda e: good(e, SLACK)), F.lit(0))
+    ends = F.struct(F.when(high > 1, high / 2).otherwise(F.lit(LOW)).alias("lo"), high.alias("hi"))
     halved = lambda a, _: F.transform(F.array((a.lo + a.hi) / 2), lambda m: F.when(good(m), F.struct(a.lo.alias("lo"), m.alias("hi"))).otherwise(F.struct(m.alias("lo"), a.hi.alias("hi"))))[0]
     found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), ends, halved).hi
-    return F.when(good(F.lit(LOW)), F.lit(LOW)).otherwise(F.round(found, DIGITS))
+    none = F.raise_error(F.lit(f"no exponent gives a mix of entropy {entropy}" if entropy is not None else f"the budget repeats a source more than {max_repeats} times at every exponent")).cast("double")
+    return F.when(good(F.lit(LOW)), F.lit(LOW)).when(high.isNull(), none).otherwise(F.round(found, DIGITS))
 
 
 def weights(docs: DataFrame, *, max_repeats: float | None = 2.0, entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:
@@ -68,9 +78,10 @@ def weights(docs: DataFrame, *, max_repeats: float | None = 2.0, entropy: float
     all_ = F.aggregate("sources", F.lit(0).cast("bigint"), lambda a, s: a + s.tokens)
     one = one.withColumn("total", F.lit(budget_tokens).cast("bigint") if budget_tokens is not None else all_).withColumn("all_tokens", all_)
     one = one.withColumn("exponent", exponent(F.col("sources"), max_repeats=max_repeats, entropy=entropy, budget=F.col("total")))
-    raised = lambda s: F.when(s.tokens > 0, F.pow(s.tokens / F.col("all_tokens"), F.col("exponent"))).otherwise(F.lit(0.0))
-    one = one.withColumn("norm", F.aggregate("sources", F.lit(0.0), lambda a, s: a + raised(s)))
-    one = one.select("exponent", "total", F.explode(F.transform("sources", lambda s: F.struct(s.source.alias("source"), s.tokens.alias("tokens"), F.when(F.col("norm") > 0, F.round(raised(s) / F.col("norm"), 9)).otherwise(0.0).alias("weight")))).alias("s"))
+    one = one.withColumn("top", F.aggregate("sources", F.lit(0).cast("bigint"), lambda a, s: F.greatest(a, s.tokens)))
+    part = lambda s: raised(s.tokens, F.col("exponent"), F.col("all_tokens"), F.col("top"))
+    one = one.withColumn("norm", F.aggregate("sources", F.lit(0.0), lambda a, s: a + part(s)))
+    one = one.select("exponent", "total", F.explode(F.transform("sources", lambda s: F.struct(s.source.alias("source"), s.tokens.alias("tokens"), F.when(F.col("norm") > 0, F.round(part(s) / F.col("norm"), 9)).otherwise(0.0).alias("weight")))).alias("s"))
     return one.select("s.source", "s.tokens", "s.weight", F.floor(F.col("s.weight") * F.col("total")).cast("bigint").alias("budget"), "exponent")
 
 
