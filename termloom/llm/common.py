@@ -16,29 +16,35 @@ OUT_ROWS, OUT_BYTES = 2048, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset;
+    it gets a folder of its own then."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="termloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; the files go when the driver ends."""
+    """df written as Parquet to the shared folder and read again; the files go with freed(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stored_path = path
+    return out
+
+
+def freed(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames that nothing will read any more."""
+    for df in frames:
+        if path := vars(df).pop("stored_path", None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

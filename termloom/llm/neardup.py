@@ -4,14 +4,17 @@ A document's set holds its distinct shingles of words. Twelve small collections
 collections: 24 minhashes give the 66 tables (of four minhashes each) for which plain banding would compute 264. Two documents meet if two of their
 twelve collections agree; at a similarity of 0.8 all tables miss a pair once in about ten thousand, and more rarely above.
 
-Documents with equal sets are one representative, so exact copies cost nothing further. Each table's bucket of two is a pair; in
-larger ones every member is paired with the smallest first. Pairs that can be similar by their sizes are verified on full sets, and
-verified links make components. Where a bucket still holds several components, its members of different ones are compared
-as well, so that no link is lost: pair by pair in buckets of up to SMALL members, in larger ones by blocks of sets (a product
-of matrices a pair of blocks, which sends a root a member). No pairs are made inside a component, and none by a limit left out.
-
-Null texts and texts without words have an empty set and link with nothing. Rows without an id link with nothing and get a null
-component. Rows that repeat an id and a text are one document and each get its result.
+Documents with equal sets are one representative, so exact copies cost nothing further. Of a representative's collections only those
+count that another one shares. Each table's bucket of two is a pair; in larger ones every member is paired with the smallest
+first. Pairs that can be similar by their sizes are verified on full sets, and verified links make components. Where a bucket
+still holds several components, its members of different ones are compared as well, so that no link is lost: pair by pair in
+buckets of up to SMALL members, in larger ones by blocks of sets (a product of matrices a pair of blocks, which sends a root a
+member). Members of one component are not compared again, and no pair of different ones is left out by a limit.
+
+Null texts and texts without words have an empty set and link with nothing; nor do rows without an id, which get a null component.
+An id is one document: rows that repeat it are linked, whatever their texts, and each has the size of its own set. Ties don't arise,
+since the smallest id names a component and results don't depend on the order of rows. Whole texts count, of any length. An
+empty table gives an empty result, and columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, stored
+from .common import freed, map_batches, slices, stored
 from .graph import components
 from .neighbours import settle
 
 COLLECTIONS, HASHES = 12, 2
 #: Members of a bucket up to which they are compared pair by pair; sets of a block.
 SMALL, BLOCK = 32, 256
+#: Shingles for which a set takes one of a block's places; larger ones take several.
+UNIT = 4_096
 REMEMBERED = 300_000
 
 
@@ -86,30 +91,30 @@ def set_key(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """docs: id and text. id, n (size of the set), key (of the set; null if it is empty) and collections."""
+    """docs: id, text and digest. id, digest, n (size of the set), key (of the set; null if it is empty) and collections."""
     seeds = seeds_of(seed)
 
     def run(columns: list) -> Iterator[tuple]:
-        ids, texts = columns
+        ids, digests, texts = columns
         for a in range(0, len(ids), 256):
             sets = [shingles(t, width) for t in texts[a : a + 256]]
             full = [s for s in sets if len(s)]
             least = iter(minhashes(full, seeds) if full else [])
-            for i, s in zip(ids[a : a + 256], sets, strict=True):
+            for i, d, s in zip(ids[a : a + 256], digests[a : a + 256], sets, strict=True):
                 if not len(s):
-                    yield i, 0, None, None
+                    yield i, d, 0, None, None
                     continue
                 row = next(least).reshape(COLLECTIONS, HASHES)
                 both = np.zeros(COLLECTIONS, np.uint64)
                 for k in range(HASHES):
                     both = mixed(both * _MIX[0] + row[:, k])
-                yield i, len(s), set_key(s), both.view(np.int64).tolist()
+                yield i, d, len(s), set_key(s), both.view(np.int64).tolist()
 
-    return map_batches(docs, run, "id bigint, n bigint, key binary, collections array<bigint>")
+    return map_batches(docs.select("id", "digest", "text"), run, "id bigint, digest bigint, n bigint, key binary, collections array<bigint>")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """id and set (binary) of the representatives in reps (id, key): shingled anew, for those that need it only."""
+    """id and set (binary) of the representatives in reps (id, doc, key): shingled anew, for those that need it only."""
 
     def run(columns: list) -> Iterator[tuple]:
         for i, key, text in zip(*columns, strict=True):
@@ -117,7 +122,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             if set_key(s) == bytes(key):
                 yield i, s.tobytes()
 
-    rows = docs.join(reps.select("id", "key"), "id").select("id", "key", "text")
+    rows = docs.select(F.col("id").alias("doc"), "text").join(reps.select("id", "doc", "key"), "doc").select("id", "key", "text")
     return map_batches(rows, run, "id bigint, set binary").groupBy("id").agg(F.first("set").alias("set"))
 
 
@@ -168,30 +173,47 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> n
 
 
 def by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: bucket and id. Links a, b between all ids that share a bucket, as a root a member and pair of blocks.
-
-    Ids go to blocks by their smallest bucket, so a bucket lies in few of them: a bucket with many ids has blocks of its own, about
-    BLOCK ids each by their hash, the others share blocks. Blocks meet if a bucket is in both."""
-    order = members.groupBy("id").agg(F.min("bucket").alias("first"))
-    sizes = order.groupBy("first").agg(F.count("*").alias("n"))
-    rest = sizes.where(F.col("n") < BLOCK // 2).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rest"))
-    sizes = sizes.join(rest, F.lit(True))
-    share = lambda key, n: F.pmod(key, F.ceil(n / BLOCK).cast("bigint"))
-    of_id = order.join(sizes, "first").select("id", F.when(F.col("n") < BLOCK // 2, F.xxhash64(F.lit(0), share(F.col("first"), F.col("rest")))).otherwise(F.xxhash64(F.lit(1), "first", share(F.xxhash64("id"), F.col("n")))).alias("block"))
-    of_id = stored(of_id)
-    rows = of_id.join(sets, "id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "set"))).alias("x"))
-    blocks = stored(rows.select("block", F.transform("x", lambda x: x.id).alias("ids"), F.transform("x", lambda x: (F.length(x.set) / 8).cast("int")).alias("sizes"), F.transform("x", lambda x: x.set).alias("sets")))
-    of = members.join(of_id, "id").select("bucket", "block").distinct()
-    meet = of.select("bucket", F.col("block").alias("b1")).join(of.select("bucket", F.col("block").alias("b2")), "bucket").where("b1 <= b2").select("b1", "b2").distinct()
-    side = lambda k: blocks.select(F.col("block").alias(f"b{k}"), F.col("ids").alias(f"ids{k}"), F.col("sizes").alias(f"sizes{k}"), F.col("sets").alias(f"sets{k}"))
-    pairs = meet.join(side(1), "b1").join(side(2), "b2").select("b1", "b2", "ids1", "sizes1", "sets1", "ids2", "sizes2", "sets2")
+    """members: bucket, id, n (size of its set) and component. Links a, b between all ids of different components that share a
+    bucket, as a root a member and pair of blocks.
+
+    Ids go to blocks by their smallest bucket, so a bucket lies in few of them. Many ids of one bucket and component have blocks
+    of their own (by the hash of the id), so that members of one component don't meet; the others of a bucket share blocks, or those
+    of several buckets do, if they are few. A block holds about BLOCK sets, fewer if they are large. Blocks meet if a bucket is in both.
+    """
+    # what a set takes of a block
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n") / UNIT)).cast("bigint")
+    order = members.groupBy("id").agg(F.min("bucket").alias("first"), F.first("component").alias("component"), F.first("n").alias("n"))
+    order = stored(order.withColumn("w", weight))
+    by_component = order.groupBy("first", "component").agg(F.sum("w").alias("w_component"))
+    large = by_component.where(F.col("w_component") >= BLOCK // 2)
+    small = by_component.where(F.col("w_component") < BLOCK // 2).groupBy("first").agg(F.sum("w_component").alias("w_first"))
+    few = small.where(F.col("w_first") < BLOCK // 2).agg(F.coalesce(F.sum("w_first"), F.lit(0)).alias("w_few"))
+    rows = order.join(large, ["first", "component"], "left").join(small, "first", "left").crossJoin(F.broadcast(few))
+    share = lambda key, w: F.pmod(F.xxhash64(key), F.ceil(w / BLOCK).cast("bigint"))
+    own = F.col("w_component").isNotNull()
+    block = (
+        F.when(own, F.xxhash64(F.lit(2), "first", "component", share("id", F.col("w_component"))))
+        .when(F.col("w_first") >= BLOCK // 2, F.xxhash64(F.lit(1), "first", share("id", F.col("w_first"))))
+        .otherwise(F.xxhash64(F.lit(0), share("first", F.col("w_few"))))
+    )
+    of_id = stored(rows.select("id", "component", block.alias("block"), F.when(own, F.col("component")).alias("only")))
+    rows = of_id.join(sets, "id").groupBy("block").agg(F.first("only").alias("only"), F.array_sort(F.collect_list(F.struct("id", "component", "set"))).alias("x"))
+    blocks = stored(rows.select("block", "only", F.transform("x", lambda x: x.id).alias("ids"), F.transform("x", lambda x: x.component).alias("components"), F.transform("x", lambda x: x.set).alias("sets")))
+    of = members.join(of_id.select("id", "block", "only"), "id").select("bucket", "block", "only").distinct()
+    one, two = [of.select("bucket", F.col("block").alias(f"b{k}"), F.col("only").alias(f"only{k}")) for k in (1, 2)]
+    apart = F.col("only1").isNull() | F.col("only2").isNull() | (F.col("only1") != F.col("only2"))
+    meet = one.join(two, "bucket").where((F.col("b1") <= F.col("b2")) & apart).select("b1", "b2").distinct()
+    side = lambda k: blocks.select(F.col("block").alias(f"b{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("ids", "components", "sets")])
+    pairs = meet.join(side(1), "b1").join(side(2), "b2").select("ids1", "components1", "sets1", "ids2", "components2", "sets2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                _, _, ids1, sizes1, sets1, ids2, sizes2, sets2 = [c[k].as_py() for c in batch.columns]
+                ids1, c1, sets1, ids2, c2, sets2 = [c[k].as_py() for c in batch.columns]
                 x, y = [[np.frombuffer(x, "<u8") for x in s] for s in (sets1, sets2)]
-                hit = similar(overlaps(x, y), np.array(sizes1)[:, None], np.array(sizes2)[None, :], percent)
+                sizes = [np.array([len(s) for s in z]) for z in (x, y)]
+                hit = similar(overlaps(x, y), sizes[0][:, None], sizes[1][None, :], percent)
+                hit &= np.array(c1)[:, None] != np.array(c2)[None, :]
                 ids = np.unique(np.array([*ids1, *ids2], np.int64))
                 root = np.arange(len(ids))
                 i, j = np.nonzero(hit)
@@ -205,35 +227,79 @@ def by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 1, small: int = SMALL) -> DataFrame:
     """Per row of docs: the id, n_shingles long, component_id (the smallest id reachable by links, itself included) and kept.
     A link has 100 * intersection >= percent * union. Ids are whole numbers."""
+    rows = grouped(docs, id_col=id_col, text_col=text_col, width=width, percent=percent, seed=seed, small=small)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 1, small: int = SMALL) -> DataFrame:
+    """Per row of docs: id, digest (xxhash64 of its text), n, component, and one: whether its set is the one that stands for the
+    component, which is of the smallest id."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("digest", F.xxhash64("text"))
     seen = stored(sketches(docs, width, seed))
-    reps = stored(seen.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("collections").alias("collections")))
+    full = seen.where("key IS NOT NULL AND id IS NOT NULL")
+    # a representative a set, with a number of its own: an id may come with several texts
+    reps = full.groupBy("key").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("collections").alias("collections"))
+    reps = stored(reps.withColumn("id", F.monotonically_increasing_id()))
     size = reps.select("id", "n")
-    tables = F.array(*[F.xxhash64(F.lit(t), F.col("collections")[i], F.col("collections")[j]) for t, (i, j) in enumerate(combinations(range(COLLECTIONS), 2))])
-    entries = reps.select("id", F.explode(tables).alias("bucket"))
+    # only collections that two representatives share can put them into one bucket
+    own = reps.select("id", F.explode(F.transform("collections", lambda v, k: F.xxhash64(k, v))).alias("c"))
+    shared = own.groupBy("c").agg(F.count("*").alias("members")).where("members > 1").select("c")
+    live = own.join(shared, "c", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("live"))
+    live = stored(live.where(F.size("live") > 1))
+    rest = lambda k: F.slice("live", k + 2, F.size("live"))
+    tables = F.flatten(F.transform("live", lambda x, k: F.transform(rest(k), lambda y: F.xxhash64(x, y))))
+    entries = live.select("id", F.explode(tables).alias("bucket"))
     buckets = stored(entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.max("id").alias("last")).where("members > 1"))
     members = stored(entries.join(buckets.where("members > 2").select("bucket", "members", "first"), "bucket"))
-    pairs = buckets.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
-    pairs = stored(sized(pairs.unionByName(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))).distinct(), size, percent))
-    links = stored(verified(pairs, _sets(docs, pairs, reps, width), percent))
+    twos = buckets.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
+    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    pairs = stored(sized(twos.unionByName(stars).distinct(), size, percent))
+    freed(live, buckets)
+    sets = _sets(docs, pairs, reps, width)
+    links = stored(verified(pairs, sets, percent))
+    freed(sets)
     known = components(links)
+    all_members = members
     members = members.join(known, "id", "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("component"))
     open_ = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    members = stored(members.join(open_, "bucket"))
+    members = stored(members.join(open_, "bucket").join(size, "id"))
+    freed(all_members, known)
     few = members.where(F.col("members") <= small)
-    cross = few.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb")), "bucket")
-    cross = sized(cross.where("a < b AND ca <> cb").select("a", "b").distinct(), size, percent)
+    x, y = [few.select("bucket", F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"]
+    cross = sized(x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct(), size, percent)
     cross = stored(cross.join(pairs, ["a", "b"], "left_anti"))
-    many = members.where(F.col("members") > small).select("bucket", "id")
+    many = members.where(F.col("members") > small).select("bucket", "id", "n", "component")
     # a document lies in up to 66 large buckets, but its set is needed once
     alone = many.select("id").distinct().select(F.col("id").alias("a"), F.col("id").alias("b"))
     sets = _sets(docs, cross.unionByName(alone), reps, width)
-    more = verified(cross, sets, percent).unionByName(by_blocks(many, sets, percent))
-    found = components(links.unionByName(stored(more)))
-    of_rep = reps.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = seen.where("key IS NOT NULL AND id IS NOT NULL").join(of_rep, "key").select("id", "n", "component")
-    out = out.unionByName(seen.where("key IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("component")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    more = stored(verified(cross, sets, percent).unionByName(by_blocks(many, sets, percent)))
+    freed(sets, members, cross, pairs)
+    found = components(links.unionByName(more).unionByName(_of_one_id(full, reps)))
+    freed(links, more)
+    return _named(seen, reps, found)
+
+
+def _of_one_id(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs a, b of representatives that share an id: a document with several texts."""
+    h = F.xxhash64("key")
+    several = full.groupBy("id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select(F.col("id").alias("doc"))
+    of = full.select(F.col("id").alias("doc"), "key").join(several, "doc", "left_semi").distinct().join(reps.select("key", "id"), "key")
+    first = of.groupBy("doc").agg(F.min("id").alias("a"))
+    return of.join(first, "doc").where("id <> a").select("a", F.col("id").alias("b"))
+
+
+def _named(seen: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """Components of representatives (found) as the smallest ids of their documents, a row a row of seen."""
+    of = found.join(reps.select("id", "doc"), "id")
+    least = of.groupBy("component").agg(F.min(F.struct("doc", "id")).alias("least"))
+    of_rep = reps.select("key", "id", "doc").join(found, "id", "left").join(least, "component", "left")
+    of_rep = of_rep.select("key", "doc", F.coalesce("least.doc", "doc").alias("component"), F.coalesce(F.col("least.id") == F.col("id"), F.lit(True)).alias("stands"))
+    full = seen.where("key IS NOT NULL AND id IS NOT NULL").join(of_rep, "key")
+    full = full.select("id", "digest", "n", "component", (F.col("stands") & (F.col("id") == F.col("doc"))).alias("one"))
+    rest = seen.where("key IS NULL OR id IS NULL")
+    return full.unionByName(rest.select("id", "digest", "n", F.col("id").alias("component"), F.lit(True).alias("one")))
 
 
 def sized(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
