@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads again as the next
 stage's docs. All but the last return the columns of documents. A stage's decisions take effect on its rows: rejected documents go,
 one document of each near-duplicate group stays, findings are replaced in the text, the mix repeats or leaves out documents.
-Null texts: rejected by the first stage. Empty tables pass through.
+Null texts, and texts without a letter, are rejected by the first stage. Empty tables pass through. Columns beyond those of documents stay as
+they are, whatever their names, up to the last stage. Very long texts are read whole. Rows that repeat an id and a text are one after the second
+stage; an id with two texts is one document, of which the text of the smaller set number stays. Ties (of sources, of
+equal rows in the mix) are settled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -12,7 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe, langid, mixing, neardup, secrets
-from termloom.llm.common import split_of, stored
+from termloom.llm.common import freed, split_of, stored
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns, so that no name clashes), id and digest."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +31,16 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id. Rows of one id stay once."""
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    repeated = rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
-    return repeated.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates stays: of its smallest id. Rows without an id or without words all stay, but
+    equal rows of one id are one."""
+    found = neardup.grouped(docs, width=5, percent=80).where("one AND id IS NOT NULL")
+    # texts with equal sets (in upper and lower case, say) may share an id
+    kept = stored(found.groupBy("id", F.when(F.col("n") == 0, F.col("digest")).alias("empty")).agg(F.min("digest").alias("digest")).drop("empty"))
+    rows = wrapped(docs)
+    same = (rows["id"] == kept["id"]) & rows["digest"].eqNullSafe(kept["digest"])
+    once = Window.partitionBy("id", "digest").orderBy(F.xxhash64("row"))
+    one = rows.join(kept, same, "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    return one.unionByName(rows.where("id IS NULL").withColumn("nth", F.lit(1))).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +52,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document comes as often as its source's budget takes it, at most twice on the whole."""
-    plan = mixing.mixed(docs).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "copies")
-    # rows of one id and source share their number of copies
-    plan = plan.groupBy("mix_id", "mix_source").agg(F.max("copies").alias("copies"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_id"]) & docs["source"].eqNullSafe(plan["mix_source"]))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +76,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
+        done = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return done
+        last, docs = docs, stored(done)
+        freed(last)
     return docs
