@@ -58,16 +58,21 @@ def merged(candidates: DataFrame, *, key: str = "request_id", targets: Column |
         (-F.coalesce("raw_score", F.lit(0.0))).alias("d"), F.coalesce(F.col("definition") == "", F.lit(True)).alias("e"), F.col("ord").alias("f"),
     )
     fields = [c for c in candidates.columns if c not in (key, "ontology", "retrieved_from")]
-    one = good.groupBy(key, "ontology", F.upper("code").alias("_code")).agg(
-        F.min_by(F.struct(*fields), best).alias("_best"),
-        F.count("*").alias("duplicate_count"),
-        F.min("ord").alias("first_ord"),
-        F.array_sort(F.collect_list(F.struct("ord", "matched_query", "retrieved_from"))).alias("_all"),
+    group = [key, "ontology", "_code"]
+    # rows that were found alike first, so that a group holds no more than the ways in which its code was found
+    alike = good.groupBy(key, "ontology", F.upper("code").alias("_code"), "matched_query", F.col("retrieved_from").alias("_from")).agg(
+        F.min(best).alias("_key"), F.min_by(F.struct(*fields), best).alias("_best"), F.count("*").alias("_n"), F.min("ord").alias("_ord")
+    )
+    one = alike.groupBy(*group).agg(
+        F.min_by("_best", "_key").alias("_best"),
+        F.sum("_n").alias("duplicate_count"),
+        F.min("_ord").alias("first_ord"),
+        F.array_sort(F.collect_list(F.struct("_ord", "matched_query", "_from"))).alias("_all"),
     )
     one = one.select(
         key, "ontology", *[F.col(f"_best.{c}").alias(c) for c in fields], "duplicate_count", "first_ord",
         F.array_distinct(F.transform("_all", lambda x: x.matched_query)).alias("matched_queries"),
-        F.array_distinct(F.flatten(F.transform("_all", lambda x: F.coalesce(x.retrieved_from, F.array().cast("array<string>"))))).alias("retrieved_from"),
+        F.array_distinct(F.flatten(F.transform("_all", lambda x: F.coalesce(x._from, F.array().cast("array<string>"))))).alias("retrieved_from"),
     )
     if targets is not None:
         one = one.where(eligible(F.col("ontology"), F.col("retrieved_from"), targets, strict=strict))

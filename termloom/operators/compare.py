@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import greatest_before
+
 
 def paired(runs: DataFrame, *, id_col: str, mode_col: str, modes: list[str], fields: list[str]) -> DataFrame:
     """A row an id that all modes have, with every field a mode: field_mode. One aggregation, no joins."""
@@ -65,7 +67,6 @@ def reconciled(found: DataFrame, stated: DataFrame, key: str = "metric", *, rel:
 def pareto(rows: DataFrame, good: str, bad: str) -> DataFrame:
     """Rows that none beats: none has at least as much good and at most as much bad, and one of them strictly. In order of
     bad a row is efficient if it has more good than all before it, or equals one that has."""
-    per = rows.groupBy(bad).agg(F.max(good).alias("_top"))
-    before = F.max("_top").over(Window.orderBy(bad).rowsBetween(Window.unboundedPreceding, -1))
-    best = per.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_top") > F.col("_before"))).select(bad, F.col("_top").alias(good))
+    per = greatest_before(rows.groupBy(bad).agg(F.max(good).alias("_top")), bad, F.col("_top"), "_best")
+    best = per.where(F.col("_best").isNull() | (F.col("_top") > F.col("_best"))).select(bad, F.col("_top").alias(good))
     return rows.join(best, [bad, good], "left_semi")

@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NA, SAME, NARROWER, BROADER, SIBLING, UNRELATED = "Not Applicable", "Same", "More Specific", "More General", "Sibling", "Unrelated"
-
+from .store import written
 
-def written(df: DataFrame) -> DataFrame:
-    """df by a reliable checkpoint in the folder of spark.checkpoint.dir; a local one only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="termloom-"))
-    return df.checkpoint()
+# How a prediction may lie to a gold code.
+NA, SAME, NARROWER, BROADER, SIBLING, UNRELATED = "Not Applicable", "Same", "More Specific", "More General", "Sibling", "Unrelated"
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs subject, object with a path between them, of any length. Each round lengthens the pairs that the one before
-    it found, and ends on cycles as none is new any more."""
-    e = written(edges.select("subject", "object").where("subject IS NOT NULL AND object IS NOT NULL").distinct())
-    step = e.select(F.col("subject").alias("_via"), F.col("object").alias("_up"))
-    known, new, rounds = e, e, 0
+    """All pairs subject, object with a path between them, of any length. Each round joins the pairs that the one before it found with
+    all that are known, so that the greatest length doubles, and ends, on cycles too, when none is new any more."""
+    known = new = written(edges.select("subject", "object").where("subject IS NOT NULL AND object IS NOT NULL").distinct())
     while not new.isEmpty():
+        step = known.select(F.col("subject").alias("_via"), F.col("object").alias("_up"))
         longer = new.join(step, new["object"] == step["_via"]).select("subject", F.col("_up").alias("object")).distinct()
         new = written(longer.join(known, ["subject", "object"], "left_anti"))
-        known, rounds = known.unionByName(new), rounds + 1
-        if rounds % 8 == 0:  # a deep hierarchy has many rounds: their parts are put together
-            known = written(known.coalesce(max(e.rdd.getNumPartitions(), 1)))
+        known = known.unionByName(new)
     return known
 
 

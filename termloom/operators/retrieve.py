@@ -15,21 +15,51 @@ def words(c: Column) -> Column:
 
 
 def lexical(calls: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
-    """calls: request_id, query_ord, query, ontology; vocabulary: code, term, ontology (vocabulary_size grows, so it is joined
-    on words and never broadcast by hand). Per call the k terms that share most words with the query, by the share of the
-    union, then code; scored by place. Calls without an ontology search all vocabularies."""
-    q = calls.select("request_id", "query_ord", "query", F.col("ontology").alias("asked"), words(F.col("query")).alias("qw"))
-    v = vocabulary.select("code", "term", "ontology", words(F.col("term")).alias("vw"))
-    qe = q.select("request_id", "query_ord", "asked", F.size("qw").alias("nq"), F.explode("qw").alias("word"))
-    # a word that many terms share meets each call once: shares are summed before they leave the join's stage
-    ve = v.select("code", "term", "ontology", F.size("vw").alias("nv"), F.explode("vw").alias("word"))
-    hits = qe.join(ve, (qe["word"] == ve["word"]) & (qe["asked"].isNull() | (qe["asked"] == ve["ontology"])))
-    shared = hits.groupBy("request_id", "query_ord", "code", "term", "ontology", "nq", "nv").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("request_id", "query_ord").orderBy(F.desc(F.col("shared") / (F.col("nq") + F.col("nv") - F.col("shared"))), "code")
-    out = shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    """calls: request_id, query_ord, query, ontology; vocabulary: code, term, ontology. Per call the k terms that share most words with
+    the query, by the share of the union, then code; scored by place. Calls without an ontology search all vocabularies.
+
+    Equal sets of words are looked up once, on both sides. A set meets first the terms with its rarest word; the k-th best of these is a
+    bound: a better term shares so many words that it has one of the set's few rarest ones, and only these are joined then. So
+    a word that many terms share is joined for the sets that nothing rarer tells apart.
+    """
+    q = calls.select("request_id", "query_ord", F.col("ontology").alias("asked"), F.array_sort(words(F.col("query"))).alias("qw"))
+    q = q.where(F.size("qw") > 0).withColumn("qid", F.md5(F.to_json(F.struct("asked", "qw"))))
+    v = vocabulary.select("code", "term", "ontology", F.array_sort(words(F.col("term"))).alias("vw")).where(F.size("vw") > 0)
+    v = v.withColumn("vid", F.md5(F.to_json(F.struct("ontology", "vw"))))
+    # of terms with equal words the k first codes can be among a query's best
+    v = v.withColumn("_nth", F.row_number().over(Window.partitionBy("vid").orderBy("code", "term"))).where(F.col("_nth") <= k)
+    sets = v.groupBy("vid").agg(F.first("ontology").alias("ontology"), F.first("vw").alias("vw"), F.min("code").alias("first"), F.count("*").alias("codes"))
+    of_word = sets.select("vid", "ontology", "vw", "first", "codes", F.explode("vw").alias("word"))
+    often = of_word.groupBy("word").agg(F.count("*").alias("often"))
+    asked = q.select("qid", "asked", "qw").dropDuplicates(["qid"])
+    each = asked.select("qid", F.explode("qw").alias("word")).join(often, "word", "left")
+    rare = each.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("rare"))
+    asked = asked.join(rare, "qid")
+    known = F.filter("rare", lambda w: w.often > 0)
+    least = best_sets(asked.select("qid", "asked", "qw", F.slice(known, 1, 1).alias("by")), of_word, k)
+    up_to = F.sum("codes").over(Window.partitionBy("qid").orderBy(F.desc("score"), "first").rowsBetween(Window.unboundedPreceding, -1))
+    least = least.withColumn("before", F.coalesce(up_to, F.lit(0))).groupBy("qid").agg(F.sum("codes").alias("found"), F.min(F.when(F.col("before") < k, F.col("score"))).alias("bound"))
+    bound = F.when(F.col("found") >= k, F.col("bound")).otherwise(0.0)
+    few = F.size("qw") - F.ceil(bound * F.size("qw") - 1e-9) + 1
+    some = F.filter(F.slice("rare", F.lit(1), few.cast("int")), lambda w: w.often > 0)
+    close = best_sets(asked.join(least, "qid", "left").select("qid", "asked", "qw", some.alias("by")), of_word, k)
+    hits = close.join(v.select("vid", "code", "term", "ontology"), "vid")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "code")
+    hits = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    out = q.select("request_id", "query_ord", "qid").join(hits, "qid")
     return out.select("request_id", "query_ord", "code", "term", "ontology", "place", positional(F.col("place") - 1).alias("score"))
 
 
+def best_sets(asked: DataFrame, of_word: DataFrame, k: int) -> DataFrame:
+    """asked: qid, asked, qw and by (words with often). The k sets of terms that share one of these words and are most like the query's."""
+    by = asked.select("qid", "asked", "qw", F.explode(F.transform("by", lambda w: w.word)).alias("word"))
+    met = by.join(of_word, "word").where(F.col("asked").isNull() | (F.col("asked") == F.col("ontology")))
+    shared = F.size(F.array_intersect("qw", "vw"))
+    met = met.select("qid", "vid", "first", "codes", (shared / (F.size("qw") + F.size("vw") - shared)).alias("score")).dropDuplicates(["qid", "vid"])
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "first")
+    return met.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6) -> DataFrame:
     """queries: query_id, vec; vectors: vec_id, vec, label. Exact top k by cosine (rounded, ties to the smaller id), without the
     query's own id. Every block of queries meets every block of vectors, and k rows a query leave each meeting."""

@@ -130,19 +130,10 @@ def gold_cardinality(spark, d):
     return audit.cardinality(pairs(spark, d))
 
 
-def gold_codes(spark, d, text):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(G.split_codes(F.replace(text, F.lit(" "), F.lit(" | "))), "|").alias("codes"))
-
-
-@query("SELECT item_id, array_to_string(list_filter(list_transform(string_split(replace(left(text, 80), ' ', ' | '), ' | '), lambda x: trim(x)), lambda x: x <> ''), '|') AS codes FROM benchmark")
-def parse_gold_codes(spark, d):
-    return gold_codes(spark, d, F.left("text", F.lit(80)))
-
-
-# the whole text; the query above splits the 80 characters of its SQL
 @query("SELECT item_id, array_to_string(list_filter(list_transform(string_split(replace(text, ' ', ' | '), ' | '), lambda x: trim(x)), lambda x: x <> ''), '|') AS codes FROM benchmark")
-def parse_gold_codes_whole(spark, d):
-    return gold_codes(spark, d, F.col("text"))
+def parse_gold_codes(spark, d):
+    b = table(spark, d, "benchmark")
+    return b.select("item_id", F.array_join(G.split_codes(F.replace("text", F.lit(" "), F.lit(" | "))), "|").alias("codes"))
 
 
 # --- ranked predictions -----------------------------------------------------------------------------------------------
@@ -282,26 +273,14 @@ def normalize_candidates(spark, d):
 # --- routing and lookups ----------------------------------------------------------------------------------------------
 
 
-def routed(spark, d, text):
-    b = table(spark, d, "benchmark")
-    os = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("HPO"), F.lit("ICD"))).when(F.col("item_id") % 3 == 1, F.array(F.lit("SNOMED"))).otherwise(F.array(F.lit("NOPE"), F.lit("RxNorm")))
-    plans = b.select(F.col("item_id").alias("request_id"), routing.queries_of(F.array(text, F.lit(" x"))).alias("queries"), os.alias("ontologies"))
-    return rounded(routing.calls(plans).select("request_id", "query_ord", "query", "onto_ord", "asked", "source_id", "supported"))
-
-
-@query("""WITH q AS (SELECT item_id AS request_id, [left(text, 20), 'x'] AS qs, CASE item_id % 3 WHEN 0 THEN ['HPO', 'ICD'] WHEN 1 THEN ['SNOMED'] ELSE ['NOPE', 'RxNorm'] END AS os FROM benchmark),
-a AS (SELECT request_id, unnest(range(0, len(qs))) AS query_ord, qs, os FROM q), b AS (SELECT request_id, query_ord, qs[query_ord + 1] AS query, unnest(range(0, len(os))) AS onto_ord, os FROM a)
-SELECT request_id, query_ord, trim(query) AS query, onto_ord, os[onto_ord + 1] AS asked, CASE os[onto_ord + 1] WHEN 'HPO' THEN 'ols4' WHEN 'ICD' THEN 'nih_clinical_tables' WHEN 'SNOMED' THEN 'ols4' WHEN 'RxNorm' THEN 'rxnav' END AS source_id, os[onto_ord + 1] <> 'NOPE' AS supported FROM b""")
-def route_calls(spark, d):
-    return routed(spark, d, F.left("text", F.lit(20)))
-
-
-# the whole text; the query above takes the 20 characters of its SQL
 @query("""WITH q AS (SELECT item_id AS request_id, [text, 'x'] AS qs, CASE item_id % 3 WHEN 0 THEN ['HPO', 'ICD'] WHEN 1 THEN ['SNOMED'] ELSE ['NOPE', 'RxNorm'] END AS os FROM benchmark),
 a AS (SELECT request_id, unnest(range(0, len(qs))) AS query_ord, qs, os FROM q), b AS (SELECT request_id, query_ord, qs[query_ord + 1] AS query, unnest(range(0, len(os))) AS onto_ord, os FROM a)
 SELECT request_id, query_ord, trim(query) AS query, onto_ord, os[onto_ord + 1] AS asked, CASE os[onto_ord + 1] WHEN 'HPO' THEN 'ols4' WHEN 'ICD' THEN 'nih_clinical_tables' WHEN 'SNOMED' THEN 'ols4' WHEN 'RxNorm' THEN 'rxnav' END AS source_id, os[onto_ord + 1] <> 'NOPE' AS supported FROM b""")
-def route_calls_whole(spark, d):
-    return routed(spark, d, F.col("text"))
+def route_calls(spark, d):
+    b = table(spark, d, "benchmark")
+    os = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("HPO"), F.lit("ICD"))).when(F.col("item_id") % 3 == 1, F.array(F.lit("SNOMED"))).otherwise(F.array(F.lit("NOPE"), F.lit("RxNorm")))
+    plans = b.select(F.col("item_id").alias("request_id"), routing.queries_of(F.array(F.col("text"), F.lit(" x"))).alias("queries"), os.alias("ontologies"))
+    return rounded(routing.calls(plans).select("request_id", "query_ord", "query", "onto_ord", "asked", "source_id", "supported"))
 
 
 _LEX = """v AS (SELECT 'PART:' || p_partkey AS code, p_brand AS ontology, list_distinct(string_split(lower(p_name), ' ')) AS vw FROM part),
@@ -322,17 +301,13 @@ def lexical_topk(spark, d):
     return rounded(retrieve.lexical(calls, vocabulary, 5).select("request_id", "code", "place", "score"))
 
 
-_KNN = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(q.w, v.w) / sqrt(list_inner_product(q.w, q.w) * list_inner_product(v.w, v.w)), 6) AS cosine FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id < 10), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM c)"
+# the stated queries: every id that 20 divides
+_KNN = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(q.w, v.w) / sqrt(list_inner_product(q.w, q.w) * list_inner_product(v.w, v.w)), 6) AS cosine FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM c)"
 
 
-def neighbours(spark, d, k, stated="vec_id < 10"):
+def neighbours(spark, d, k):
     v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
-    return retrieve.nearest(v.where(stated).select(F.col("vec_id").alias("query_id"), "vec"), v, k)
-
-
-def hit_rate(spark, d, found):
-    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    return rounded(found.join(own, "query_id").agg(F.avg((F.col("label") == F.col("own")).cast("double")).alias("hit_rate"), F.count("*").alias("n")))
+    return retrieve.nearest(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v, k)
 
 
 @query(f"WITH {_KNN} SELECT query_id, vec_id, label, cosine, place FROM k WHERE place <= 5")
@@ -342,22 +317,8 @@ def knn_topk(spark, d):
 
 @query(f"WITH {_KNN} SELECT round(avg(CASE WHEN k.label = e.label THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate, count(*) AS n FROM k JOIN embeddings e ON e.vec_id = query_id WHERE place <= 5")
 def knn_label_hit_rate(spark, d):
-    return hit_rate(spark, d, neighbours(spark, d, 5))
-
-
-# the whole set of stated queries, every id that 20 divides; the two above search for the ten vectors of their SQL
-_STATED = "vec_id % 20 = 0"
-_KNN_STATED = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(q.w, v.w) / sqrt(list_inner_product(q.w, q.w) * list_inner_product(v.w, v.w)), 6) AS cosine FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM c)"
-
-
-@query(f"WITH {_KNN_STATED} SELECT query_id, vec_id, label, cosine, place FROM k WHERE place <= 5")
-def knn_topk_stated(spark, d):
-    return rounded(neighbours(spark, d, 5, _STATED)).withColumn("label", F.col("label").cast("int"))
-
-
-@query(f"WITH {_KNN_STATED} SELECT round(avg(CASE WHEN k.label = e.label THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate, count(*) AS n FROM k JOIN embeddings e ON e.vec_id = query_id WHERE place <= 5")
-def knn_label_hit_rate_stated(spark, d):
-    return hit_rate(spark, d, neighbours(spark, d, 5, _STATED))
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    return rounded(neighbours(spark, d, 5).join(own, "query_id").agg(F.avg((F.col("label") == F.col("own")).cast("double")).alias("hit_rate"), F.count("*").alias("n")))
 
 
 # --- hierarchy --------------------------------------------------------------------------------------------------------
@@ -378,6 +339,17 @@ def hierarchy_closure(spark, d):
     return hierarchy.closure(edges(spark, d))
 
 
+# a graph with two parents a node and many paths between nodes
+_DAG = "e AS (SELECT DISTINCT 'P:' || p_partkey AS s, 'P:' || (p_partkey // 2) AS o FROM part WHERE p_partkey > 1 UNION SELECT 'P:' || p_partkey, 'P:' || (p_partkey // 3) FROM part WHERE p_partkey > 2), c(s, o) AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON c.o = e.s)"
+
+
+@query(f"WITH RECURSIVE {_DAG} SELECT s AS subject, o AS object FROM c")
+def hierarchy_closure_dag(spark, d):
+    p = table(spark, d, "part")
+    up = lambda n: p.where(F.col("p_partkey") >= n).select(F.concat(F.lit("P:"), "p_partkey").alias("subject"), F.concat(F.lit("P:"), F.expr(f"p_partkey div {n}")).alias("object"))
+    return hierarchy.closure(up(2).unionByName(up(3)))
+
+
 _REL = f"""{_EDGES}, p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN 'R:' || (o_orderkey % 5) WHEN o_orderkey % 4 = 1 THEN 'N:' || (o_orderkey % 25) ELSE 'S:' || (o_custkey % 7 + 1) END AS p,
   ['N:' || (o_custkey % 30), 'S:' || (o_custkey % 5 + 1)] AS gold, o_orderstatus AS st FROM orders),
 x AS (SELECT id, p, unnest(range(0, 2)) AS i, gold FROM p), y AS (SELECT id, p, i, gold[i + 1] AS g FROM x),
@@ -579,9 +551,9 @@ def term_explanations(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), T.explanation(F.col("p_name")).alias("explanation"), T.slug(F.col("p_type")).alias("slug"))
 
 
-@query("SELECT conv_id, turn, text AS reply FROM conversations WHERE text IS NOT NULL AND text = trim(text)")
+@query("SELECT conv_id, turn, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS reply FROM conversations")
 def strip_fences(spark, d):
-    c = table(spark, d, "conversations").where("text IS NOT NULL AND text = trim(text)")
+    c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", T.without_fences(F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).alias("reply"))
 
 

@@ -20,9 +20,9 @@ def brute(vectors, wanted, k):
 def test_stated_queries_are_all_searched(spark):
     vectors = {r.vec_id: (r.embedding, r.label) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
     want = brute(vectors, sorted(i for i in vectors if i % 20 == 0), 5)
-    got = sorted((r.query_id, r.vec_id, r.label, r.cosine, r.place) for r in Q.QUERIES["knn_topk_stated"](spark, DIR).collect())
+    got = sorted((r.query_id, r.vec_id, r.label, r.cosine, r.place) for r in Q.QUERIES["knn_topk"](spark, DIR).collect())
     assert len(want) == 5 * 25 and got == sorted(want, key=lambda w: (w[0], w[1]))
-    rate = Q.QUERIES["knn_label_hit_rate_stated"](spark, DIR).first()
+    rate = Q.QUERIES["knn_label_hit_rate"](spark, DIR).first()
     assert rate.n == len(want) and rate.hit_rate == round(sum(vectors[q][1] == lab for q, _, lab, _, _ in want) / len(want), 6)
 
 
