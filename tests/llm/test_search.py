@@ -47,7 +47,7 @@ def test_top_k_against_sorting(spark, k, rows, bins):
     data = vectors()
     df = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id bigint, embedding array<float>, score int").repartition(3)
     got = {}
-    for r in topk.top_k(df, k, is_query=F.col("vec_id") % 20 == 0, rows=rows, query_rows=5, bins=bins, slabs=3).collect():
+    for r in topk.top_k(df, k, is_query=F.col("vec_id") % 20 == 0, rows=rows, query_rows=5, bins=bins, slab_bytes=500).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     whole = {i: np.floor(64 * np.array(v, np.float64)) for i, v in data if valid(v)}
     for q in [i for i in whole if i % 20 == 0]:
