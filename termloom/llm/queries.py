@@ -51,7 +51,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s.kind != "model")
-    return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    *kinds, model = secrets.KINDS
+    return found.select("doc_id", *[count(k) for k in kinds], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), count(model))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
