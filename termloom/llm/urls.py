@@ -6,7 +6,8 @@ ratio, entropy, parameter counts and statistics of the suffixes of hosts, alone
 
 A null URL, or one without `://`, has an empty host and path; no rule fits it, and the trees judge it as an empty text.
 Without labelled URLs of both kinds the trees give the share of blocked ones (allow, if there are none). Rows are judged alone,
-so repeated rows stay.
+so repeated rows stay. Rules that tie in length can't both fit unless they are equal. Very long URLs are read whole. An empty
+table gives an empty result; columns other than the id and the URL are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -133,8 +134,10 @@ def boost(x: np.ndarray, y: np.ndarray, *, rate: float = 0.3, l2: float = 1.0) -
 
 
 def train(rows: DataFrame, *, max_rows: int = MAX_ROWS) -> Model:
-    """rows: url, host, path and verdict (allow, block; null is not learned from). Learns from about max_rows of them."""
-    got = hash_sample(rows.where(F.col("verdict").isNotNull() & F.col("url").isNotNull()).select("url", "host", "path", "verdict"), "url", max_rows).limit(2 * max_rows).collect()
+    """rows: url, host, path and verdict (allow, block; null is not learned from). Learns from about max_rows of them, twice as
+    many at most where URLs repeat: those of the smallest hashes."""
+    some = hash_sample(rows.where(F.col("verdict").isNotNull() & F.col("url").isNotNull()).select("url", "host", "path", "verdict"), "url", max_rows)
+    got = some.orderBy(F.xxhash64("url"), "url", "verdict").limit(2 * max_rows).collect()
     got.sort(key=lambda r: (zlib.crc32(r.url.encode("utf-8", "surrogatepass")), r.url))
     if not got:
         return Model()
@@ -163,14 +166,16 @@ def suffix_shares(rows: list, prior: float) -> list[dict[str, float]]:
 
 
 def blocked(docs: DataFrame, model: Model, url: Column, host: Column, path: Column) -> Column:
-    """A column with the probability that a URL is to be blocked."""
+    """A column with the probability that a URL is to be blocked; NaN, and no work, for a null host."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def of(urls: pd.Series, hosts: pd.Series, paths: pd.Series) -> pd.Series:
         m = held.value
-        x = np.array([lexical(u or "", h, p, m.shares, m.prior) for u, h, p in zip(urls, hosts, paths, strict=True)]).reshape(-1, len(FEATURES))
-        return pd.Series(m.probability(x))
+        x = np.array([lexical(u or "", h, p, m.shares, m.prior) for u, h, p in zip(urls, hosts, paths, strict=True) if h is not None]).reshape(-1, len(FEATURES))
+        out = np.full(len(hosts), np.nan)
+        out[hosts.notna().to_numpy()] = m.probability(x)
+        return pd.Series(out)
 
     return of(url, host, path)
 
@@ -182,6 +187,8 @@ def judged(pages: DataFrame, rules: dict[str, str], *, id_col: str = "page_id",
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("verdict", verdict_of(F.col("rule"), rules))
     model = model or train(rows)
-    rows = rows.withColumn("blocked", blocked(pages, model, F.col("url"), F.col("host"), F.col("path")))
+    # the trees judge what no rule decides
+    free = [F.when(F.col("rule").isNull(), F.col(c)) for c in ("url", "host", "path")]
+    rows = rows.withColumn("blocked", blocked(pages, model, *free))
     by_model = F.when(F.col("blocked") >= 0.5, "block").otherwise("allow")
     return rows.select(id_col, "host", "path", "rule", F.coalesce("verdict", by_model).alias("verdict"), F.when(F.col("rule").isNull(), F.col("blocked")).alias("blocked"))
