@@ -2,11 +2,12 @@
 
 A text's subwords are, for each run of letters in lower case, its character 2- to 4-grams with word ends and the
 word itself, hashed to buckets. The mean of their embeddings goes through a linear softmax. Part of the sample is not trained on:
-it sets the temperature that makes probabilities honest and the score under which a document is rejected. Since mean and softmax input are linear,
-scoring adds up a remembered row of class sums a word, over whole texts.
+it sets the temperature that makes probabilities honest and the score under which a document is rejected. Since the mean is linear,
+scoring adds up a remembered sum of embeddings a word, over whole texts of any length; every language of the table is learned.
 
 A null text, or one without a letter, is `und` with score 0 and rejected. Ties go to the first language in order. Without any
-row to learn from every text is `und`.
+row to learn from every text is `und`. Rows are judged alone, so repeated rows get equal results. An empty table gives an empty
+result; columns other than the text (in training the id and the language, too) are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, stored
 
 BUCKETS, DIM, EPOCHS = 1 << 16, 16, 6
-#: Learned from: about so many documents a language, of at most so many languages (the most frequent).
-PER_LANGUAGE, MAX_LANGUAGES = 400, 200
+#: Learned from: about so many documents a language.
+PER_LANGUAGE = 400
 REMEMBERED = 300_000
 UNKNOWN = "und"
 words_of = regex.compile(r"\p{L}{1,64}").findall
@@ -40,28 +41,34 @@ def subwords(word: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    #: Bucket embeddings times softmax weights: a row of class sums a bucket.
-    classes: np.ndarray
+    #: A row a bucket: its embedding, or with few languages what the softmax makes of it (then there is no head).
+    rows: np.ndarray
+    head: np.ndarray | None
     bias: np.ndarray
     temperature: float = 1.0
     reject: float = 0.0
 
     def logits(self, total: np.ndarray) -> np.ndarray:
-        return total[:-1] / max(total[-1], 1) + self.bias
+        mean = total[:-1] / max(total[-1], 1)
+        return (mean if self.head is None else mean @ self.head) + self.bias
+
+
+def nothing() -> Model:
+    return Model([], np.zeros((BUCKETS, 0)), None, np.zeros(0))
 
 
 class Words(dict):
-    """Remembers each word's class sums and number of subwords."""
+    """Remembers the sum over each word's subwords, and their number."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((REMEMBERED, len(model.languages) + 1))
+        self.rows = np.zeros((REMEMBERED, model.rows.shape[1] + 1))
 
     def __missing__(self, word: str) -> int:
         at = subwords(word)
         k = len(self)
-        self.rows[k, :-1], self.rows[k, -1] = self.model.classes[at].sum(0), len(at)
+        self.rows[k, :-1], self.rows[k, -1] = self.model.rows[at].sum(0), len(at)
         self[word] = k
         return k
 
@@ -103,17 +110,17 @@ def descend(rows: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, *, e
     return e, w, b
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from about per_language documents of each language, chosen by the hash of their ids among those that learn
     (a condition on docs) allows. A fifth of them sets the temperature and the rejection."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     rows = (rows.where(learn) if learn is not None else rows).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    languages = sorted(sizes)
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = sorted(r.lang for r in sizes.select("lang").collect())
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_language / n) * (1 << 30)))])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.try_element_at(share, F.col("lang")))
+        return nothing()
+    share = sizes.select("lang", F.floor(F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")) * (1 << 30)).alias("share"))
+    chosen = rows.join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("share")).select("id", "lang", "text")
 
     def count(columns: list) -> Iterator[tuple]:
         for i, lang, text in zip(*columns, strict=True):
@@ -128,16 +135,16 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     examples = [(of[r.lang], np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<i4")) for r in got]
     held, used = examples[::5], [x for k, x in enumerate(examples) if k % 5] or examples
     if not used:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+        return nothing()
     e, w, b = descend(used, len(languages))
-    model = Model(languages, e @ w, b)
+    model = Model(languages, e @ w, None, b) if len(languages) <= DIM else Model(languages, e, w, b)
     calibrate(model, held)
     return model
 
 
 def calibrate(model: Model, held: list[tuple[int, np.ndarray, np.ndarray]], lost: float = 0.002) -> None:
     """The temperature of the least log loss; the score that all but a share lost of the held documents reach, a half at most."""
-    x = np.array([(n[:, None] * model.classes[at]).sum(0) / n.sum() + model.bias for _, at, n in held])
+    x = np.array([model.logits(np.append((n[:, None] * model.rows[at]).sum(0), n.sum())) for _, at, n in held])
     y = np.array([k for k, _, _ in held])
     loss = lambda t: -np.log(softmax(x / t)[np.arange(len(y)), y] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
