@@ -6,7 +6,8 @@ neighbouring chunks agree on, the later chunk's boundaries are those of the whol
 encoded in parallel and their ids joined in order. Where chunks find no common boundary (one very long run), the rest
 of that text becomes one piece.
 
-Nulls count as empty texts, which have no ids. Repeated rows stay repeated. Extra columns are not read.
+Nulls count as empty texts, which have no ids. Repeated rows stay repeated, null ids as well. Very long texts are encoded whole. Pairs of
+equal rank are joined from the left. An empty table gives an empty result. Extra columns are not read, and may have any name.
 """
 
 from __future__ import annotations

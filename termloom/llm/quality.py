@@ -5,7 +5,9 @@ over the root of the number of features. Training takes a bounded sample of labe
 chosen by the hash of their ids); scoring is one sparse dot product a text, over whole texts.
 
 Null texts count as empty; an empty text's score is that of the bias alone. Labels other than 0 and 1 are not learned
-from. Without any label every score is 0.5. Rows with equal texts get equal scores.
+from. Without any label every score is 0.5. Rows with equal texts get equal scores; repeated ids count each. Very long texts are
+scored whole. An empty table gives an empty result; columns other than the text (in training the id and the label, too) are not
+read, and may have any name.
 """
 
 from __future__ import annotations

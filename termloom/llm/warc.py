@@ -5,9 +5,11 @@ its records (id, offset, length). A reader finds the end-of-central-directory re
 central directory, the members' places, then the index, and reads the records' ranges.
 
 Of rows with equal payloads of at least MIN_REVISIT bytes the one with the largest id is a response and the others revisit it;
-rows of that same id are all responses. Smaller payloads are all responses. Null payloads count as empty. A row without an id
-revisits, if its payload has a response. Archives are written to the shared folder under names of their own, so a task that runs twice leaves an unused file and no
-wrong one; the written manifest names the files that count.
+rows of that same id are all responses. Payloads are equal if their lengths, their SHA-1 and another hash of 64 bits are. Smaller
+payloads are all responses. Null payloads count as empty. A row without an id revisits, if its payload has a response. Archives
+are written to the shared folder under names of their own, so a task that runs twice leaves an unused file and no wrong one; the
+written manifest names the files that count. Very long payloads are written whole. An empty table gives no archives and an empty
+result; columns other than the id, the URL and the payload are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .common import map_batches, remove, shared_dir, slices, stored
 MIN_REVISIT = 1_000
 #: Bytes of records after which an archive is closed; bytes that a reader asks for at once.
 ARCHIVE_BYTES, RANGE_BYTES = 32 << 20, 4 << 20
+#: Archives that a task reads at most, on the average.
+ARCHIVES = 8
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
 
@@ -153,8 +157,10 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.length("payload") >= MIN_REVISIT
-    seen = rows.where(large).groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL")
-    rows = rows.join(seen.select(F.col("digest").alias("seen"), "response"), (F.col("digest") == F.col("seen")) & large, "left")
+    same = ["digest", "size", "other"]
+    rows = rows.withColumn("size", F.length("payload")).withColumn("other", F.xxhash64("payload"))
+    seen = rows.where(large).groupBy(*same).agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL")
+    rows = rows.join(seen.drop("n"), same, "left")
     rows = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +191,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     return stored(rows.mapInArrow(write, "path string, records bigint"))
 
 
-def read_archives(manifest: DataFrame, *, id_col: str = "page_id", id_type: str = "bigint", payloads: bool = True, files_at_once: int | None = None) -> DataFrame:
-    """A row a record of the manifest's archives: id, url, record_type, payload_bytes and payload_digest of the full payload,
+def read_archives(manifest: DataFrame, *, id_col: str = "page_id", id_type: str = "bigint", payloads: bool = True, archives: int = ARCHIVES) -> DataFrame:
+    """A row a record of the manifest's archives (about `archives` of them a task): id, url, record_type, payload_bytes and payload_digest of the full payload,
     refers_to, and with payloads the payload (null for a revisit). A response's digest is made anew and has to fit its header."""
     from urllib.parse import unquote
 
@@ -202,7 +208,7 @@ def read_archives(manifest: DataFrame, *, id_col: str = "page_id", id_type: str
                         raise ValueError(f"a record of {path} doesn't fit its digest")
                     yield page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], n, digest, page(fields.get("warc-refers-to")), *([payload if fields["warc-type"] == "response" else None] if payloads else [])
 
-    n = files_at_once or manifest.sparkSession.sparkContext.defaultParallelism * 2
+    n = max(manifest.sparkSession.sparkContext.defaultParallelism * 2, -(-manifest.count() // archives))
     out = map_batches(manifest.select("path").repartition(n), read, "id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string" + ", payload binary" * payloads)
     return out.select(F.col("id").cast(id_type).alias(id_col), "url", "record_type", "payload_bytes", "payload_digest", F.col("refers_to").cast(id_type).alias("refers_to"), *(["payload"] if payloads else []))
 
