@@ -256,10 +256,12 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     twos = buckets.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     pairs = stored(sized(twos.unionByName(stars).distinct(), size, percent))
-    freed(live, buckets)
-    sets = _sets(docs, pairs, reps, width)
+    # texts are read once more, for all that may be compared: by pairs here, and within large buckets below
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
+    needed = stored(reps.join(needed, "id").select("id", "doc", "key"))
+    sets = stored(sets_of(docs, needed, width))
+    freed(live, buckets, needed)
     links = stored(verified(pairs, sets, percent))
-    freed(sets)
     known = components(links)
     all_members = members
     members = members.join(known, "id", "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("component"))
@@ -271,9 +273,6 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     cross = sized(x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct(), size, percent)
     cross = stored(cross.join(pairs, ["a", "b"], "left_anti"))
     many = members.where(F.col("members") > small).select("bucket", "id", "n", "component")
-    # a document lies in up to 66 large buckets, but its set is needed once
-    alone = many.select("id").distinct().select(F.col("id").alias("a"), F.col("id").alias("b"))
-    sets = _sets(docs, cross.unionByName(alone), reps, width)
     more = stored(verified(cross, sets, percent).unionByName(by_blocks(many, sets, percent)))
     freed(sets, members, cross, pairs)
     found = components(links.unionByName(more).unionByName(_of_one_id(full, reps)))
@@ -307,7 +306,3 @@ def sized(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     rows = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     return rows.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
-
-def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return stored(sets_of(docs, reps.join(needed, "id"), width))
