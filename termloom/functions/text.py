@@ -21,13 +21,14 @@ USES_FIRST = [
     (r"\b(initial)\b", "Use if the field captures the initial measurement."),
     (r"\b(follow[- ]?up|followup)\b", "Use if the field captures a follow-up timepoint."),
 ]
+# Sites and specimens that a term may name, and uses that come last.
 SITES = ["pulmonary artery", "radial artery", "femoral artery", "carotid artery", "brachial artery", "left arm", "right arm", "arm", "ankle", "wrist", "leg"]
 SPECIMENS = [
     (r"\bcerebrospinal fluid\b|\bcsf\b", "cerebrospinal fluid"), (r"\burine\b", "urine"), (r"\bserum\b", "serum"), (r"\bplasma\b", "plasma"), (r"\bsaliva\b", "saliva"),
     (r"\bsputum\b", "sputum"), (r"\bstool\b|\bfeces\b", "stool"), (r"\btissue\b", "tissue"), (r"\bswab\b", "swab"), (r"\bblood specimen\b|\bwhole blood\b", "blood"),
 ]
 USES_LAST = [(r"\bdiastolic\b", "Use if the field captures diastolic blood pressure."), (r"\bsystolic\b", "Use if the field captures systolic blood pressure.")]
-#: Keys that must not reach a log.
+# Fixed value: keys that must not reach a log.
 KEYS = r"(sk-[A-Za-z0-9_-]{8,}|Bearer\s+\S+|(?i:api[_-]?key)\s*[=:]\s*\S+)"
 
 

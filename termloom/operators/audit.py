@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import code_prefix
 from .ordering import numbered
 
 
-def canonical_queries(pairs: DataFrame, *, query: str = "query", code: str = "code", ord_: str = "ord") -> DataFrame:
-    """pairs: query, code, ord (a total order). A row a query: query_id (dense, by first appearance), its distinct codes in order
-    of appearance and each one's first ord. Numbers come from running counts in two levels."""
-    firsts = pairs.groupBy(F.col(query).alias("query"), F.col(code).alias("code")).agg(F.min(ord_).alias("ord"), F.count("*").alias("copies"))
-    per = firsts.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "code"))).alias("g"), F.min("ord").alias("first_ord"), F.sum("copies").alias("pair_rows"))
-    return numbered(per, "first_ord", ["query"], "query_id").select("query_id", "query", F.transform("g", lambda x: x.code).alias("gold_codes"), F.transform("g", lambda x: x.ord).alias("gold_ords"), "first_ord", "pair_rows")
+def canonical_queries(pairs: DataFrame, *, query: str = "query", code: str = "code", ord_: str = "ord", label: str | None = None) -> DataFrame:
+    """pairs: query, code, ord (a total order), and a label of the code if it is named. A row a query: query_id (dense, by first appearance),
+    its distinct codes in order of appearance, each one's first label and ord. Numbers come from running counts in two levels."""
+    named = F.col(label).cast("string") if label else F.lit(None).cast("string")
+    firsts = pairs.groupBy(F.col(query).alias("query"), F.col(code).alias("code")).agg(F.min(ord_).alias("ord"), F.min_by(named, ord_).alias("label"), F.count("*").alias("copies"))
+    per = firsts.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "code", "label"))).alias("g"), F.min("ord").alias("first_ord"), F.sum("copies").alias("pair_rows"))
+    of = lambda f: F.transform("g", lambda x: x[f])
+    return numbered(per, "first_ord", ["query"], "query_id").select("query_id", "query", of("code").alias("gold_codes"), of("label").alias("gold_labels"), of("ord").alias("gold_ords"), "first_ord", "pair_rows")
 
 
 def mapping_pairs(queries: DataFrame) -> DataFrame:
@@ -34,3 +37,13 @@ def audit(pairs: DataFrame, *, query: str = "query", code: str = "code") -> Data
 def cardinality(pairs: DataFrame, *, query: str = "query", code: str = "code") -> DataFrame:
     """How many queries have how many distinct codes."""
     return pairs.groupBy(query).agg(F.count_distinct(code).alias("codes")).groupBy("codes").agg(F.count("*").alias("queries"))
+
+
+def prefixes(pairs: DataFrame, *, code: str = "code") -> DataFrame:
+    """How many rows have codes of each prefix, NONE for those without one."""
+    return pairs.groupBy(F.coalesce(code_prefix(F.col(code)), F.lit("NONE")).alias("prefix")).agg(F.count("*").alias("rows"))
+
+
+def first_rows(rows: DataFrame, keys: list[str], ord_: str) -> DataFrame:
+    """The first row of each key by an order, with all its columns."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), ord_).alias("_first")).select(*keys, "_first.*")

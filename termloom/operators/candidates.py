@@ -49,15 +49,15 @@ def within_error_limit(rows: DataFrame, key: str = "request_id", limit: float =
     return rows.where(F.col("error").isNull()).join(bad, key, "left_anti")
 
 
-def merged(candidates: DataFrame, *, key: str = "request_id", targets: Column | None = None, strict: bool = False, limit: int | None = None) -> DataFrame:
+def merged(candidates: DataFrame, *, key: str = "request_id", targets: Column | str | None = None, strict: bool = False, limit: int | None = None) -> DataFrame:
     """Duplicates (of vocabulary and upper-cased code) become their best row, which keeps where all of them were found; then
-    eligibility, order and limit. targets: an array of vocabularies, null for any."""
+    eligibility, order and limit. targets: an array of vocabularies, null for any; as a name, a column of a request's rows."""
     good = candidates.where(inconsistency(F.col("ontology"), F.col("code"), F.lit(None).cast("string")).isNull())
     best = F.struct(
         F.col("normalized_score").isNull().alias("a"), (-F.coalesce("normalized_score", F.lit(0.0))).alias("b"), F.col("raw_score").isNull().alias("c"),
         (-F.coalesce("raw_score", F.lit(0.0))).alias("d"), F.coalesce(F.col("definition") == "", F.lit(True)).alias("e"), F.col("ord").alias("f"),
     )
-    fields = [c for c in candidates.columns if c not in (key, "ontology", "retrieved_from")]
+    fields = [c for c in candidates.columns if c not in (key, "ontology", "retrieved_from")]  # a column of targets as well
     group = [key, "ontology", "_code"]
     # rows that were found alike first, so that a group holds no more than the ways in which its code was found
     alike = good.groupBy(key, "ontology", F.upper("code").alias("_code"), "matched_query", F.col("retrieved_from").alias("_from")).agg(
@@ -75,7 +75,7 @@ def merged(candidates: DataFrame, *, key: str = "request_id", targets: Column |
         F.array_distinct(F.flatten(F.transform("_all", lambda x: F.coalesce(x._from, F.array().cast("array<string>"))))).alias("retrieved_from"),
     )
     if targets is not None:
-        one = one.where(eligible(F.col("ontology"), F.col("retrieved_from"), targets, strict=strict))
+        one = one.where(eligible(F.col("ontology"), F.col("retrieved_from"), F.col(targets) if isinstance(targets, str) else targets, strict=strict))
     return ranked(one, key, limit)
 
 

@@ -50,10 +50,10 @@ def results(rows: DataFrame) -> DataFrame:
     """rows: a request's columns, candidates and decision. The mapping result; an unmapped one has the sentinel code. Grounded
     results have a code that a lookup has found."""
     d = F.col("decision")
-    chosen = F.element_at(F.filter("candidates", lambda c: c.code == d.selected_code), 1)
+    chosen = F.get(F.filter("candidates", lambda c: c.code == d.selected_code), F.lit(0))
     rest = F.filter("candidates", lambda c: c.code != d.selected_code)
     listed = F.coalesce(d.alternatives, F.array().cast("array<struct<code: string, confidence: double, explanation: string>>"))
-    named = F.filter(F.transform(listed, lambda a: F.struct(F.element_at(F.filter("candidates", lambda c: c.code == a.code), 1).alias("c"), a.confidence.alias("confidence"), a.explanation.alias("explanation"))), lambda x: x.c.isNotNull())
+    named = F.filter(F.transform(listed, lambda a: F.struct(F.get(F.filter("candidates", lambda c: c.code == a.code), F.lit(0)).alias("c"), a.confidence.alias("confidence"), a.explanation.alias("explanation"))), lambda x: x.c.isNotNull())
     # replies without alternatives: the next candidates by rank, no surer than the chosen one
     filled = F.transform(F.slice(rest, 1, 4), lambda c: F.struct(c.alias("c"), F.least(F.coalesce(c.normalized_score, F.lit(0.0)), d.confidence).alias("confidence"), F.lit(None).cast("string").alias("explanation")))
     alternatives = F.transform(F.when(F.size(named) > 0, named).otherwise(filled), lambda x: F.struct(x.c.code.alias("code"), x.c.term.alias("term"), x.c.ontology.alias("ontology"), x.confidence.alias("confidence"), x.c.source.alias("source"), F.coalesce(x.explanation, explanation(x.c.term)).alias("explanation")))
@@ -69,3 +69,30 @@ def ranks(alternatives: Column, selected: Column) -> Column:
     """The selected code and its alternatives as five ranks."""
     codes = F.concat(F.array(selected), F.transform(alternatives, lambda a: a.code))
     return F.slice(F.concat(codes, F.array_repeat(F.lit(None).cast("string"), 5)), 1, 5)
+
+
+def code_of(answer: Column, candidates: Column) -> Column:
+    """What an answer names: a candidate's place (C1, C2, ...) or a code; null for a blank."""
+    text = F.nullif(F.trim(answer), F.lit(""))
+    at = F.regexp_extract(text, "^C([0-9]{1,6})$", 1).try_cast("int")
+    named = F.get(candidates, at - 1).code
+    return F.coalesce(F.when(at > 0, named), text)
+
+
+def provenance(candidates: DataFrame) -> DataFrame:
+    """What each candidate's retrieval says about it, apart from any decision."""
+    kept = ("code", "term", "ontology", "source", "matched_queries", "retrieved_from", "raw_score", "normalized_score")
+    return candidates.select("request_id", "rank", *[c for c in kept if c in candidates.columns])
+
+
+def ranking_trace(rows: DataFrame) -> DataFrame:
+    """rows: request_id, candidates and decision. The selected candidate and its alternatives with ranks from 1 without gaps, the confidence
+    of the decision and the scores of the retrieval; alternatives that no candidate has are left out."""
+    d = F.col("decision")
+    none = F.array().cast("array<struct<code: string, confidence: double, explanation: string>>")
+    own = F.when(d.selected_code.isNotNull(), F.array(F.struct(d.selected_code.alias("code"), d.confidence.alias("confidence"), F.lit(None).cast("string").alias("explanation"))))
+    named = F.concat(F.coalesce(own, none), F.coalesce(d.alternatives, none))
+    with_candidate = F.transform(named, lambda a: F.struct(F.get(F.filter("candidates", lambda c: c.code == a.code), F.lit(0)).alias("c"), a.confidence.alias("confidence")))
+    kept = F.filter(with_candidate, lambda x: x.c.isNotNull())
+    out = rows.select("request_id", d.selected_code.alias("selected"), F.posexplode(kept).alias("at", "x"))
+    return out.select("request_id", (F.col("at") + 1).alias("rank"), "x.c.code", "x.c.ontology", (F.col("x.c.code") == F.col("selected")).alias("selected"), F.col("x.confidence").alias("final_confidence"), F.col("x.c.raw_score").alias("raw_score"), F.col("x.c.normalized_score").alias("normalized_score"))

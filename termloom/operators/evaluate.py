@@ -9,6 +9,7 @@ from ..functions.gold import same_set
 from ..functions.identity import code_prefix
 from ..functions.numbers import rate
 
+# How answers are classed.
 MATCHES = ("EXACT", "VALID_OTHER", "INVALID", "UNKNOWN", "UNMAPPED", "ERROR")
 SENTINELS = ("UNMAPPED", "NONE", "", "UNKNOWN:UNMAPPED")
 E2E = ("Execution error", "Unmapped", "Gold rank 1", "Gold rank 2", "Gold rank 3", "Gold rank 4", "Gold rank 5", "Mapped, gold not in Top 5")
@@ -57,6 +58,14 @@ def reproducibility(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     return x.join(y, key).agg(F.count("*").alias("n"), mean(F.col("x")[0].eqNullSafe(F.col("y")[0])).alias("top1_agreement"), mean(same_set(F.col("x"), F.col("y"))).alias("top5_agreement"))
 
 
+def end_to_end_agreement(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
+    """As reproducibility(), over all rows of both runs: a failed row agrees with a failed one only."""
+    bad = F.array(F.lit("__ERROR__"))
+    x, y = [r.select(key, F.when(F.col("status") == "error", bad).otherwise(F.col("ranks")).alias(n)) for r, n in ((a, "x"), (b, "y"))]
+    mean = lambda c: F.avg(c.cast("double"))
+    return x.join(y, key).agg(F.count("*").alias("n"), mean(F.col("x")[0].eqNullSafe(F.col("y")[0])).alias("top1_agreement"), mean(same_set(F.col("x"), F.col("y"))).alias("top5_agreement"))
+
+
 def per_hundred(rows: DataFrame, flags: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """How often each condition holds in a hundred rows."""
     return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), *[(F.count_if(c) * 100 / F.count("*")).alias(name) for name, c in flags.items()])

@@ -68,3 +68,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6)
     best = blocks.closest(q.crossJoin(v), k, digits)
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("cosine"), "vec_id")
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def concepts(atoms: DataFrame, k: int, *, preferred: str = "RXNORM", prefix: str = "RXNORM") -> DataFrame:
+    """atoms: request_id, ord, concept, name, source, rank (text). Of a source that answers with several atoms a concept: one candidate a concept,
+    with the name of the preferred source's atom, else the first one there is, and a score by the least rank (ranks that are no
+    number don't count; 0 without any). Concepts without a name are left out; per request the k best, ties in order of appearance."""
+    named = F.trim("name") != ""
+    per = atoms.where(F.trim("concept") != "").groupBy("request_id", F.trim("concept").alias("concept")).agg(
+        F.min_by(F.trim("name"), F.when(named, F.struct((F.coalesce(F.col("source") != preferred, F.lit(True))).alias("a"), F.col("ord").alias("b")))).alias("term"),
+        F.coalesce(F.min(F.coalesce(F.nullif(F.trim("rank"), F.lit("")), F.lit("0")).try_cast("double")), F.lit(0.0)).alias("rank"), F.min("ord").alias("ord"),
+    )
+    out = per.where("term IS NOT NULL").select("request_id", F.concat(F.lit(f"{prefix}:"), "concept").alias("code"), "term", positional(F.col("rank"), "inverse").alias("score"), "ord")
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "ord")
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.gold import first_gold_rank, fractional, hit, prf, recall_at_gold, reciprocal
 from ..functions.numbers import rate
 
+# Relationships that count as related, and outcomes.
 RELATED = ("More Specific", "More General", "Sibling")
 OUTCOMES = ("Execution error", "Abstained", "Gold rank 1", "Gold rank 2-3", "Gold rank 4-5", "No gold in Top 5")
 

@@ -54,6 +54,26 @@ class Retrying:
         return []
 
 
+@dataclass(frozen=True)
+class CallSettings:
+    """What a caller wants of every call; unset fields leave a component's own choice. With force, the temperature counts even if it is None."""
+
+    temperature: float | None = None
+    force: bool = False
+    effort: str | None = None
+    seed: int | None = None
+    strict: bool = False
+
+
+def settings_of(wanted: CallSettings | None, temperature: float | None, **own) -> tuple[float | None, dict]:
+    """The temperature and other settings of a call: a component's own, where the caller has none."""
+    if wanted is None:
+        return temperature, own
+    own |= {k: v for k, v in (("reasoning_effort", wanted.effort), ("seed", wanted.seed)) if v is not None}
+    own |= {k: True for k, v in (("force_temperature", wanted.force), ("strict", wanted.strict)) if v}
+    return (wanted.temperature if wanted.force or wanted.temperature is not None else temperature), own
+
+
 def answered(rows: DataFrame, provider, *, prompt: str = "prompt", batch: int = 64) -> DataFrame:
     """rows with a struct column answer: the reply, or why there is none, and what it took."""
     names = rows.columns

@@ -15,7 +15,7 @@ from .functions import gold as G
 from .functions import identity as I
 from .functions import numbers as N
 from .functions import text as T
-from .operators import audit, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score
+from .operators import audit, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score, summaries, validate
 from .plans import mapping
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +95,7 @@ def identity_resolve(spark, d):
 @query("SELECT coalesce(CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END, 'NONE') AS namespace, count(*) AS count FROM part GROUP BY 1")
 def namespace_distribution(spark, d):
     p = table(spark, d, "part").select(F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("b"))
-    return p.groupBy(F.coalesce("b", F.lit("NONE")).alias("namespace")).agg(F.count("*").alias("count"))
+    return summaries.namespaces(p, "b").select("namespace", "count")
 
 
 # --- gold pairs -------------------------------------------------------------------------------------------------------
@@ -203,17 +203,17 @@ def outcome_distribution(spark, d):
 @query(f"WITH {_PRED} SELECT count(*) AS rows, count(*) FILTER (WHERE status <> 'error' AND (status = 'unmapped' OR ranks[1] IS NULL)) AS abstained, round(count(*) FILTER (WHERE status <> 'error' AND (status = 'unmapped' OR ranks[1] IS NULL)) / count(*), 6) AS abstention_rate, round(count(*) FILTER (WHERE status = 'mapped' AND len(gold) > 0) / count(*) FILTER (WHERE status = 'mapped'), 6) AS grounding_rate FROM g")
 def abstention_and_grounding(spark, d):
     p = predictions(spark, d).withColumn("a", score.abstained(F.col("status"), F.col("ranks")[0]))
-    mapped = F.count_if(F.col("status") == "mapped")
-    return rounded(p.agg(F.count("*").alias("rows"), F.count_if("a").alias("abstained"), N.rate(F.count_if("a"), F.count("*")).alias("abstention_rate"), N.rate(F.count_if((F.col("status") == "mapped") & (F.size("gold") > 0)), mapped).alias("grounding_rate")))
+    abstained = p.agg(F.count("*").alias("rows"), F.count_if("a").alias("abstained"), N.rate(F.count_if("a"), F.count("*")).alias("abstention_rate"))
+    grounding = validate.grounding(p.withColumn("was_retrieved", F.size("gold") > 0)).select("grounding_rate")
+    return rounded(summaries.beside(abstained, grounding, []))
 
 
 @query("WITH v AS (SELECT l_partkey AS k, CASE WHEN p_partkey IS NULL THEN 'INVALID' WHEN p_size > 45 THEN 'UNRESOLVED' ELSE 'VALID' END AS s FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5) SELECT count(*) AS mapped, count(*) FILTER (WHERE s = 'VALID') AS valid, count(*) FILTER (WHERE s = 'INVALID') AS invalid, count(*) FILTER (WHERE s = 'UNRESOLVED') AS unresolved, round(count(*) FILTER (WHERE s = 'INVALID') / count(*) FILTER (WHERE s IN ('VALID', 'INVALID')), 6) AS hallucination_rate, round(count(*) FILTER (WHERE s IN ('VALID', 'INVALID')) / count(*), 6) AS coverage FROM v")
 def hallucination_summary(spark, d):
     known = table(spark, d, "part").where("p_size > 5").select("p_partkey", "p_size")
     s = F.when(F.col("p_partkey").isNull(), "INVALID").when(F.col("p_size") > 45, "UNRESOLVED").otherwise("VALID")
-    v = table(spark, d, "lineitem").select("l_partkey").join(known, F.col("l_partkey") == F.col("p_partkey"), "left").select(s.alias("s"))
-    n = lambda *x: F.count_if(F.col("s").isin(*x))
-    return rounded(v.agg(F.count("*").alias("mapped"), n("VALID").alias("valid"), n("INVALID").alias("invalid"), n("UNRESOLVED").alias("unresolved"), N.rate(n("INVALID"), n("VALID", "INVALID")).alias("hallucination_rate"), N.rate(n("VALID", "INVALID"), F.count("*")).alias("coverage")))
+    v = table(spark, d, "lineitem").select("l_partkey").join(known, F.col("l_partkey") == F.col("p_partkey"), "left").select(s.alias("validation_status"), F.lit("mapped").alias("status"))
+    return rounded(validate.hallucination(v).drop("not_applicable", "unresolved_rate"))
 
 
 @query(f"WITH {_PRED} SELECT metric, value FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS n, round(avg(top1::DOUBLE), 6) AS top1, round(CAST(avg(rr) AS DOUBLE), 6) AS mrr FROM s) ON n, top1, mrr INTO NAME metric VALUE value)")
@@ -519,7 +519,7 @@ def circuit_breaker(spark, d):
 @query("SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderstatus = 'F') AS mapped, count(*) FILTER (WHERE o_orderstatus = 'O') AS unmapped, count(*) FILTER (WHERE o_orderstatus = 'P') AS error FROM orders")
 def execution_diagnostics(spark, d):
     o = orders(spark, d)
-    return o.agg(F.count("*").alias("rows"), *[F.count_if(F.col("status") == s).alias(s) for s in ("mapped", "unmapped", "error")])
+    return summaries.execution(o).drop("error_rate")
 
 
 @query("SELECT l_returnflag AS flag, round(avg(l_quantity), 4) AS l_quantity_mean, quantile_cont(l_quantity, 0.5) AS l_quantity_median, round(quantile_cont(l_quantity, 0.95), 6) AS l_quantity_p95, sum(l_quantity) AS l_quantity_sum, count(l_quantity) AS l_quantity_n FROM lineitem GROUP BY 1")
@@ -539,8 +539,8 @@ def cost_projection(spark, d):
 
 @query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, max_by(role, turn) AS last_role FROM conversations GROUP BY conv_id")
 def usage_accumulate(spark, d):
-    c = table(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).cast("bigint").alias("chars"), F.max_by("role", "turn").alias("last_role"))
+    c = table(spark, d, "conversations").withColumn("chars", F.length("text"))
+    return summaries.usage(c, ["conv_id"], order="turn", model="role", tokens=("chars",)).select("conv_id", F.col("calls").alias("turns"), F.col("chars").cast("bigint"), F.col("role").alias("last_role"))
 
 
 # --- texts ------------------------------------------------------------------------------------------------------------
@@ -652,13 +652,15 @@ def abbreviations(spark, d):
 @query("SELECT route, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors, CAST(sum(retries) AS BIGINT) AS retries, count(*) FILTER (WHERE retries <> 0) AS rows_with_retries FROM (SELECT event_type AS route, event_id % 13 = 0 AS failed, event_id % 4 AS retries FROM events) GROUP BY route")
 def retrieval_diagnostics(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("route"), (F.col("event_id") % 13 == 0).alias("failed"), (F.col("event_id") % 4).alias("retries"))
-    return e.groupBy("route").agg(F.count("*").alias("calls"), F.count_if("failed").alias("errors"), F.sum("retries").alias("retries"), F.count_if(F.coalesce("retries", F.lit(0)) != 0).alias("rows_with_retries"))
+    none = F.lit(0).cast("bigint")
+    e = e.select("route", none.alias("requests"), "retries", none.alias("recovered"), F.col("failed").cast("bigint").alias("final"), F.col("route").alias("source"))
+    return summaries.retrieval(e, ["route"]).select("route", F.col("rows").alias("calls"), F.col("final").alias("errors"), "retries", "rows_with_retries")
 
 
 @query("WITH p AS (SELECT p_partkey AS k, p_brand AS ns, CASE WHEN p_partkey % 9 = 0 THEN 'MONDO:' || p_partkey ELSE 'HP:' || p_partkey END AS code FROM part) SELECT k, 'MONDO' AS found, 'HPO' AS expected FROM p WHERE code LIKE 'MONDO%'")
 def namespace_violations(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("MONDO:"), "p_partkey")).otherwise(F.concat(F.lit("HP_"), "p_partkey")).alias("code"))
-    return p.select("k", I.namespace(F.col("code")).alias("found"), F.lit("HPO").alias("expected")).where("found <> expected")
+    return validate.violations_of_namespace(p.withColumn("target", F.lit("hp")), "code", "target").select("k", "found", "expected")
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c.k IS NULL THEN 'missing left' WHEN s.k IS NULL THEN 'missing right' ELSE 'differs' END AS reason FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer) c FULL JOIN (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier) s ON c.k = s.k WHERE c.k IS NULL OR s.k IS NULL OR c.n <> s.n) GROUP BY reason")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from termloom import queries as Q
+from termloom import reports  # noqa: F401  registers its queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
