@@ -33,14 +33,16 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: of its smallest id. Rows without an id or without words all stay, but
     equal rows of one id are one."""
-    found = neardup.grouped(docs, width=5, percent=80).where("one AND id IS NOT NULL")
+    found = neardup.grouped(docs, width=5, percent=80)
     # texts with equal sets (in upper and lower case, say) may share an id
-    kept = stored(found.groupBy("id", F.when(F.col("n") == 0, F.col("digest")).alias("empty")).agg(F.min("digest").alias("digest")).drop("empty"))
+    kept = found.where("one AND id IS NOT NULL").groupBy("id", F.when(F.col("n") == 0, F.col("digest")).alias("empty")).agg(F.min("digest").alias("digest"))
+    kept = stored(kept.drop("empty"))
+    freed(found)
     rows = wrapped(docs)
-    same = (rows["id"] == kept["id"]) & rows["digest"].eqNullSafe(kept["digest"])
+    # partitioned alike for the join and for what repeats, so that texts are sent once
     once = Window.partitionBy("id", "digest").orderBy(F.xxhash64("row"))
-    one = rows.join(kept, same, "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1")
-    return one.unionByName(rows.where("id IS NULL").withColumn("nth", F.lit(1))).select("row.*")
+    one = rows.join(kept, ["id", "digest"], "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row")
+    return one.unionByName(rows.where("id IS NULL").select("row")).select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
