@@ -11,7 +11,7 @@ ROUNDS = 60
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a and b, whole numbers. Returns id and component, the smallest id reachable, for every id with a link to another.
+    """edges: a and b, whole numbers. Returns, stored, id and component, the smallest id reachable, for every id with a link to another.
 
     Alternates two star steps until nothing changes: every node's larger neighbours are linked to its smallest neighbour (or
     itself), then every node and its smaller neighbours are linked to the smallest of them. Sums of a node's links are partial
@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"links did not settle in {ROUNDS} rounds")
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ends.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = stored(ends.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+    freed(now)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:

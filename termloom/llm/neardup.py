@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 1, small: int = SMALL) -> DataFrame:
-    """Per row of docs: id, digest (xxhash64 of its text), n, component, and one: whether its set is the one that stands for the
+    """Stored, per row of docs: id, digest (xxhash64 of its text), n, component, and one: whether its set is the one that stands for the
     component, which is of the smallest id."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("digest", F.xxhash64("text"))
@@ -277,7 +277,9 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     freed(sets, members, cross, pairs)
     found = components(links.unionByName(more).unionByName(_of_one_id(full, reps)))
     freed(links, more)
-    return _named(seen, reps, found)
+    out = stored(_named(seen, reps, found))
+    freed(seen, reps, found)
+    return out
 
 
 def _of_one_id(full: DataFrame, reps: DataFrame) -> DataFrame:
