@@ -16,9 +16,23 @@ KEYS = {
 }
 
 
-def first_of(raw: Column, keys: list[str]) -> Column:
-    """The first non-blank value of a map's keys."""
-    return F.coalesce(*[blank(F.try_element_at(raw, F.lit(k))) for k in keys])
+def items(value: Column) -> Column:
+    """The non-blank items of a value that is a JSON list, or the value alone."""
+    text = blank(value)
+    held = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
+    return F.filter(F.transform(F.coalesce(held, F.array(text)), blank), lambda x: x.isNotNull())
+
+
+def first_of(raw: Column, keys: list[str], lists: bool = False) -> Column:
+    """The first non-blank value of a map's keys; with lists the first item of a value that is a JSON list."""
+    value = lambda k: F.try_element_at(raw, F.lit(k))
+    return F.coalesce(*[F.get(items(value(k)), F.lit(0)) if lists else blank(value(k)) for k in keys])
+
+
+def search_spaces(raw: Column) -> Column:
+    """Where a hit was found: the listed vocabularies, then the requested one, canonical, each once."""
+    value = lambda k: F.try_element_at(raw, F.lit(k))
+    return F.array_distinct(F.array_compact(F.transform(F.concat(items(value("retrieved_from_ontologies")), F.array(value("requested_ontology"))), canonical)))
 
 
 def normalized(hits: DataFrame, *, raw: str = "raw", mode: str = "public") -> DataFrame:
@@ -28,21 +42,27 @@ def normalized(hits: DataFrame, *, raw: str = "raw", mode: str = "public") -> Da
     out = hits.select(
         "*",
         *[first_of(r, KEYS[k]).alias(f"_{k}") for k in ("code", "term", "ontology", "source")],
-        first_of(r, KEYS["definition"]).alias("definition"),
+        first_of(r, KEYS["definition"], lists=True).alias("definition"),
         F.coalesce(*[F.try_element_at(r, F.lit(k)).try_cast("double") for k in KEYS["score"]]).alias("raw_score"),
         F.try_element_at(r, F.lit("normalized_score")).try_cast("double").alias("_given"),
         blank(F.try_element_at(r, F.lit("iri"))).alias("_iri"),
-        F.array_compact(F.array(canonical(F.try_element_at(r, F.lit("requested_ontology"))))).alias("retrieved_from"),
+        search_spaces(r).alias("retrieved_from"),
     )
     out = out.withColumn("_id", resolved(F.col("_code"), F.col("_iri"), F.col("_ontology"), F.col("default_ontology")))
     error = F.when(F.col("_code").isNull(), "no code").when(F.col("_term").isNull(), "no term").when(F.col("_id").isNull(), "no consistent identity")
     return out.select(
         *hits.columns, F.col("_id.code").alias("code"), F.col("_term").alias("term"), F.col("_id.ontology").alias("ontology"), "definition",
-        F.coalesce("_source", F.lit("public_api" if mode == "public" else "local_index")).alias("source"), "raw_score",
+        F.coalesce("_source", F.lit("public_api" if mode == "public" else "local_sapbert")).alias("source"), "raw_score",
         F.coalesce(clamp_unit(F.col("_given")), clamp_unit(F.col("raw_score"))).alias("normalized_score"), "retrieved_from", error.alias("error"),
     )
 
 
+def all_or_error(rows: DataFrame) -> DataFrame:
+    """The candidates of rows of normalized(); one that can't be a candidate ends the job, whichever columns are read."""
+    bad = F.raise_error(F.concat(F.lit("a hit can't be a candidate: "), F.col("error"))).cast("boolean")
+    return rows.where(F.when(F.col("error").isNull(), True).otherwise(bad)).drop("error")
+
+
 def within_error_limit(rows: DataFrame, key: str = "request_id", limit: float = 0.5) -> DataFrame:
     """Good rows of requests of which at most the limit's share failed; a failed share counts by partial aggregates."""
     bad = rows.groupBy(key).agg(F.avg(F.col("error").isNotNull().cast("double")).alias("bad")).where(F.col("bad") > limit)

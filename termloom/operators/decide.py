@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import explanation, without_fences
 
-REPLY = "selected_code string, is_unmapped boolean, confidence double, reasoning string, alternatives array<struct<code: string, confidence: double, explanation: string>>"
+REPLY = "selected_code string, selected_candidate_id string, is_unmapped boolean, confidence double, reasoning string, alternatives array<struct<code: string, confidence: double, explanation: string>>, alternative_codes array<string>"
 UNMAPPED = "UNKNOWN:UNMAPPED"
 HIGH = 0.8
 
@@ -25,24 +25,31 @@ def prompts(requests: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def decision(reply: Column, candidates: Column, most: int = 5) -> Column:
-    """A struct: selected_code, is_unmapped, confidence, reasoning, alternatives, policy. A code that no candidate has, a
-    confidence outside [0, 1] or no JSON make it unmapped, policy says why. Alternatives are cut to most first; those go that
-    no candidate has, that repeat the selected code, or that are surer than it; then they are sorted by confidence."""
+    """A struct: selected_code, is_unmapped, confidence, reasoning, alternatives, policy. A code that no candidate has or that isn't the
+    named candidate's (C1, C2, ...), a confidence outside [0, 1] or no JSON make it unmapped, policy says why. Alternatives (codes or candidates; a plain list of
+    them has no confidence) are cut to most first; those go that no candidate has, that repeat the selected code, or that are surer than it; then they are
+    sorted by confidence. Where nothing is selected by choice, alternatives keep their own confidence."""
+    kind = "array<struct<code: string, confidence: double, explanation: string>>"
     got = F.from_json(without_fences(reply), REPLY)
     codes = F.transform(candidates, lambda c: c.code)
+    named = code_of(got.selected_candidate_id, candidates)
     policy = (
         F.when(got.isNull() | (got.selected_code.isNull() & got.is_unmapped.isNull()), "invalid reply")
         .when(F.coalesce(got.is_unmapped, F.lit(False)), "unmapped by choice")
         .when(~F.coalesce(F.array_contains(codes, got.selected_code), F.lit(False)), "code is not a candidate")
+        .when(F.coalesce(named != got.selected_code, F.lit(False)), "code is not the named candidate's")
         .when(~F.coalesce(got.confidence.between(0.0, 1.0), F.lit(False)), "invalid confidence")
     )
-    ok = policy.isNull()
-    some = F.slice(F.coalesce(got.alternatives, F.array().cast("array<struct<code: string, confidence: double, explanation: string>>")), 1, most)
-    good = F.filter(some, lambda a: F.array_contains(codes, a.code) & (a.code != got.selected_code) & (a.confidence <= got.confidence))
+    ok, chosen_none = policy.isNull(), F.coalesce(policy == "unmapped by choice", F.lit(False))
+    plain = F.transform(got.alternative_codes, lambda a: F.struct(a.alias("code"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("explanation"))).cast(kind)
+    some = F.slice(F.coalesce(got.alternatives, plain, F.array().cast(kind)), 1, most)
+    some = F.transform(some, lambda a: F.struct(code_of(a.code, candidates).alias("code"), a.confidence.alias("confidence"), a.explanation.alias("explanation")))
+    fits = lambda a: F.array_contains(codes, a.code) & a.confidence.between(0.0, 1.0) & F.when(ok, (a.code != got.selected_code) & (a.confidence <= got.confidence)).otherwise(chosen_none)
+    good = F.filter(some, lambda a: F.coalesce(fits(a), F.lit(False)))
     ordered = F.transform(F.array_sort(F.transform(good, lambda a, i: F.struct((-a.confidence).alias("k"), i.alias("i"), a.alias("a")))), lambda x: x.a)
     return F.struct(
         F.when(ok, got.selected_code).alias("selected_code"), (~ok).alias("is_unmapped"), F.when(ok, got.confidence).otherwise(F.lit(0.0)).alias("confidence"),
-        got.reasoning.alias("reasoning"), F.when(ok, ordered).alias("alternatives"), policy.alias("policy"),
+        got.reasoning.alias("reasoning"), F.when(ok | chosen_none, ordered).alias("alternatives"), policy.alias("policy"),
     )
 
 
@@ -56,7 +63,7 @@ def results(rows: DataFrame) -> DataFrame:
     named = F.filter(F.transform(listed, lambda a: F.struct(F.get(F.filter("candidates", lambda c: c.code == a.code), F.lit(0)).alias("c"), a.confidence.alias("confidence"), a.explanation.alias("explanation"))), lambda x: x.c.isNotNull())
     # replies without alternatives: the next candidates by rank, no surer than the chosen one
     filled = F.transform(F.slice(rest, 1, 4), lambda c: F.struct(c.alias("c"), F.least(F.coalesce(c.normalized_score, F.lit(0.0)), d.confidence).alias("confidence"), F.lit(None).cast("string").alias("explanation")))
-    alternatives = F.transform(F.when(F.size(named) > 0, named).otherwise(filled), lambda x: F.struct(x.c.code.alias("code"), x.c.term.alias("term"), x.c.ontology.alias("ontology"), x.confidence.alias("confidence"), x.c.source.alias("source"), F.coalesce(x.explanation, explanation(x.c.term)).alias("explanation")))
+    alternatives = F.transform(F.when((F.size(named) > 0) | d.is_unmapped, named).otherwise(filled), lambda x: F.struct(x.c.code.alias("code"), x.c.term.alias("term"), x.c.ontology.alias("ontology"), x.confidence.alias("confidence"), x.c.source.alias("source"), F.coalesce(x.explanation, explanation(x.c.term)).alias("explanation")))
     none = d.is_unmapped
     return rows.select(
         "request_id", F.col("term").alias("source_term"), F.col("label").alias("source_label"), F.col("type").alias("source_type"),

@@ -1,6 +1,7 @@
 """The seam to language models: a provider answers batches of prompts inside tasks; the default one is deterministic and offline.
 
-A provider is a picklable object with complete(prompts) -> replies. Replies are text; what is wrong with them is found by expressions
+A provider is a picklable object with complete(prompts) -> replies, and, where it knows tokens, usage(prompts, replies) -> pairs of input and output tokens; without
+it they stay unknown. Replies are text; what is wrong with them is found by expressions
 afterwards. A call that fails becomes a row with an error and doesn't end the job. Persist answered rows before they are read twice:
 a task that runs again asks again.
 """
@@ -43,6 +44,9 @@ class Retrying:
     wait: float = 2.0
     sleep: Callable[[float], None] = time.sleep
 
+    def usage(self, prompts: list[str], replies: list[str]) -> list[tuple]:
+        return self.inner.usage(prompts, replies) if hasattr(self.inner, "usage") else [(None, None)] * len(prompts)
+
     def complete(self, prompts: list[str]) -> list[str]:
         for k in range(self.attempts):
             try:
@@ -90,8 +94,9 @@ def answered(rows: DataFrame, provider, *, prompt: str = "prompt", batch: int =
                     replies, error = [None] * len(some), f"{type(e).__name__}: {e}"[:500]
                 took = (time.time() - began) / max(len(some), 1)
                 some["reply"], some["error"], some["seconds"] = replies, error, took
-                some["input_tokens"] = some[prompt].str.split().str.len()
-                some["output_tokens"] = pd.Series([len(r.split()) if r else 0 for r in replies], index=some.index)
+                known = provider.usage(list(some[prompt]), replies) if error is None and hasattr(provider, "usage") else [(None, None)] * len(some)
+                for k, name in enumerate(("input_tokens", "output_tokens")):
+                    some[name] = pd.Series([u[k] for u in known], index=some.index, dtype="Int64")
                 yield some
 
     out = rows.mapInPandas(run, schema)

@@ -47,7 +47,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small table as Markdown, numbers with four digits."""
-    rows = df.limit(most).collect()
+    """A small table as Markdown, numbers with four digits; one of more rows than most is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write a CSV")
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join([f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}", *[f"| {' | '.join(map(show, r))} |" for r in rows]])

@@ -192,3 +192,36 @@ def test_summaries_of_nothing(spark):
     none = spark.createDataFrame([], "route string, requests int, retries int, recovered int, final int, source string")
     assert tuple(summaries.retrieval(none).first())[:5] == (0, 0, 0, 0, 0)
     assert summaries.namespaces(none, "route").count() == 0
+
+
+def test_decisions_by_candidate_and_without_a_choice(spark):
+    c = F.array(*[F.struct(F.lit(f"A:{k}").alias("code")) for k in (1, 2, 3)])
+    replies = [
+        {"selected_code": "A:1", "selected_candidate_id": "C2", "confidence": 0.5},
+        {"selected_code": "A:1", "selected_candidate_id": "C1", "confidence": 0.5, "alternatives": [{"code": "C2", "confidence": 0.4}, {"code": "A:3", "confidence": None}]},
+        {"is_unmapped": True, "confidence": 0.0, "alternatives": [{"code": "A:2", "confidence": 0.3}, {"code": "C3", "confidence": 0.9}, {"code": "X", "confidence": 0.1}]},
+        {"selected_code": "A:2", "confidence": 0.7, "alternative_codes": ["C1", "A:2", "nope"]},
+    ]
+    rows = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(replies)], "k int, reply string").orderBy("k")
+    got = [r.d for r in rows.select(decide.decision(F.col("reply"), c).alias("d")).collect()]
+    assert got[0].policy == "code is not the named candidate's" and got[0].alternatives is None
+    assert got[1].selected_code == "A:1" and [(a.code, a.confidence) for a in got[1].alternatives] == [("A:2", 0.4)]
+    assert got[2].is_unmapped and [a.code for a in got[2].alternatives] == ["A:3", "A:2"]
+    assert got[3].selected_code == "A:2" and [(a.code, a.confidence) for a in got[3].alternatives] == [("A:1", 0.0)]
+
+
+def test_hits_with_lists(spark):
+    from termloom.operators import candidates as C
+
+    raw = {"code": "HP:1", "label": "a", "definitions": '[" ", "first", "second"]', "requested_ontology": "efo", "retrieved_from_ontologies": '["hp", "EFO"]'}
+    rows = spark.createDataFrame([(1, "EFO", raw), (2, "EFO", {"term": "no code"})], "request_id int, default_ontology string, raw map<string,string>")
+    good = C.normalized(rows, mode="local").where("request_id = 1")
+    row = C.all_or_error(good).first()
+    assert (row.definition, row.retrieved_from, row.source) == ("first", ["HPO", "EFO"], "local_sapbert")
+    with pytest.raises(Exception, match="no code"):
+        C.all_or_error(C.normalized(rows)).select("request_id").collect()
+
+
+def test_markdown_of_a_long_table(spark):
+    with pytest.raises(ValueError, match="more than 3"):
+        files.markdown(spark.range(9), most=3)
