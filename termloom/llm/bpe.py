@@ -122,7 +122,10 @@ def coder(content: bytes, pattern: str) -> Coder:
     return _coders[key]
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN,
+    chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False,
+) -> DataFrame:
     """Per row of docs: the id, n_tokens long and ids binary (little-endian unsigned 32-bit), and with decoded the bytes
     that the ids stand for. vocabulary: the path of a rank file, by default a public one."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
@@ -145,7 +148,9 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
 def _long(rows: DataFrame, content, pattern: str, kind: str, chunk: int, overlap: int, decoded: bool) -> DataFrame:
     """Encodes texts longer than a chunk; each step's rows are chunks or pieces of at most a few chunks."""
     size = F.length("text").cast("int")
-    cut = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", size.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int")), lambda c: F.substring("text", c * chunk + 1, F.lit(chunk + overlap)))).alias("c", "part"))
+    starts = F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))
+    chunks = F.transform(starts, lambda c: F.substring("text", c * chunk + 1, F.lit(chunk + overlap)))
+    cut = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", size.alias("n"), F.posexplode(chunks).alias("c", "part"))
 
     def pretokenise(columns: list) -> Iterator[tuple]:
         find = coder(content.value, pattern).boundaries

@@ -165,7 +165,10 @@ def copies(seed: int) -> Column:
     return F.when(F.col("tokens") > 0, F.col("passes") + last.cast("int")).otherwise(F.lit(1)).cast("bigint")
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float | None = 2.0, entropy: float | None = None, budget_tokens: int | None = None, seed: int = 1) -> DataFrame:
+def mixed(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    max_repeats: float | None = 2.0, entropy: float | None = None, budget_tokens: int | None = None, seed: int = 1,
+) -> DataFrame:
     """Per row of docs: id, source, tokens, block, weight (of its source), copies (how often the mix has it) and place, the
     position of its block in the last pass's permutation. Rows with copies = 0 are not in the mix.
 
@@ -180,7 +183,10 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("tokens").alias("n_tokens"), "block", "place", "weight", copies(seed).alias("copies"))
 
 
-def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float | None = 2.0, entropy: float | None = None, budget_tokens: int | None = None, seed: int = 1) -> DataFrame:
+def repeated(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    max_repeats: float | None = 2.0, entropy: float | None = None, budget_tokens: int | None = None, seed: int = 1,
+) -> DataFrame:
     """The rows of docs, each as often as the mix has it."""
     rows = stored(counted(docs, id_col, text_col, source_col))
     plan, blocks = planned(rows, seed, max_repeats=max_repeats, entropy=entropy, budget_tokens=budget_tokens)

@@ -143,9 +143,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     both = np.concatenate([x, y])
                     both.sort()
                     hit.append(bool(similar(np.count_nonzero(both[1:] == both[:-1]), len(x), len(y), percent)))
-                yield pa.RecordBatch.from_pydict({"a": pa.array([i for i, h in zip(a, hit, strict=True) if h], pa.int64()), "b": pa.array([i for i, h in zip(b, hit, strict=True) if h], pa.int64())})
+                kept = [pa.array([i for i, h in zip(side, hit, strict=True) if h], pa.int64()) for side in (a, b)]
+                yield pa.RecordBatch.from_arrays(kept, ["a", "b"])
 
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("set").alias(f"s{k}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -198,7 +200,8 @@ def by_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     of_id = stored(rows.select("id", "component", block.alias("block"), F.when(own, F.col("component")).alias("only")))
     rows = of_id.join(sets, "id").groupBy("block").agg(F.first("only").alias("only"), F.array_sort(F.collect_list(F.struct("id", "component", "set"))).alias("x"))
-    blocks = stored(rows.select("block", "only", F.transform("x", lambda x: x.id).alias("ids"), F.transform("x", lambda x: x.component).alias("components"), F.transform("x", lambda x: x.set).alias("sets")))
+    each = lambda f, name: F.transform("x", lambda x: x[f]).alias(name)
+    blocks = stored(rows.select("block", "only", each("id", "ids"), each("component", "components"), each("set", "sets")))
     of = members.join(of_id.select("id", "block", "only"), "id").select("bucket", "block", "only").distinct()
     one, two = [of.select("bucket", F.col("block").alias(f"b{k}"), F.col("only").alias(f"only{k}")) for k in (1, 2)]
     apart = F.col("only1").isNull() | F.col("only2").isNull() | (F.col("only1") != F.col("only2"))

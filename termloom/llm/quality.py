@@ -89,7 +89,10 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, *, epochs: i
     return Model(w[:size].astype(np.float32), float(w[size]), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, max_rows: int = MAX_ROWS, bits: int = BITS) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    learn: Column | None = None, max_rows: int = MAX_ROWS, bits: int = BITS,
+) -> Model:
     """Learns from about max_rows labelled rows (chosen by the hash of their ids) of the documents that learn allows.
 
     learn is a condition on the labels' id column. The sample's ids and labels are about max_rows rows, so they are

@@ -86,12 +86,17 @@ def winners(joined: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(run, "q int, place int, query_id bigint, id bigint, score bigint")
 
 
-def top_k(vectors: DataFrame, k: int, *, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = ROWS, query_rows: int = QUERY_ROWS, bins: int = BINS, scale: int = 64, slab_bytes: int = SLAB_BYTES) -> DataFrame:
+def top_k(
+    vectors: DataFrame, k: int, *, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
+    rows: int = ROWS, query_rows: int = QUERY_ROWS, bins: int = BINS, scale: int = 64, slab_bytes: int = SLAB_BYTES,
+) -> DataFrame:
     """query_id, rank (from 1), the candidate's id and score for every row that is_query holds for. A component x counts
     as floor(scale * x), x as double; products are exact while their sums stay below 2**53."""
     spark = vectors.sparkSession
     whole = lambda x: F.floor(x.cast("double") * scale).cast("double")
-    good = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.transform(vector_col, whole).alias("vec"))
+    good = vectors.where(usable(vector_col) & F.col(id_col).isNotNull())
+    asks = F.coalesce(is_query, F.lit(False)).alias("is_query")
+    good = good.select(F.col(id_col).cast("bigint").alias("id"), asks, F.transform(vector_col, whole).alias("vec"))
     candidates = stored(packed(good, [], rows).repartition(spark.sparkContext.defaultParallelism * 3))
     reach = candidates.select(F.max("largest").alias("m")).first().m
     asked = stored(good.where("is_query").select("id", "vec"))
@@ -133,7 +138,8 @@ def _best(queries: DataFrame, candidates: DataFrame, k: int, reach: int, bins: i
         hit = found.where((F.col("above") + F.col("up_to") >= k) & (F.col("above") + F.col("up_to") - F.col("n") < k))
         hit = hit.select("q", "place", (F.col("base") + F.col("bin") * width).alias("new_base"), (F.col("above") + F.col("up_to") - F.col("n")).alias("new_above"))
         # a query with fewer than k candidates takes all: its limit stays at the lowest
-        last, state = state, stored(state.join(hit, ["q", "place"], "left").select("q", "place", F.coalesce("new_base", F.lit(-reach - 1)).alias("base"), F.coalesce("new_above", "above").alias("above")))
+        base, above = F.coalesce("new_base", F.lit(-reach - 1)), F.coalesce("new_above", "above")
+        last, state = state, stored(state.join(hit, ["q", "place"], "left").select("q", "place", base.alias("base"), above.alias("above")))
         freed(last)
         span = width
     best = Window.partitionBy("q", "place").orderBy(F.desc("score"), "id")

@@ -29,7 +29,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_ROWS, TREES, DEPTH, BINS = 20_000, 30, 3, 32
 #: Suffixes with fewer labelled URLs have no statistics of their own.
 LEAST = 5
-FEATURES = ("length", "host length", "path length", "depth", "digit ratio", "entropy", "parameters", "longest part", "labels", "hyphens", "fragment", "last label's share", "last two labels' share", "share of those with the first directory", "extension's share")
+FEATURES = (
+    "length", "host length", "path length", "depth", "digit ratio", "entropy", "parameters", "longest part", "labels", "hyphens", "fragment",
+    "last label's share", "last two labels' share", "share of those with the first directory", "extension's share",
+)
 
 
 def host_of(url: Column) -> Column:
@@ -136,7 +139,8 @@ def boost(x: np.ndarray, y: np.ndarray, *, rate: float = 0.3, l2: float = 1.0) -
 def train(rows: DataFrame, *, max_rows: int = MAX_ROWS) -> Model:
     """rows: url, host, path and verdict (allow, block; null is not learned from). Learns from about max_rows of them, twice as
     many at most where URLs repeat: those of the smallest hashes."""
-    some = hash_sample(rows.where(F.col("verdict").isNotNull() & F.col("url").isNotNull()).select("url", "host", "path", "verdict"), "url", max_rows)
+    labelled = rows.where(F.col("verdict").isNotNull() & F.col("url").isNotNull())
+    some = hash_sample(labelled.select("url", "host", "path", "verdict"), "url", max_rows)
     got = some.orderBy(F.xxhash64("url"), "url", "verdict").limit(2 * max_rows).collect()
     got.sort(key=lambda r: (zlib.crc32(r.url.encode("utf-8", "surrogatepass")), r.url))
     if not got:

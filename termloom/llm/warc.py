@@ -154,14 +154,16 @@ def open_input(path: str):
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
     """Writes a record a row to archives in folder (a URI that all executors share). Returns the stored manifest: path, records."""
-    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("id"), text(url_col).alias("url"), text(payload_col).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.length("payload") >= MIN_REVISIT
     same = ["digest", "size", "other"]
     rows = rows.withColumn("size", F.length("payload")).withColumn("other", F.xxhash64("payload"))
     seen = rows.where(large).groupBy(*same).agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL")
     rows = rows.join(seen.drop("n"), same, "left")
-    rows = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).cast("string").alias("refers_to"))
+    other = F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).cast("string")
+    rows = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", other.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = pa.fs.FileSystem.from_uri(folder)
@@ -206,11 +208,15 @@ def read_archives(manifest: DataFrame, *, id_col: str = "page_id", id_type: str
                     n = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
                     if fields["warc-type"] == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"a record of {path} doesn't fit its digest")
-                    yield page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], n, digest, page(fields.get("warc-refers-to")), *([payload if fields["warc-type"] == "response" else None] if payloads else [])
+                    held = [payload if fields["warc-type"] == "response" else None] if payloads else []
+                    yield page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], n, digest, page(fields.get("warc-refers-to")), *held
 
     n = max(manifest.sparkSession.sparkContext.defaultParallelism * 2, -(-manifest.count() // archives))
-    out = map_batches(manifest.select("path").repartition(n), read, "id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string" + ", payload binary" * payloads)
-    return out.select(F.col("id").cast(id_type).alias(id_col), "url", "record_type", "payload_bytes", "payload_digest", F.col("refers_to").cast(id_type).alias("refers_to"), *(["payload"] if payloads else []))
+    schema = "id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string" + ", payload binary" * payloads
+    out = map_batches(manifest.select("path").repartition(n), read, schema)
+    of = lambda c, name: F.col(c).cast(id_type).alias(name)
+    more = ["payload"] if payloads else []
+    return out.select(of("id", id_col), "url", "record_type", "payload_bytes", "payload_digest", of("refers_to", "refers_to"), *more)
 
 
 def new_folder(spark) -> str:

@@ -10,7 +10,7 @@ from termloom.llm import bpe, common, langid, mixing, neardup, neighbours, quali
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "tau", "rho"]
 LONG = " ".join(random.Random(1).choices(WORDS, k=60_000)) + " token=abcdef1234567890"
-CLASH = ["id", "key", "n", "row", "source_", "text_", "block", "copies", "copy", "tokens", "weight", "digest", "bucket", "vec", "q", "rank", "found", "score", "lang_pred", "rejected", "component", "size", "other", "payload", "p_source", "cut", "_nth", "_copy", "mix_id", "raw", "ids", "piece"]
+CLASH = ["id", "key", "n", "row", "source_", "text_", "block", "copies", "copy", "tokens", "weight", "digest", "bucket", "vec", "q", "rank", "found", "score", "lang_pred", "rejected", "component", "size", "other", "payload", "p_source", "cut", "_nth", "_copy", "mix_id", "raw", "ids", "piece", "a.b"]
 
 
 def documents(spark):
