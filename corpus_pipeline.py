@@ -49,7 +49,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; what the scan finds is replaced, and n_chars follows the text."""
     model = secrets.train(docs)
     out = docs.withColumn("text", secrets.redacted(docs, model, "text"))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
