@@ -122,7 +122,8 @@ def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             if set_key(s) == bytes(key):
                 yield i, s.tobytes()
 
-    rows = docs.select(F.col("id").alias("doc"), "text").join(reps.select("id", "doc", "key"), "doc").select("id", "key", "text")
+    # merged at every size, so that a small table's plan and figures are those of a large one
+    rows = docs.select(F.col("id").alias("doc"), "text").join(reps.select("id", "doc", "key").hint("merge"), "doc").select("id", "key", "text")
     return map_batches(rows, run, "id bigint, set binary").groupBy("id").agg(F.first("set").alias("set"))
 
 
