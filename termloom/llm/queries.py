@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, neighbours, quality, secrets, topk, urls, warc
+from . import bpe, divergence, langid, mixing, neardup, negatives, neighbours, quality, secrets, suffixes, topk, urls, warc
 from .common import split_of
 
 
@@ -73,6 +73,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.removed(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings"), is_anchor=F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"), at_least=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_duplicates": op2_near_duplicates,
@@ -84,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_topk": op9_topk,
     "op10_warc": op10_warc,
+    "op11_suffixes": op11_suffixes,
+    "op12_negatives": op12_negatives,
+    "op13_divergence": op13_divergence,
 }
 
 MIXING_SQL = """
@@ -154,10 +171,68 @@ SELECT d.doc_id, CAST(coalesce(len(g.gs), 0) AS BIGINT) AS n_shingles, c.compone
 FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
+SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT id, doc_id, unnest(list_transform(range(0, len(h) // 2, 500), lambda k: {'k': k, 'h': substr(h, 2 * k + 1, 1098)})) AS c FROM d WHERE doc_id IS NOT NULL),
+w AS (SELECT id, doc_id, unnest(list_transform(range(0, len(c.h) // 2 - 49), lambda s: {'s': c.k + s, 'g': unhex(substr(c.h, 2 * s + 1, 100))})) AS x FROM c),
+f AS (SELECT x.g AS g, min(doc_id) AS least FROM w GROUP BY x.g HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT id, doc_id, x.s AS s, least FROM w JOIN f ON f.g = x.g),
+r AS (SELECT id, s, CASE WHEN s - lag(s) OVER (PARTITION BY id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS new FROM m WHERE least < doc_id),
+i AS (SELECT id, s, sum(new) OVER (PARTITION BY id ORDER BY s) AS k FROM r),
+x AS (SELECT id, k, min(s) AS a, max(s) + 50 AS b FROM i GROUP BY id, k),
+y AS (SELECT id, k, a, b, coalesce(lag(b) OVER (PARTITION BY id ORDER BY k), 0) AS before FROM x),
+z AS (SELECT y.id, count(*) AS n, sum(b - a) AS gone, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM y JOIN d ON d.id = y.id GROUP BY y.id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN z ON z.id = d.id
+"""
+
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.w, c.w) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.w) = len(c.w)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW o AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER o <= 10
+"""
+
+DIVERGENCE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(coalesce(c.n, 0) + 5 AS HUGEINT) * 1000000000 // CAST(n.n + 5 * v.v AS HUGEINT) AS p
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT k.lang, k.term, 1 + CAST(coalesce(c.n, 0) + 5 AS HUGEINT) * 1000000000 // CAST(s.n + 5 * v.v AS HUGEINT) AS q
+  FROM k JOIN v ON v.lang = k.lang JOIN (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) c ON c.lang = k.lang AND c.term = k.term
+  JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) s ON s.lang = k.lang),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+    GROUP BY x.lang, x.source, y.source) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, CAST(p.p - l.q AS BIGINT) FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE p.n > 0 AND p.p > l.q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER o AS INTEGER) AS rank FROM f
+WINDOW o AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER o <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": NEAR_SQL.replace("WIDTH", "4"),
     "op4_mixing": MIXING_SQL,
     "op8_embeddings": LINKS_SQL,
     "op9_topk": TOPK_SQL,
     "op10_warc": WARC_SQL,
+    "op11_suffixes": SUFFIX_SQL,
+    "op12_negatives": NEGATIVES_SQL,
+    "op13_divergence": DIVERGENCE_SQL,
 }
