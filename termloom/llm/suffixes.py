@@ -49,8 +49,9 @@ def gram_hashes(text: bytes) -> np.ndarray:
     return mixed(words[:-WORD] * M1 ^ mixed(words[WORD:] * M2))
 
 
-def sampled(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """The sampled grams of a text: hash, position, and first and last (exclusive) start of the windows that they are sampled for."""
+def sampled(text: bytes, length: int, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sampled grams of joined texts: hash, position, and first and last (exclusive) start of the windows that they are sampled for; those windows don't lie on both
+    sides of a text's start, but may reach beyond its end."""
     n, wide = len(text) - length + 1, length - GRAM + 1
     if n < 1:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
@@ -66,27 +67,29 @@ def sampled(text: bytes, length: int) -> tuple[np.ndarray, ...]:
         if wide > span:
             least = np.minimum(least[: span - wide], least[wide - span :])
         p = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        new = np.r_[True, p[1:] != p[:-1]]
+        new[starts[np.searchsorted(starts, at) : np.searchsorted(starts, stop)] - at] = True
+        first = np.flatnonzero(new)
         found.append((h[p[first]], p[first] + at, first + at, np.r_[first[1:], stop - at] + at))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 class Surroundings:
-    """The sampled grams of a batch (all, or those that are shared): gram, document's place, position in the batch's bytes, windows."""
+    """The sampled grams of a batch: gram, document's place, position in the batch's bytes, windows."""
 
-    def __init__(self, row: dict, length: int, shared: np.ndarray | None = None):
+    def __init__(self, row: dict, length: int):
         self.length, self.wide = length, length - GRAM + 1
         self.ids, self.sizes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
         self.known = np.frombuffer(row["known"], "?")
         self.text, ends = row["texts"], np.cumsum(self.sizes)
         self.starts = ends - self.sizes
-        found = []
-        for k in np.flatnonzero(self.known & (self.sizes >= length)):
-            h, *at = sampled(self.text[self.starts[k] : ends[k]], length)
-            keep = slice(None) if shared is None else in_sorted(shared, h)
-            found.append((h[keep], np.full(len(h), k)[keep], *[(c + self.starts[k])[keep] for c in at]))
-        empty = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
-        self.gram, self.doc, self.place, self.first, self.stop = (np.concatenate(c) for c in zip(empty, *found, strict=True))
+        self.gram, self.place, self.first, stop = sampled(self.text, length, self.starts)
+        self.doc = np.searchsorted(self.starts, self.first, "right") - 1
+        self.stop = np.minimum(stop, ends[self.doc] - length + 1)
+        self.keep((self.stop > self.first) & self.known[self.doc])
+
+    def keep(self, good: np.ndarray) -> None:
+        self.gram, self.doc, self.place, self.first, self.stop = (c[good] for c in (self.gram, self.doc, self.place, self.first, self.stop))
 
     def single(self, hot: np.ndarray) -> None:
         """Windows of hot grams become surroundings of their own."""
@@ -226,36 +229,41 @@ def batched(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> Da
     return stored(out.withColumn("batch", F.monotonically_increasing_id()))
 
 
+def own_grams(found: Surroundings, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct sampled grams of a batch in the order of buckets, in how many of its documents they are (1 if all have one id), and the place of
+    every sampled gram among them."""
+    ids = found.ids[found.doc]
+    bucket = found.gram % np.uint64(buckets)
+    order = np.lexsort((ids, found.gram, bucket))
+    g, i = found.gram[order], ids[order]
+    new = np.r_[True, g[1:] != g[:-1]][: len(g)]
+    first = np.flatnonzero(new)
+    stop = np.r_[first[1:], len(g)][: len(first)]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return g[first], np.where(i[first] == i[stop - 1], 1, np.minimum(stop - first, 1 << 30)).astype("<u4"), of
+
+
 def shared_grams(batches: DataFrame, length: int, buckets: int, hot: int) -> DataFrame:
-    """batch, grams and hot: the sampled grams of a batch that two documents of different ids have, and the hot ones of them, sorted."""
+    """batch and marks: for the distinct sampled grams of a batch, bucket after bucket, whether two documents of different ids have it (1) or it is hot, too (2)."""
 
     def tell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(rows):
-            found = Surroundings(row, length)
-            ids = found.ids[found.doc]
-            order = np.lexsort((ids, found.gram, found.gram % np.uint64(buckets)))
-            g, i = found.gram[order], ids[order]
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: len(g)])
-            if not len(first):
-                continue
-            stop = np.r_[first[1:], len(g)]
-            # how many documents have a gram, and 1 only if all have one id
-            many = np.where(i[first] == i[stop - 1], 1, np.minimum(stop - first, 1 << 30)).astype("<u4")
-            yield from dealt(g[first] % np.uint64(buckets), row["batch"], g[first], many)
+            g, many, _ = own_grams(Surroundings(row, length), buckets)
+            yield from dealt(g % np.uint64(buckets), row["batch"], g, many)
 
     def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(rows):
             grams = [np.frombuffer(r["a"], "<u8") for r in group]
             g, at = np.unique(np.concatenate(grams), return_inverse=True)
             many = np.bincount(at, np.concatenate([np.frombuffer(r["b"], "<u4") for r in group]))
+            marks = (many > 1).astype(np.uint8) + (many > hot)
             for r, own in zip(group, np.split(at, np.cumsum([len(x) for x in grams])[:-1]), strict=True):
-                good = own[many[own] > 1]
-                if len(good):
-                    yield batch_of([(r["batch"], g[good].tobytes(), g[good[many[good] > hot]].tobytes())], answer)
+                yield batch_of([(r["batch"], r["bucket"], marks[own].tobytes())], answer)
 
-    answer = pa.schema([("batch", pa.int64()), ("grams", pa.binary()), ("hot", pa.binary())])
-    met = regrouped(batches.mapInArrow(tell, DEALT), buckets).mapInArrow(meet, "batch bigint, grams binary, hot binary")
-    return met.groupBy("batch").agg(F.collect_list("grams").alias("grams"), F.collect_list("hot").alias("hot"))
+    answer = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary())])
+    met = regrouped(batches.mapInArrow(tell, DEALT), buckets).mapInArrow(meet, "batch bigint, bucket int, marks binary")
+    return met.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "marks"))).alias("x")).select("batch", F.col("x.marks").alias("marks"))
 
 
 DEALT = "bucket int, batch bigint, a binary, b binary"
@@ -265,7 +273,7 @@ def dealt(bucket: np.ndarray, batch: int, a: np.ndarray, b: np.ndarray) -> Itera
     """Rows of a and b, which are sorted by bucket, a row a bucket."""
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
     schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-    rows = [(int(bucket[x]), batch, a[x:y].tobytes(), b[x:y].tobytes()) for x, y in zip(first, [*first[1:], len(bucket)], strict=True)]
+    rows = [(int(bucket[x]), batch, a[x:y].tobytes(), b[x:y].tobytes()) for x, y in zip(first, [*first[1:], len(bucket)][: len(first)], strict=True)]
     if rows:
         yield batch_of(rows, schema)
 
@@ -288,9 +296,12 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def surroundings(row: dict, length: int, buckets: int) -> tuple[Surroundings, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch beside its shared grams: the surroundings, their distinct records in the order of buckets, smallest ids, buckets, and the record of each."""
-    shared, hot = (np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in row[c]])) for c in ("grams", "hot"))
-    found = Surroundings(row, length, shared)
+    """Of a batch beside the marks of its grams: the surroundings, their distinct records in the order of buckets, smallest ids, buckets, and the record of each."""
+    found = Surroundings(row, length)
+    g, _, of = own_grams(found, buckets)
+    marks = np.frombuffer(b"".join(row["marks"] or []), np.uint8)
+    found.keep(marks[of] > 0)
+    hot = np.sort(g[marks > 1])
     found.single(hot)
     rows, ids, of = found.records()
     gram = rows[:, :8].copy().view("<u8").ravel()
@@ -316,6 +327,7 @@ def removed(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
         raise ValueError(f"length has to lie between {GRAM} and {GRAM + 63}")
     batches = batched(docs, id_col, text_col, batch_bytes)
     buckets = max(8, -(-(batches.agg(F.sum("size")).first()[0] or 0) // bucket_bytes))
+    # read twice, each time by batch: the texts are sent once
     beside = batches.join(stored(shared_grams(batches, length, buckets, hot)), "batch", "left")
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +344,7 @@ def removed(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
             for r, own in zip(group, np.split(bits, np.cumsum([len(x) for x in records])[:-1]), strict=True):
                 yield batch_of([(r["batch"], r["bucket"], own.tobytes())], answer)
 
-    sent = beside.where("grams IS NOT NULL").mapInArrow(send, DEALT)
+    sent = beside.mapInArrow(send, DEALT)
     found = regrouped(sent, buckets).mapInArrow(sort, "batch bigint, bucket int, bits binary")
     found = found.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("found"))
     whole = beside.join(found.select("batch", F.col("found.bits").alias("bits")), "batch", "left")
@@ -355,7 +367,7 @@ def removed(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
 def covered(row: dict, length: int, buckets: int) -> np.ndarray:
     """Of each byte of a batch, whether a window covers it that starts in a document of a smaller id, too."""
     n = len(row["texts"])
-    if row["bits"] is None:
+    if not row["bits"]:
         return np.zeros(n, bool)
     found, _, least, _, of = surroundings(row, length, buckets)
     bits = np.frombuffer(b"".join(row["bits"]), "<u8")[of]
