@@ -32,9 +32,11 @@ from .blocks import rows_of
 from .common import batch_of, slices, stored
 
 #: Bytes of a match, of a gram whose hash decides, of texts in a batch, of texts in a bucket; places from which on a gram is hot.
-LENGTH, GRAM, BATCH_BYTES, BUCKET_BYTES, HOT = 50, 16, 2 << 20, 16 << 20, 10_000
+LENGTH, GRAM, BATCH_BYTES, BUCKET_BYTES, HOT = 50, 16, 2 << 20, 8 << 20, 10_000
 #: Bytes of a word; positions hashed at once; bits that hold a position among these.
 WORD, SLICE, PLACE = 8, 1 << 18, np.uint64(20)
+#: How texts and records are compressed that are stored and sent.
+ZSTD = {"codec": "zstd"}
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -81,7 +83,8 @@ class Surroundings:
         self.length, self.wide = length, length - GRAM + 1
         self.ids, self.sizes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
         self.known = np.frombuffer(row["known"], "?")
-        self.text, ends = row["texts"], np.cumsum(self.sizes)
+        ends = np.cumsum(self.sizes)
+        self.text = unpacked(row["texts"], int(self.sizes.sum()))
         self.starts = ends - self.sizes
         self.gram, self.place, self.first, stop = sampled(self.text, length, self.starts)
         self.doc = np.searchsorted(self.starts, self.first, "right") - 1
@@ -123,6 +126,10 @@ class Surroundings:
         return rows[order[new]], self.ids[self.doc][order[new]], of
 
 
+def unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, asbytes=True, **ZSTD) if size else b""
+
+
 def by_bytes(rows: np.ndarray) -> list[np.ndarray]:
     """The columns of byte rows as numbers, least significant first, for np.lexsort."""
     wide = np.zeros((len(rows), -(-rows.shape[1] // WORD) * WORD), np.uint8)
@@ -151,43 +158,42 @@ def changes(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
 def named(keys: list[np.ndarray]) -> np.ndarray:
     """Names of rows of keys (most significant first): their places among the distinct ones in order."""
     order = np.lexsort(keys[::-1])
-    out = np.empty(len(order), np.int64)
+    out = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
     out[order] = np.cumsum(changes(order, keys)) - 1
     return out
 
 
 def ordered(rows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """For surroundings of a bucket (rows of records(), the smallest id of each): bits of the windows (by column) for which another row has a smaller id.
+    """For surroundings of a bucket (rows of records() without the gram, the smallest id of each): bits of the windows (by column) for which another row has a smaller id.
 
     Suffixes are sorted by difference cover with words of 8 bytes as characters: triples of words get names, in order, at the two thirds of the columns that 3
     doesn't divide. A suffix there is sorted by the names of the triples that follow each other from it (the recursion, which ends once they cover `length` bytes)
     and the bytes left over; one at another column by its first byte and then as its successor. Windows that are equal lie in one column, so
     the suffixes of a column are merged with each other only.
     """
-    wide, width = length - GRAM + 1, rows.shape[1] - 10
-    _, gram = np.unique(rows[:, :8].copy().view("<u8").ravel(), return_inverse=True)
-    low, many = rows[:, 8].astype(np.int64), rows[:, 9].astype(np.int64)
+    wide, width = length - GRAM + 1, rows.shape[1] - 2
+    low, many = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64)
     padded = np.zeros((len(rows), width + 4 * WORD), np.uint8)
-    padded[:, :width] = rows[:, 10:]
-    words: dict[int, np.ndarray] = {}
+    padded[:, :width] = rows[:, 2:]
     names: dict[int, np.ndarray] = {}
 
     def word(c: int) -> np.ndarray:
-        if c not in words:
-            words[c] = np.ascontiguousarray(padded[:, c : c + WORD]).view(">u8").ravel().astype(np.uint64)
-        return words[c]
+        return np.ascontiguousarray(padded[:, c : c + WORD]).view(">u8").ravel().astype(np.uint64)
 
     def name(c: int) -> np.ndarray:
         if c not in names:
             names[c] = named([word(c), word(c + WORD), word(c + 2 * WORD)])
         return names[c]
 
+    gram = named([word(wide - 1), word(wide - 1 + WORD)])
     out = np.zeros(len(rows), np.uint64)
     for column in range(wide):
         v = np.flatnonzero((low <= column) & (column < low + many))
         if not len(v):
             continue
         at = column if column % 3 else column + 1
+        for c in [c for c in names if c < at]:
+            del names[c]  # later columns need later names only
         keys = [gram[v], *([padded[v, column]] if at > column else [])]
         while at + 3 * WORD <= column + length:
             keys.append(name(at)[v])
@@ -201,14 +207,15 @@ def ordered(rows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
-    """Documents packed into rows of about batch_bytes: batch (a number), ids, known (whether there is an id), sizes and texts (UTF-8), n."""
+    """Documents packed into rows of about batch_bytes: batch (a number), ids, known (whether there is an id), sizes, texts (UTF-8, compressed), n
+    and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
 
         def out() -> pa.RecordBatch:
             whole = [np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids], "?"), np.array([len(t) for t in texts], "<i8")]
-            return batch_of([(*[c.tobytes() for c in whole], b"".join(texts), len(ids), held)], schema)
+            return batch_of([(*[c.tobytes() for c in whole], pa.compress(b"".join(texts), asbytes=True, **ZSTD), len(ids), held)], schema)
 
         for batch in batches:
             for part in slices(batch, batch_bytes):
@@ -333,13 +340,15 @@ def removed(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(rows):
             _, records, ids, bucket, _ = surroundings(row, length, buckets)
-            yield from dealt(bucket, row["batch"], records, ids)
+            for part in dealt(bucket, row["batch"], records[:, 8:], ids):  # the gram is among the bytes
+                small = pa.array([pa.compress(x, asbytes=True, **ZSTD) for x in part.column("a").to_pylist()], pa.binary())
+                yield part.set_column(2, part.schema.field(2), small)
 
     def sort(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = 10 + 2 * length - GRAM
+        wide = 2 + 2 * length - GRAM
         answer = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
         for group in grouped(rows):
-            records = [np.frombuffer(r["a"], np.uint8).reshape(-1, wide) for r in group]
+            records = [np.frombuffer(unpacked(r["a"], len(r["b"]) // 8 * wide), np.uint8).reshape(-1, wide) for r in group]
             bits = ordered(np.concatenate(records), np.concatenate([np.frombuffer(r["b"], "<i8") for r in group]), length)
             for r, own in zip(group, np.split(bits, np.cumsum([len(x) for x in records])[:-1]), strict=True):
                 yield batch_of([(r["batch"], r["bucket"], own.tobytes())], answer)
@@ -354,7 +363,7 @@ def removed(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
         for row in rows_of(rows):
             gone = covered(row, length, buckets)
             ids, known, sizes = (np.frombuffer(row[c], kind) for c, kind in (("ids", "<i8"), ("known", "?"), ("sizes", "<i8")))
-            text, out = np.frombuffer(row["texts"], np.uint8), []
+            text, out = np.frombuffer(unpacked(row["texts"], len(gone)), np.uint8), []
             for i, k, at, n in zip(ids.tolist(), known, (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
                 g = gone[at : at + n]
                 spans = int(g[:1].sum() + np.count_nonzero(g[1:] & ~g[:-1]))
@@ -366,7 +375,7 @@ def removed(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
 
 def covered(row: dict, length: int, buckets: int) -> np.ndarray:
     """Of each byte of a batch, whether a window covers it that starts in a document of a smaller id, too."""
-    n = len(row["texts"])
+    n = int(np.frombuffer(row["sizes"], "<i8").sum())
     if not row["bits"]:
         return np.zeros(n, bool)
     found, _, least, _, of = surroundings(row, length, buckets)

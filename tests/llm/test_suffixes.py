@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from termloom.llm import suffixes
@@ -57,7 +58,7 @@ def test_against_all_windows(spark, length, sizes):
 
 def test_slices_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SLICE", 64)
-    row = {"ids": b"\0" * 8, "known": b"\1", "sizes": (3000).to_bytes(8, "little"), "texts": random.Random(1).randbytes(3000)}
+    row = {"ids": b"\0" * 8, "known": b"\1", "sizes": (3000).to_bytes(8, "little"), "texts": pa.compress(random.Random(1).randbytes(3000), asbytes=True, **suffixes.ZSTD)}
     found = suffixes.Surroundings(row, 50)
     starts = [s for a, b in zip(found.first, found.stop, strict=True) for s in range(a, b)]
     assert starts == list(range(2951)) and ((found.place - found.first) <= 34).all() and (found.place >= found.stop - 1).all()
