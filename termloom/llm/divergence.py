@@ -28,7 +28,7 @@ from .blocks import rows_of
 from .common import batch_of, freed, hash_sample, slices, stored
 
 #: Counters that a task holds before they go out as tries, terms scored at once, documents whose terms cut the ranges, and bytes of text a range.
-HELD, PART, SAMPLE, RANGE_BYTES = 400_000, 4096, 2000, 24 << 20
+HELD, PART, SAMPLE, RANGE_BYTES = 800_000, 4096, 2000, 24 << 20
 #: What a count is raised by, and the whole of the shares.
 ADDED, WHOLE = 5, 10**9
 #: A to Z as a to z, letters and bytes beyond ASCII as they are, all others as blanks.
@@ -36,34 +36,39 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 
 
 class Trie:
-    """A radix trie over bytes. A node is [label, children by first byte, documents, counters by source]; counters are None where no term ends."""
+    """A radix trie over bytes. A node is [label, children by first byte (or None), documents, counters by source]; counters are None where no term ends."""
 
     def __init__(self):
-        self.root = [b"", {}, 0, None]
-
-    def add(self, term: bytes, docs: int, counts: list[tuple[str, int]]) -> None:
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
+        self.root = [b"", None, 0, None]
+
+    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
+        """Adds up; a new leaf keeps counts itself."""
+        node, at, end = self.root, 0, len(term)
+        while at < end:
+            children = node[1]
+            if children is None:
+                children = node[1] = {}
+            child = children.get(term[at])
             if child is None:
-                child = node[1][term[at]] = [term[at:], {}, 0, None]
-                at = len(term)
-            else:
-                label, same = child[0], 1
-                if term.startswith(label, at):
-                    same = len(label)
-                else:
-                    while same < len(label) and at + same < len(term) and label[same] == term[at + same]:
-                        same += 1
-                    upper = [label[:same], {label[same]: child}, 0, None]
-                    child[0] = label[same:]
-                    node[1][term[at]] = child = upper
-                at += same
+                children[term[at]] = [term[at:], None, docs, counts]
+                return
+            label = child[0]
+            same = len(label)
+            if not term.startswith(label, at):
+                same = 1
+                while at + same < end and label[same] == term[at + same]:
+                    same += 1
+                child[0] = label[same:]
+                child = children[term[at]] = [label[:same], {label[same]: child}, 0, None]
+            at += same
             node = child
         node[2] += docs
-        own = node[3] = {} if node[3] is None else node[3]
-        for source, n in counts:
-            own[source] = own.get(source, 0) + n
+        if node[3] is None:
+            node[3] = counts
+        else:
+            own = node[3]
+            for source, n in counts.items():
+                own[source] = own.get(source, 0) + n
 
     def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
         """Terms in the order of their bytes, with documents and counters."""
@@ -73,7 +78,8 @@ class Trie:
             term = before + node[0]
             if node[3] is not None:
                 yield term, node[2], node[3]
-            todo += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
+            if node[1]:
+                todo += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
 
 
 PACKED = [("sources", pa.list_(pa.string())), ("shared", pa.binary()), ("rest", pa.binary()), ("tails", pa.binary()), ("docs", pa.binary()), ("entries", pa.binary()), ("which", pa.binary()), ("counts", pa.binary())]
@@ -99,13 +105,13 @@ def packed(terms: list[tuple[bytes, int, dict[str, int]]]) -> tuple:
     return list(names), *[b"".join(tails) if x is None else np.array(x, kind).tobytes() for x, kind in kinds]
 
 
-def terms_of(row: dict) -> Iterator[tuple[bytes, int, list[tuple[str, int]]]]:
+def terms_of(row: dict) -> Iterator[tuple[bytes, int, dict[str, int]]]:
     """The terms of a packed row, in order."""
     shared, rest, docs, entries, which, counts = (np.frombuffer(row[c], kind).tolist() for c, kind in (("shared", "<u4"), ("rest", "<u4"), ("docs", "<i8"), ("entries", "<u4"), ("which", "<u4"), ("counts", "<i8")))
     names, tails, last, at, entry = row["sources"], row["tails"], b"", 0, 0
     for k, n, d, e in zip(shared, rest, docs, entries, strict=True):
         last = last[:k] + tails[at : at + n]
-        yield last, d, [(names[w], c) for w, c in zip(which[entry : entry + e], counts[entry : entry + e], strict=True)]
+        yield last, d, {names[w]: c for w, c in zip(which[entry : entry + e], counts[entry : entry + e])}  # noqa: B905
         at, entry = at + n, entry + e
 
 
@@ -123,12 +129,13 @@ def counted(docs: DataFrame, cuts: list[bytes]) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, seen in documents.items():
-                trie = Trie()
+                leaves: dict[bytes, dict[str, int]] = {term: {} for term in seen}
                 for source, own in counts[lang].items():
                     for term, n in own.items():
-                        trie.add(term, 0, [(source, n)])
-                for term, n in seen.items():
-                    trie.add(term, n, [])
+                        leaves[term][source] = n
+                trie = Trie()
+                for term, own in leaves.items():
+                    trie.add(term, seen[term], own)
                 held: list = []
                 at = 0
                 for leaf in trie.walk():
@@ -221,7 +228,7 @@ def measured(ranges: DataFrame, top: int) -> DataFrame:
                     best[a] = sorted(both, key=lambda x: -x[0])[:top]
 
             for term, _, entries in terms_of(row):
-                for s, n in entries:
+                for s, n in entries.items():
                     counts[len(terms), place[s]] = n
                 terms.append(term)
                 if len(terms) == PART:

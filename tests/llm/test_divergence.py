@@ -55,8 +55,8 @@ def test_trie_walks_in_order_and_merges():
     terms = [bytes(r.choices(b"ab\xc3\xa9", k=r.randint(1, 6))) for _ in range(500)]
     one, two, both = divergence.Trie(), divergence.Trie(), divergence.Trie()
     for k, t in enumerate(terms):
-        (one if k % 2 else two).add(t, 1, [(f"s{k % 3}", 1)])
-        both.add(t, 1, [(f"s{k % 3}", 1)])
+        (one if k % 2 else two).add(t, 1, {f"s{k % 3}": 1})
+        both.add(t, 1, {f"s{k % 3}": 1})
     names = [n for n, _ in divergence.PACKED]
     row = dict(zip(names, divergence.packed(list(one.walk())), strict=True))
     for leaf in divergence.terms_of(row):
