@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -14,29 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 QUERY_ROWS, ROWS = 256, 1024
 
 
-def packed(df: DataFrame, keys: list[str], most: int, prefix: str = "") -> DataFrame:
-    """df: keys and vec (an array of numbers). Rows of arrays of at most most keys, dim and vecs (little-endian doubles).
-    Vectors of unlike lengths never share a row; those that have no direction (null, empty, zero, or with a component that is null
-    or not finite) are packed with dim 0."""
-    x = F.transform("vec", lambda v: v.cast("double"))
-    good = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = df.select(*keys, F.when(F.coalesce(good, F.lit(False)), x).otherwise(F.array().cast("array<double>")).alias("vec"))
-    names = [*keys, "dim", "vecs"]
-    types = [pa.list_(to_arrow_type(df.schema[k].dataType)) for k in keys]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.diff(batch.column(len(keys)).offsets.to_numpy())
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                for a in range(0, len(at), most):
-                    part = batch.take(pa.array(at[a : a + most]))
-                    vecs = part.column(len(keys)).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
-                    lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)).cast(types[k]) for k in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*lists, pa.array([dim], pa.int32()), pa.array([vecs], pa.binary())], [prefix + n for n in names])
-
-    schema = ", ".join(f"{prefix}{k} array<{df.schema[k].dataType.simpleString()}>" for k in keys)
-    return rows.mapInArrow(run, f"{schema}, {prefix}dim int, {prefix}vecs binary")
+def directed(vec: str) -> Column:
+    """The vector in doubles; empty if it has no direction (null, empty, zero, or with a component that is null or not finite)."""
+    v = F.col(vec)
+    x = F.transform(v, lambda c: c.cast("double"))
+    good = v.isNotNull() & (F.size(v) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(x, lambda c: c != 0)
+    return F.when(F.coalesce(good, F.lit(False)), x).otherwise(F.array().cast("array<double>"))
 
 
 def cosines(x: np.ndarray, y: np.ndarray, digits: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import positional
-from . import blocks
+from .vector_index import VectorIndex, new_path
 
 
 def words(c: Column) -> Column:
@@ -60,14 +60,11 @@ def best_sets(asked: DataFrame, of_word: DataFrame, k: int) -> DataFrame:
     return met.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6) -> DataFrame:
-    """queries: query_id, vec; vectors: vec_id, vec, label. Exact top k by cosine (rounded, ties to the smaller id), without the
-    query's own id. Every block of queries meets every block of vectors, and k rows a query leave each meeting."""
-    q = blocks.packed(queries.where("query_id IS NOT NULL"), ["query_id"], blocks.QUERY_ROWS, "q_")
-    v = blocks.packed(vectors.where("vec_id IS NOT NULL"), ["vec_id", "label"], blocks.ROWS, "c_")
-    best = blocks.closest(q.crossJoin(v), k, digits)
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("cosine"), "vec_id")
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6, clusters: int | None = None) -> DataFrame:
+    """queries: query_id, vec; vectors: vec_id, vec, label. Exact top k by cosine (rounded, ties to the smaller id), without the query's own id, by an
+    index that is built for this search. Build a VectorIndex to search more than once."""
+    index = VectorIndex.build(vectors.select(F.lit("").alias("key"), "vec_id", "label", "vec"), new_path(vectors.sparkSession), clusters)
+    return index.search(queries.select("query_id", F.lit(None).cast("string").alias("key"), "vec"), k, digits)
 
 
 def concepts(atoms: DataFrame, k: int, *, preferred: str = "RXNORM", prefix: str = "RXNORM") -> DataFrame:

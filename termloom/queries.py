@@ -16,6 +16,7 @@ from .functions import identity as I
 from .functions import numbers as N
 from .functions import text as T
 from .operators import audit, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score, summaries, validate
+from .operators.vector_index import VectorIndex, new_path
 from .plans import mapping
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,6 +316,21 @@ def knn_topk(spark, d):
     return rounded(neighbours(spark, d, 5)).withColumn("label", F.col("label").cast("int"))
 
 
+@query("""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings),
+c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.w, v.w) / sqrt(list_inner_product(q.w, q.w) * list_inner_product(v.w, v.w)), 6) AS cosine
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND v.label = (q.label + 1) % 10 WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM c
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 4
+""")
+def semantic_search(spark, d):
+    """Each query searches one vocabulary of a stored index: only that vocabulary's partitions are read."""
+    v = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("key"), "vec_id", "label", F.col("embedding").alias("vec"))
+    index = VectorIndex.build(v, new_path(spark))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), ((F.col("label") + 1) % 10).cast("string").alias("key"), "vec")
+    return rounded(index.search(asked, 4).drop("label"))
+
+
 @query(f"WITH {_KNN} SELECT round(avg(CASE WHEN k.label = e.label THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate, count(*) AS n FROM k JOIN embeddings e ON e.vec_id = query_id WHERE place <= 5")
 def knn_label_hit_rate(spark, d):
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))

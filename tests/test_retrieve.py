@@ -4,6 +4,7 @@ import numpy as np
 
 from termloom import queries as Q
 from termloom.operators import retrieve
+from termloom.operators.vector_index import VectorIndex
 
 DIR = "/root/testdata/sf0.01"
 
@@ -41,3 +42,32 @@ def test_nearest_without_direction(spark):
     v = spark.createDataFrame(rows, "vec_id bigint, vec array<float>, label int")
     got = retrieve.nearest(v.where("vec_id IN (1, 2)").selectExpr("vec_id AS query_id", "vec"), v, 3).collect()
     assert sorted((r.query_id, r.place, r.vec_id, r.label, r.cosine) for r in got) == [(1, 1, 4, None, 0.894427), (1, 2, 2, 2, None), (1, 3, 3, 3, None), (2, 1, 1, 1, None), (2, 2, 3, 3, None), (2, 3, 4, None, None)]
+
+
+def test_index_is_exact_skips_clusters_and_is_read_again(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    hubs = rng.normal(size=(40, 6))
+    x = np.concatenate([hubs[rng.integers(0, 40, 3000)] + 0.02 * rng.normal(size=(3000, 6)), np.repeat(hubs[:1], 1500, axis=0)])  # one cluster holds a third
+    rows = [(("a", "b", "c")[i % 3], i, i % 7, [float(c) for c in v]) for i, v in enumerate(x)] + [("a", 9000, 1, None), ("b", 9001, 2, [1e300] * 6), (None, 9002, 3, [0.5] * 6)]
+    v = spark.createDataFrame(rows, "key string, vec_id bigint, label int, vec array<double>").repartition(3)
+    built = VectorIndex.build(v, str(tmp_path / "index"), clusters=30)
+    held = {i: (vec, lab, key or "") for key, i, lab, vec in rows if vec}
+
+    def loop(wanted, k):
+        out = []
+        for q, key in wanted:
+            found = []
+            for i, (y, lab, own) in held.items():
+                if i != q and key in (None, own):
+                    a, b = (np.array(z) / np.abs(z).max() for z in (held[q][0], y))
+                    found.append((-round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6), i, lab))
+            out += [(q, i, lab, -c, p + 1) for p, (c, i, lab) in enumerate(sorted(found)[:k])]
+        return out
+
+    wanted = [(i, None if i % 2 else held[i][2]) for i in range(0, 4500, 300)] + [(7, None), (8, "c")]
+    for index in (built, VectorIndex(spark, str(tmp_path / "index"))):  # the second reads what is stored
+        queries = spark.createDataFrame([(q, key, held[q][0]) for q, key in wanted], "query_id bigint, key string, vec array<double>")
+        got = sorted((r.query_id, r.place, r.vec_id, r.label, r.cosine) for r in index.search(queries, 6).collect())
+        assert got == sorted((q, p, i, lab, c) for q, i, lab, c, p in loop(wanted, 6))
+    assert built.skipped(queries, 6) > 0.7
+    assert "CartesianProduct" not in built.search(queries, 6)._jdf.queryExecution().toString()
