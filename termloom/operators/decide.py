@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import explanation, without_fences
+from ..functions.text import bounded, explanation, without_fences
 
 REPLY = "selected_code string, selected_candidate_id string, is_unmapped boolean, confidence double, reasoning string, alternatives array<struct<code: string, confidence: double, explanation: string>>, alternative_codes array<string>"
 UNMAPPED = "UNKNOWN:UNMAPPED"
@@ -16,7 +16,7 @@ def prompts(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """request_id, candidates (an array in order of rank) and prompt. Requests without candidates have an empty array and
     need no call."""
     per = candidates.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "code", "term", "ontology", "definition", "source", "normalized_score", "raw_score"))).alias("candidates"))
-    line = lambda c: F.concat_ws(" | ", F.concat(F.lit("C"), c["rank"].cast("string")), c.code, c.term, c.ontology, F.left(F.coalesce(c.definition, F.lit("")), F.lit(200)), F.concat(F.lit("score="), F.when(c.normalized_score.isNotNull(), F.format_string("%.4f", c.normalized_score)).otherwise("-")))
+    line = lambda c: F.concat_ws(" | ", F.concat(F.lit("C"), c["rank"].cast("string")), c.code, c.term, c.ontology, bounded(F.coalesce(c.definition, F.lit("")), 200), F.concat(F.lit("score="), F.when(c.normalized_score.isNotNull(), F.format_string("%.4f", c.normalized_score)).otherwise("-")))
     context = F.concat_ws("\n", F.concat(F.lit("Term: "), F.col("term")), F.concat(F.lit("Label: "), F.col("label")), F.concat(F.lit("Description: "), F.col("description")), F.concat(F.lit("Type: "), F.col("type")))
     rows = requests.join(per, "request_id", "left")
     empty = F.array().cast(per.schema["candidates"].dataType)

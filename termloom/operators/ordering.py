@@ -8,28 +8,29 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-#: Ranges that a table is cut into; a group's totals of these are the only rows that meet in one task.
-RANGES = 200
+#: Rows of a range, and the fewest ranges that a table is cut into; a group's totals of these are the only rows that meet in one task.
+RANGE_ROWS, RANGES = 250_000, 32
 
 
-def ranged(df: DataFrame, by: str, ranges: int = RANGES) -> DataFrame:
-    """df with _range: the place of a number among approximate quantiles. Where exactly they lie changes no result."""
-    cuts = sorted(set(df.stat.approxQuantile(by, [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
+def ranged(df: DataFrame, by: str, ranges: int | None = None) -> DataFrame:
+    """df (written, as it is read again) with _range: the place of a number among approximate quantiles, as many as the rows need. Where exactly they lie changes no result."""
+    ranges = ranges or max(RANGES, df.count() // RANGE_ROWS)
+    cuts = sorted(set(df.stat.approxQuantile(by, [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
     held = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>") if cuts else F.array().cast("array<double>")
     return df.withColumn("_range", F.size(F.filter(held, lambda c: c < F.col(by))))
 
 
-def numbered(df: DataFrame, by: str, then: list[str], name: str, ranges: int = RANGES) -> DataFrame:
+def numbered(df: DataFrame, by: str, then: list[str], name: str, ranges: int | None = None) -> DataFrame:
     """df with dense numbers from 0 in the order of by (a number), then the other columns."""
     return accumulated(df.withColumn("_one", F.lit(1).cast("bigint")), by, then, F.col("_one"), name, ranges).drop("_one")
 
 
-def accumulated(df: DataFrame, by: str, then: list[str], value: Column, name: str, ranges: int = RANGES, group: list[str] | None = None) -> DataFrame:
+def accumulated(df: DataFrame, by: str, then: list[str], value: Column, name: str, ranges: int | None = None, group: list[str] | None = None) -> DataFrame:
     """df with the sum of value over all rows (of a group) before a row, 0 for the first."""
     return _running(df, by, then, value, name, ranges, group, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
-def greatest_before(df: DataFrame, by: str, value: Column, name: str, ranges: int = RANGES) -> DataFrame:
+def greatest_before(df: DataFrame, by: str, value: Column, name: str, ranges: int | None = None) -> DataFrame:
     """df with the greatest value of all rows before a row, null for the first."""
     return _running(df, by, [], value, name, ranges, None, F.max, lambda a, b: F.greatest(a, b))
 

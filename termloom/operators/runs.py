@@ -1,8 +1,8 @@
-"""Runs: resuming, quarantine, patching, circuit breaking, summaries."""
+"""Runs: resuming, quarantine, patching, summaries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import percentiles
@@ -36,15 +36,6 @@ def strays(base: DataFrame, rerun: DataFrame, key: str) -> DataFrame:
     return rerun.join(base.select(key).distinct(), key, "left_anti")
 
 
-def error_streaks(rows: DataFrame, *, group: str, ord_: str, status: str = "status", limit: int = 3) -> DataFrame:
-    """Per group: its longest run of failed rows in a row, and whether a breaker with the limit would have opened."""
-    order = Window.partitionBy(group).orderBy(ord_)
-    island = rows.select(group, ord_, (F.col(status) == "error").alias("bad")).withColumn("island", F.sum((~F.col("bad")).cast("int")).over(order))
-    runs = island.where("bad").groupBy(group, "island").agg(F.count("*").alias("n"))
-    longest = runs.groupBy(group).agg(F.max("n").alias("longest"))
-    return rows.select(group).distinct().join(longest, group, "left").select(group, F.coalesce("longest", F.lit(0)).alias("longest"), (F.coalesce("longest", F.lit(0)) >= limit).alias("opens"))
-
-
 def telemetry(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean, median and 95th percentile (exact, interpolated), sum and number of values of each column."""
     by = by or []

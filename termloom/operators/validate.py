@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import normalized_code
 from ..functions.numbers import rate
 from ..schemas import blank_to_null
 
@@ -19,7 +20,8 @@ SOURCES = {
 
 
 def curie(code: Column) -> Column:
-    return F.upper(F.trim(code))
+    """A code in canonical form, whatever the spelling of its vocabulary (HPO:1, hp_1 and HP:1 are one), in upper case."""
+    return F.upper(normalized_code(F.trim(code), F.lit(None).cast("string")))
 
 
 def prefix(code: Column) -> Column:

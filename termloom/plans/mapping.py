@@ -9,7 +9,7 @@ from ..functions.text import readable
 from ..operators import candidates as C
 from ..operators import decide, planning, retrieve, routing
 from ..operators.store import written
-from ..providers import FirstCandidate, answered
+from ..providers import ANSWER, FirstCandidate, answered
 from ..schemas import assert_columns
 
 
@@ -50,13 +50,6 @@ def mapped(requests: DataFrame, vocabulary: DataFrame, *, provider=None, planner
     rows = decide.prompts(requests, merged)
     # written before it is read, so that no call is made twice
     asked = written(answered(rows.where(F.size("candidates") > 0), provider or FirstCandidate()))
-    none = F.lit(None).cast("struct<reply: string, error: string, seconds: double, input_tokens: bigint, output_tokens: bigint>")
+    none = F.lit(None).cast(f"struct<{ANSWER.replace(' ', ':').replace(',:', ',')}>")
     rows = asked.unionByName(rows.where(F.size("candidates") == 0).withColumn("answer", none))
     return decide.results(rows.withColumn("decision", decide.decision(F.col("answer.reply"), F.col("candidates"))))
-
-
-def disabled(requests: DataFrame, provider) -> DataFrame:
-    """Without lookups: the provider's own code, never grounded; timings and usage stay unknown."""
-    rows = requests.withColumn("prompt", F.concat_ws("\n", F.concat(F.lit("Term: "), F.col("term")), F.concat(F.lit("Label: "), F.col("label"))))
-    got = F.from_json(F.col("answer.reply"), decide.REPLY)
-    return answered(rows, provider).select("request_id", F.coalesce(got.selected_code, F.lit(decide.UNMAPPED)).alias("target_code"), got.confidence.alias("confidence"), F.lit(False).alias("is_grounded"))

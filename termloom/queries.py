@@ -15,7 +15,7 @@ from .functions import gold as G
 from .functions import identity as I
 from .functions import numbers as N
 from .functions import text as T
-from .operators import audit, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score, summaries, validate
+from .operators import audit, breaker, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score, summaries, validate
 from .operators.vector_index import VectorIndex, new_path
 from .plans import mapping
 
@@ -527,9 +527,24 @@ def patch_merge(spark, d):
     return runs.patched(o.select("id", "status"), again, "id", ["status"])
 
 
-@query("WITH o AS (SELECT o_custkey AS cust, o_orderkey AS k, o_orderstatus = 'P' AS bad FROM orders), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY cust ORDER BY k) AS g FROM o), n AS (SELECT cust, g, count(*) AS n FROM i WHERE bad GROUP BY cust, g) SELECT c.cust, coalesce(max(n), 0) AS longest, coalesce(max(n), 0) >= 3 AS opens FROM (SELECT DISTINCT cust FROM o) c LEFT JOIN n ON n.cust = c.cust GROUP BY c.cust")
+_SOURCE = "CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 50 END"
+
+
+@query(f"""
+WITH o AS (SELECT {_SOURCE} AS source, o_orderkey AS k, o_orderstatus = 'O' AS bad, o_orderstatus = 'F' AS done, o_orderstatus = 'O' AND o_orderpriority < '4' AS local FROM orders),
+i AS (SELECT *, sum(CASE WHEN done THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS g FROM o),
+r AS (SELECT *, sum(local::INT) OVER w AS local_run, sum(bad::INT) OVER w AS any_run FROM i WINDOW w AS (PARTITION BY source, g ORDER BY k)),
+t AS (SELECT *, CASE WHEN local AND local_run >= 3 THEN 'consecutive_local_retrieval_errors' WHEN bad AND NOT local AND any_run >= 5 THEN 'consecutive_execution_errors' END AS why FROM r)
+SELECT source, arg_max(local_run, k) AS local_run, arg_max(any_run, k) AS any_run, max(local_run) AS longest_local, max(any_run) AS longest_any,
+  min(k) FILTER (WHERE why IS NOT NULL) AS opened_at, arg_min(why, k) FILTER (WHERE why IS NOT NULL) AS reason
+FROM t GROUP BY source
+""")
 def circuit_breaker(spark, d):
-    return runs.error_streaks(orders(spark, d), group="cust", ord_="id")
+    """Orders are results of sources, one of which has a third of them; a status of P is neither a result nor an error."""
+    status = F.when(F.col("o_orderstatus") == "F", "mapped").when(F.col("o_orderstatus") == "O", "error")
+    stage = F.when(F.col("o_orderpriority") < "4", "local_retrieval").otherwise("planner")
+    rows = table(spark, d, "orders").select(F.expr(_SOURCE).alias("source"), F.col("o_orderkey").alias("ord"), status.alias("status"), stage.alias("error_stage"))
+    return rounded(breaker.breakers(rows, group="source", ord_="ord"))
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderstatus = 'F') AS mapped, count(*) FILTER (WHERE o_orderstatus = 'O') AS unmapped, count(*) FILTER (WHERE o_orderstatus = 'P') AS error FROM orders")

@@ -11,12 +11,15 @@ from .functions import errors
 from .functions import gold as G
 from .functions import numbers as N
 from .operators import audit, baselines, compare, contracts, decide, evaluate, hierarchy, patch, planning, retrieve, runs, score, summaries, validate
+from .operators.vector_index import new_path
+from .plans import disabled
 from .queries import _PRED, _REL, MODES, predictions, query, relations, rounded, table
+from .sources.versions import VersionedTable
 
 # --- validation -------------------------------------------------------------------------------------------------------
 
 # codes of a vocabulary, of one that has no table, of an unknown one, and no codes at all
-_CODED = """CASE l_partkey % 4 WHEN 0 THEN 'HP:' || l_partkey WHEN 1 THEN 'LOINC:' || l_partkey WHEN 2 THEN 'zz:' || l_partkey ELSE 'code ' || l_partkey END AS code,
+_CODED = """CASE l_partkey % 4 WHEN 0 THEN CASE l_partkey % 12 WHEN 0 THEN 'HP:' WHEN 4 THEN 'hpo_' ELSE ' HPO:' END || l_partkey WHEN 1 THEN 'LOINC:' || l_partkey WHEN 2 THEN 'zz:' || l_partkey ELSE 'code ' || l_partkey END AS code,
   CASE l_returnflag WHEN 'R' THEN 'mapped' WHEN 'A' THEN 'unmapped' ELSE 'error' END AS status"""
 _VALID = f"""y AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS k, {_CODED} FROM lineitem),
 v AS (SELECT y.*, CASE WHEN status <> 'mapped' THEN 'NOT_APPLICABLE' WHEN k % 4 = 0 AND k % 16 = 0 THEN 'VALID' WHEN k % 4 = 0 THEN CASE WHEN p_partkey IS NULL THEN 'INVALID' ELSE 'VALID' END WHEN k % 4 = 3 THEN 'INVALID' ELSE 'UNRESOLVED' END AS outcome,
@@ -411,3 +414,56 @@ def known_codes(spark, d):
 def rerun_strays(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     return runs.strays(o.where("id % 9 <> 0"), o, "id")
+
+
+# --- mapping without lookups ------------------------------------------------------------------------------------------
+
+# A model's reply from a part: the vocabulary it names, its code, its confidence, and what the caller allows.
+_REPLIED = """k % 4 AS asks, CASE k % 5 WHEN 0 THEN 'HP' WHEN 1 THEN 'hpo' WHEN 2 THEN 'LOINC' WHEN 3 THEN 'Mondo' ELSE '' END AS named,
+  CASE k % 5 WHEN 0 THEN 'HP:' WHEN 1 THEN '' WHEN 2 THEN CASE WHEN k % 7 = 0 THEN 'HP:' ELSE 'LOINC:' END WHEN 3 THEN 'MONDO_' ELSE 'X:' END || k || CASE k % 5 WHEN 2 THEN '-1' ELSE '' END AS code, s % 6 / 4.0 AS sure, k, name"""
+
+
+@query(f"""
+WITH p AS (SELECT {_REPLIED} FROM (SELECT p_partkey AS k, p_size AS s, p_name AS name FROM part)),
+q AS (SELECT *, CASE WHEN named IN ('HP', 'hpo') THEN 'HPO' ELSE upper(named) END AS key, CASE asks WHEN 1 THEN 'HPO' WHEN 2 THEN 'LOINC' END AS target FROM p),
+r AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'the reply is no JSON object' WHEN sure > 1 THEN 'confidence outside [0, 1]' WHEN key = '' THEN NULL WHEN target <> key THEN 'vocabulary outside the target'
+    WHEN k % 5 = 2 AND k % 7 = 0 AND asks <> 3 THEN 'code of another vocabulary' END AS error FROM q),
+t AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN key = '' OR (asks = 3 AND key NOT IN ('HPO', 'MONDO')) THEN 'unmapped' ELSE 'mapped' END AS status FROM r),
+a AS (SELECT *, list_filter([
+    {{'c': 'HP:' || (k + 1), 'v': 'HPO', 's': 0.2}}, {{'c': 'LOINC:' || k || '-1', 'v': 'LOINC', 's': 0.9}}, {{'c': 'HP:' || k, 'v': 'HPO', 's': 0.0}}, {{'c': 'MONDO:' || k, 'v': 'MONDO', 's': 0.25}}],
+    lambda x: x.s <= sure AND (target IS NULL OR x.v = target) AND (asks <> 3 OR x.v IN ('HPO', 'MONDO')) AND NOT (x.v = key AND x.c = CASE key WHEN 'HPO' THEN 'HP:' ELSE key || ':' END || k || CASE key WHEN 'LOINC' THEN '-1' ELSE '' END)) AS kept FROM t)
+SELECT k, status, CASE status WHEN 'mapped' THEN CASE key WHEN 'HPO' THEN 'HP:' ELSE key || ':' END || k || CASE key WHEN 'LOINC' THEN '-1' ELSE '' END WHEN 'unmapped' THEN 'UNKNOWN:UNMAPPED' END AS target_code,
+  CASE status WHEN 'mapped' THEN upper(named) WHEN 'unmapped' THEN 'UNKNOWN' END AS ontology, CASE WHEN status <> 'error' THEN CAST(sure AS DOUBLE) END AS confidence, error,
+  CASE WHEN status = 'mapped' THEN coalesce(array_to_string(list_transform(list_sort(list_transform(kept, lambda x, i: {{'o': -x.s, 'i': i, 'c': x.c}})), lambda x: x.c), ','), '') ELSE '' END AS others
+FROM a
+""")
+def disabled_mapping(spark, d):
+    """Replies of a model without lookups, held against a target (1 and 2) or an allow-list (3)."""
+    rows = table(spark, d, "part").selectExpr("p_partkey AS k", "p_size AS s", "p_name AS name").selectExpr(*_REPLIED.split(","))
+    item = lambda code, named, sure: F.struct(F.concat(F.lit(code), F.col("k").cast("string"), F.lit("-1" if named == "LOINC" else "")).alias("code"), F.lit("t").alias("term"), F.lit(named).alias("ontology"), F.lit(sure).alias("confidence"))
+    first = F.struct((F.col("k") + 1).cast("string").alias("code"), F.lit("t").alias("term"), F.lit("hpo").alias("ontology"), F.lit(0.2).alias("confidence"))
+    again = F.struct(F.concat(F.lit("HPO:"), (F.col("k") + 1).cast("string")).alias("code"), F.lit("u").alias("term"), F.lit("HP").alias("ontology"), F.lit(0.1).alias("confidence"))
+    listed = F.array(first, again, item("LOINC:", "LOINC", 0.9), item("hp_", "HP", 0.0), item("MONDO:", "MONDO", 0.25), item("MONDO:", "HP", 0.0))
+    reply = F.to_json(F.struct(F.col("code").alias("target_code"), F.col("name").alias("target_term"), F.col("named").alias("ontology"), F.col("sure").cast("double").alias("confidence"), listed.alias("alternatives")))
+    reply = F.when(F.col("k") % 11 == 0, F.lit("I can't say")).when(F.col("k") % 2 == 0, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).otherwise(reply)
+    target = F.when(F.col("asks") == 1, "hp").when(F.col("asks") == 2, "LOINC")
+    allowed = F.when(F.col("asks") == 3, F.array(F.lit(" hp"), F.lit("MONDO")))
+    got = disabled.results(rows.select(F.col("k").alias("request_id"), target.alias("target"), allowed.alias("allowed"), reply.alias("reply"), F.lit(None).cast("string").alias("error")))
+    others = F.array_join(F.transform("alternatives", lambda a: a.code), ",")
+    return rounded(got.select(F.col("request_id").alias("k"), "status", "target_code", "ontology", "confidence", "error", others.alias("others")))
+
+
+# --- versions ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'again' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus <> 'P'")
+def versioned_results(spark, d):
+    """A first version of finished rows, then a batch of reruns in their place, which comes twice and counts once."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    to = VersionedTable(spark, new_path(spark))
+    to.overwrite(rows.where("status <> 'P'"))
+    again = rows.where("id % 3 = 0").select("id", F.lit("again").alias("status"), (F.col("price") + 1).alias("price"))
+    one = to.each_batch("reruns", lambda held, batch, options: held.upsert(batch, "id", **options))
+    one(again, 0)
+    one(again, 0)
+    return rounded(to.read())

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.breaker import breakers
+from ..sources.versions import VersionedTable
 
 
 def once(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
@@ -20,16 +19,12 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def breaker(stream: DataFrame, *, source: str = "source", ord_: str = "ord", failed: str = "failed", limit: int = 3) -> DataFrame:
-    """Per batch and source: the failures in a row at its end, over all batches so far, and whether the limit was reached."""
+def breaker(stream: DataFrame, table: VersionedTable, checkpoint: str, *, name: str = "breaker", group: str = "source", ord_: str = "ord", **limits) -> StreamingQuery:
+    """Keeps the breakers of a stream's sources in a versioned table: every batch's runs are scanned as breakers() does, compose with the state so far, and replace the rows of its
+    sources. A batch that comes again changes nothing. Within a source, later batches have later rows."""
 
-    def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, opened = state.get if state.exists else (0, False)
-        rows = pd.concat(parts).sort_values(ord_)
-        for bad in rows[failed]:
-            run = run + 1 if bad else 0
-            opened = opened or run >= limit
-        state.update((int(run), bool(opened)))
-        yield pd.DataFrame({source: [key[0]], "streak": [int(run)], "opened": [bool(opened)]})
+    def write(to: VersionedTable, rows: DataFrame, options: dict) -> None:
+        before = to.read(options["since"]) if options["since"] else None
+        to.upsert(breakers(rows, group=group, ord_=ord_, before=before, **limits), group, **options)
 
-    return stream.groupBy(source).applyInPandasWithState(count, f"{source} string, streak bigint, opened boolean", "streak bigint, opened boolean", "update", GroupStateTimeout.NoTimeout)
+    return stream.writeStream.foreachBatch(table.each_batch(name, write)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

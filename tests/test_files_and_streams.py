@@ -1,8 +1,10 @@
 import hashlib
+import random
 
 import pytest
 
-from termloom.sources import files
+from termloom.operators import breaker
+from termloom.sources import files, versions
 from termloom.streaming import runs
 
 
@@ -26,13 +28,83 @@ def test_round_trip(spark, tmp_path):
     assert files.markdown(df.select("query", "x")).splitlines()[2] == "| q | 0.5000 |"
 
 
-def test_stream_appends_once_and_breaker_opens(spark, tmp_path):
-    rows = spark.createDataFrame([(k, "s", k, k in (2, 3, 4), "2024-01-01 00:00:00") for k in range(6)], "id int, source string, ord int, failed boolean, t string").selectExpr("*", "cast(t as timestamp) as time")
+def test_stream_appends_once(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "2024-01-01 00:00:00") for k in range(6)], "id int, t string").selectExpr("*", "cast(t as timestamp) as time")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):  # started again there is nothing new
         runs.append(runs.once(stream, "id", "time"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
-    q = runs.breaker(stream).writeStream.format("memory").queryName("breaker").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [tuple(r) for r in spark.table("breaker").collect()] == [("s", 0, True)]
+
+
+def results(n=400, seed=1):
+    r = random.Random(seed)
+    status = ["mapped", "unmapped", "error", "error", "error", None]
+    return [(r.choice(["hot", "hot", "a", "b", None]), k, r.choice(status), r.choice(["local_retrieval", "planner", None])) for k in range(n)]
+
+
+def loop(rows, local_limit=3, any_limit=5):
+    state = {}
+    for source, k, status, stage in rows:
+        s = state.setdefault(source, dict(local=0, any=0, longest_local=0, longest_any=0, at=None, why=None))
+        if status in ("mapped", "unmapped"):
+            s["local"] = s["any"] = 0
+        elif status == "error":
+            s["any"] += 1
+            s["local"] += stage == "local_retrieval"
+            why = None
+            if stage == "local_retrieval":
+                why = "consecutive_local_retrieval_errors" if s["local"] >= local_limit else None
+            elif s["any"] >= any_limit:
+                why = "consecutive_execution_errors"
+            if why and s["at"] is None:
+                s["at"], s["why"] = k, why
+        s["longest_local"], s["longest_any"] = max(s["longest_local"], s["local"]), max(s["longest_any"], s["any"])
+    return sorted(((g, s["local"], s["any"], s["longest_local"], s["longest_any"], s["at"], s["why"]) for g, s in state.items()), key=str)
+
+
+SCHEMA = "source string, ord bigint, status string, error_stage string"
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 90])
+def test_breakers_beside_a_loop(spark, ranges):
+    rows = results()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = breaker.breakers(df, group="source", ord_="ord", ranges=ranges).collect()
+    assert sorted((tuple(r) for r in got), key=str) == loop(rows)
+    assert breaker.breakers(df.limit(0), group="source", ord_="ord").count() == 0
+
+
+def test_stream_of_breakers_equals_batch(spark, tmp_path):
+    rows = results(120, 3)
+    for k, (a, b) in enumerate([(0, 1), (1, 40), (40, 43), (43, 120)]):
+        spark.createDataFrame(rows[a:b], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        table = versions.VersionedTable(spark, str(tmp_path / "state"))
+        runs.breaker(stream, table, str(tmp_path / "cp")).awaitTermination()
+        assert table.version() == k + 1
+        columns = ["source", "local_run", "any_run", "longest_local", "longest_any", "opened_at", "reason"]
+        assert sorted((tuple(r) for r in table.read().select(*columns).collect()), key=str) == loop(rows[:b])
+
+
+def test_versions_are_whole_conflict_and_replay(spark, tmp_path):
+    table = versions.VersionedTable(spark, str(tmp_path / "t"))
+    rows = lambda *x: spark.createDataFrame([(k, v) for k, v in x], "id int, v string")
+    got = lambda version=None: sorted(tuple(r) for r in table.read(version).collect())
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    assert table.overwrite(rows((1, "a"), (2, "b"))) == 1
+    assert table.upsert(rows((2, "c"), (3, "d")), "id") == 2  # reads what it replaces
+    assert got() == [(1, "a"), (2, "c"), (3, "d")] and got(1) == [(1, "a"), (2, "b")]
+    with pytest.raises(versions.Conflict):  # two writers that have read version 1
+        table.append(rows((9, "x")), since=1)
+    killed = versions.VersionedTable(spark, str(tmp_path / "t"))
+    killed._commit = None  # ends between staging and commit
+    with pytest.raises(TypeError):
+        killed.overwrite(rows((7, "lost")))
+    assert table.version() == 2 and got() == [(1, "a"), (2, "c"), (3, "d")]
+    one = table.each_batch("s", lambda to, df, options: to.append(df, **options))
+    for batch in (0, 1, 1, 0):
+        one(rows((10 + batch, "n")), batch)
+    assert got() == [(1, "a"), (2, "c"), (3, "d"), (10, "n"), (11, "n")] and table.version() == 4
+    assert table.overwrite(rows()) == 5 and got() == []

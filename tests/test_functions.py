@@ -10,8 +10,8 @@ from termloom.functions import gold as G
 from termloom.functions import identity as I
 from termloom.functions import numbers as N
 from termloom.functions import text as T
-from termloom.operators import calibrate, candidates, compare, decide, hierarchy, routing, runs, score
-from termloom.plans import mapping
+from termloom.operators import calibrate, candidates, compare, decide, hierarchy, routing, runs, score, validate
+from termloom.plans import disabled
 from termloom.schemas import assert_columns, blank_to_null, violations
 
 
@@ -101,23 +101,91 @@ def test_decisions_and_results(spark):
     assert got[3].notes == "code is not a candidate"
 
 
-class Broken:
-    def complete(self, prompts):
-        raise RuntimeError("down")
+class Flaky:
+    """Fails for some prompts, always or a number of times, and for batches that hold them."""
 
+    def __init__(self, bad=(), short=(), odd=()):
+        self.bad, self.short, self.odd = dict.fromkeys(bad, 99) if not isinstance(bad, dict) else dict(bad), short, odd
 
-def test_failed_calls_are_rows(spark):
-    df = spark.createDataFrame([(1, "p")], "id int, prompt string")
-    assert providers.answered(df, Broken()).first().answer.error == "RuntimeError: down"
+    def complete(self, prompts):
+        for p in prompts:
+            if self.bad.get(p, 0) > 0:
+                if len(prompts) == 1:
+                    self.bad[p] -= 1
+                raise RuntimeError(f"down for {p}, api_key=sk-abcdefghijklmnopqrstuvwxyz0123456789")
+        return [7 if p in self.odd else p.upper() for p in prompts if p not in self.short]
+
+    def usage(self, prompts, replies):
+        return [(len(p), len(r)) for p, r in zip(prompts, replies, strict=True)]
+
+
+def test_one_failing_prompt_is_one_failed_row(spark):
+    slept = []
+    got = providers.asked(Flaky(bad=["p9"], short=["p20"], odd=["p40"]), [f"p{k}" for k in range(64)], sleep=slept.append)
+    assert [k for k, x in enumerate(got) if x.error] == [9, 20, 40] and slept == [2.0, 4.0, 8.0] * 3
+    assert got[8].reply == "P8" and got[8].tokens == (2, 2) and got[9].attempts == 4 + 6 and got[9].reply is None
+    assert "0 replies to 1" in got[20].error and "int" in got[40].error
+    healed = providers.asked(Flaky(bad={"a": 2}), ["a"], sleep=slept.append)[0]
+    assert (healed.reply, healed.error, healed.attempts) == ("A", None, 3)
+    df = spark.createDataFrame([(k, f"p{k}", 1) for k in range(300)], "id int, prompt string, `a.b` int").coalesce(2)
+    rows = providers.answered(df, Flaky(bad=["p9"]), batch=16, waits=(0.0,)).select("id", "answer.*").collect()
+    assert [r.id for r in rows if r.error] == [9] and len(rows) == 300
+    bad = next(r for r in rows if r.error)
+    assert bad.error.startswith("RuntimeError: down for p9") and "sk-abc" not in bad.error and bad.attempts == 2 + 4 and bad.input_tokens is None
+    assert providers.answered(df.limit(0), Flaky()).count() == 0
+
+
+class Usageless(Flaky):
+    def usage(self, prompts, replies):
+        raise RuntimeError("no usage")
+
+
+def test_usage_that_fails_loses_no_reply(spark):
+    got = providers.asked(Usageless(), ["a", "b"])
+    assert [(x.reply, x.tokens) for x in got] == [("A", (None, None)), ("B", (None, None))]
     calls = []
     with pytest.raises(RuntimeError):
-        providers.Retrying(Broken(), sleep=calls.append).complete(["p"])
+        providers.Retrying(Flaky(bad=["p"]), sleep=calls.append).complete(["p"])
     assert calls == [2.0, 4.0]
 
 
-def test_disabled_mode_is_never_grounded(spark):
-    df = spark.createDataFrame([(1, "t", "l")], "request_id bigint, term string, label string")
-    assert tuple(mapping.disabled(df, providers.FirstCandidate()).first()) == (1, decide.UNMAPPED, 0.0, False)
+class Canned:
+    def __init__(self, by_term):
+        self.by_term = by_term
+
+    def complete(self, prompts):
+        return [self.by_term[p.split("\n")[0].removeprefix("Term: ")] for p in prompts]
+
+
+def test_disabled_mode_holds_replies_against_the_request(spark):
+    reply = lambda **more: json.dumps({"target_code": "HP:1", "target_term": "x", "ontology": "HP", "confidence": 0.9} | more)
+    alternatives = [
+        {"code": "HP:2", "term": "a", "ontology": "hpo", "confidence": 0.3}, {"code": "2", "term": "again", "ontology": "HP", "confidence": 0.2}, {"code": "HPO:1", "term": "selected", "ontology": "HPO", "confidence": 0.1},
+        {"code": "HP:3", "term": "surer", "ontology": "HP", "confidence": 0.95}, {"code": "LOINC:1-1", "term": "outside", "ontology": "LOINC", "confidence": 0.1}, {"code": "MONDO:4", "term": "contradicts", "ontology": "HP", "confidence": 0.1},
+        "junk", {"code": "HP:5", "term": "b", "ontology": "HP", "confidence": "0.5"}, {"code": "HP:6", "term": "no confidence", "ontology": "HP"},
+    ]
+    cases = {
+        "fenced": ("```json\n" + reply(alternatives=alternatives) + "\n```", "HPO", None), "sure": (reply(confidence=7.5), None, None), "other": (reply(target_code="LOINC:1", ontology="LOINC"), "HPO", None),
+        "alias": (reply(target_code="5", ontology="rxcui"), "RxNorm", ["rxnorm"]), "outside": (reply(notes="n"), None, ["LOINC"]), "none": (reply(target_code="UNKNOWN:UNMAPPED", alternatives=alternatives), "HPO", None),
+        "text": ("no json", None, None), "list": ("[1]", None, None), "words": (reply(confidence="high"), None, []), "contradicts": (reply(target_code="MONDO:1"), None, None),
+    }
+    df = spark.createDataFrame([(k, t, None, target, allowed) for k, (t, (_, target, allowed)) in enumerate(cases.items())], "request_id bigint, term string, label string, target string, allowed array<string>")
+    rows = disabled.mapped(df, Canned({t: r for t, (r, _, _) in cases.items()})).collect()
+    got = {list(cases)[r.request_id]: r for r in rows}
+    assert {t: r.status for t, r in got.items()} == {"fenced": "mapped", "sure": "error", "other": "error", "alias": "mapped", "outside": "unmapped", "none": "unmapped", "text": "error", "list": "error", "words": "mapped", "contradicts": "error"}
+    assert [(a.code, a.confidence) for a in got["fenced"].alternatives] == [("HP:5", 0.5), ("HP:2", 0.3)]
+    assert got["alias"].target_code == "RXNORM:5" and got["words"].confidence == 0.0 and got["none"].alternatives == []
+    assert got["outside"].notes == disabled.OUTSIDE + " n" and got["outside"].target_code == disabled.CODE and not any(r.is_grounded for r in rows)
+    few = disabled.mapped(df.where("term = 'fenced'"), Canned({"fenced": cases["fenced"][0]}), most=1).first()
+    assert [a.code for a in few.alternatives] == ["HP:2"]  # cut in the reply's order, then sorted
+    shown = disabled.prompts(df, 0).where("term IN ('alias', 'outside')").orderBy("request_id").collect()
+    assert "this vocabulary only: RxNorm" in shown[0].prompt and "one of these vocabularies only: LOINC" in shown[1].prompt and "no alternatives" in shown[0].prompt
+
+
+def test_validation_by_any_spelling(spark):
+    rows = spark.createDataFrame([(c, "mapped") for c in ("HPO:1", "hp_1", "RXCUI:5", "HP:2", "x")], "mapped_code string, status string")
+    vocabulary = spark.createDataFrame([("HP:1",), ("RXNORM:5",)], "code string")
+    assert {r.mapped_code: r.validation_status for r in validate.validated(rows, vocabulary).collect()} == {"HPO:1": "VALID", "hp_1": "VALID", "RXCUI:5": "VALID", "HP:2": "INVALID", "x": "INVALID"}
 
 
 def test_merge_and_error_limit(spark):
