@@ -15,9 +15,11 @@ have any name.
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -70,38 +72,52 @@ class Trie:
             for source, n in counts.items():
                 own[source] = own.get(source, 0) + n
 
-    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """Terms in the order of their bytes, with documents and counters."""
-        todo = [(b"", self.root)]
+    def walk(self) -> Iterator[tuple[int, bytes, int, dict[str, int]]]:
+        """Terms in the order of their bytes: how many bytes a term shares with the one before, the term, documents and counters."""
+        todo, shared = [(b"", self.root)], 0
         while todo:
-            before, node = todo.pop()
-            term = before + node[0]
-            if node[3] is not None:
-                yield term, node[2], node[3]
-            if node[1]:
-                todo += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
+            before, (label, children, docs, counts) = todo.pop()
+            # what two terms share is the shortest path at which the walk has branched between them
+            if len(before) < shared:
+                shared = len(before)
+            term = before + label
+            if counts is not None:
+                yield shared, term, docs, counts
+                shared = len(term)
+            if children:
+                todo += [(term, children[b]) for b in sorted(children, reverse=True)]
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the collector of cycles: tries have none, and it would walk their millions of nodes again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 PACKED = [("sources", pa.list_(pa.string())), ("shared", pa.binary()), ("rest", pa.binary()), ("tails", pa.binary()), ("docs", pa.binary()), ("entries", pa.binary()), ("which", pa.binary()), ("counts", pa.binary())]
 PACKED_SQL = "sources array<string>, shared binary, rest binary, tails binary, docs binary, entries binary, which binary, counts binary"
 
 
-def packed(terms: list[tuple[bytes, int, dict[str, int]]]) -> tuple:
-    """Terms in order as a row of PACKED: lengths of what a term shares with the one before and of the rest, the rests, documents, numbers of counters, their
-    sources and values."""
+def packed(leaves: list[tuple[int, bytes, int, dict[str, int]]]) -> tuple:
+    """Leaves of a walk (the first may share bytes with one that isn't there) as a row of PACKED: lengths of what a term shares with the one before and of the rest, the
+    rests, documents, numbers of counters, their sources and values."""
     names: dict[str, int] = {}
-    shared, rest, tails, which, counts, last = [], [], [], [], [], b""
-    for term, _, own in terms:
-        k, most = 0, min(len(term), len(last))
-        while k < most and term[k] == last[k]:
-            k += 1
-        shared.append(k)
-        rest.append(len(term) - k)
-        tails.append(term[k:])
+    which: list[int] = []
+    counts: list[int] = []
+    for leaf in leaves:
+        own = leaf[3]
         which += [names.setdefault(s, len(names)) for s in own]
         counts += own.values()
-        last = term
-    kinds = [(shared, "<u4"), (rest, "<u4"), (None, ""), ([d for _, d, _ in terms], "<i8"), ([len(o) for _, _, o in terms], "<u4"), (which, "<u4"), (counts, "<i8")]
+    shared = [0, *[leaf[0] for leaf in leaves[1:]]]
+    tails = [leaf[1][k:] for k, leaf in zip(shared, leaves, strict=True)]
+    rest = [len(t) for t in tails]
+    kinds = [(shared, "<u4"), (rest, "<u4"), (None, ""), ([leaf[2] for leaf in leaves], "<i8"), ([len(leaf[3]) for leaf in leaves], "<u4"), (which, "<u4"), (counts, "<i8")]
     return list(names), *[b"".join(tails) if x is None else np.array(x, kind).tobytes() for x, kind in kinds]
 
 
@@ -129,6 +145,7 @@ def counted(docs: DataFrame, cuts: list[bytes]) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, seen in documents.items():
+                # one language's trie at a time
                 leaves: dict[bytes, dict[str, int]] = {term: {} for term in seen}
                 for source, own in counts[lang].items():
                     for term, n in own.items():
@@ -139,7 +156,7 @@ def counted(docs: DataFrame, cuts: list[bytes]) -> DataFrame:
                 held: list = []
                 at = 0
                 for leaf in trie.walk():
-                    place = bisect_right(cuts, leaf[0])
+                    place = bisect_right(cuts, leaf[1])
                     if place != at and held:
                         yield batch_of([(lang, at, *packed(held))], schema)
                         held = []
@@ -160,7 +177,11 @@ def counted(docs: DataFrame, cuts: list[bytes]) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, f"lang string, range int, {PACKED_SQL}")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with uncollected():
+            yield from run(batches)
+
+    return docs.mapInArrow(task, f"lang string, range int, {PACKED_SQL}")
 
 
 def merged(tries: DataFrame, ranges: int, at_least: int) -> DataFrame:
@@ -171,11 +192,16 @@ def merged(tries: DataFrame, ranges: int, at_least: int) -> DataFrame:
         now, trie = None, Trie()
 
         def out() -> Iterator[pa.RecordBatch]:
-            kept = [leaf for leaf in trie.walk() if leaf[1] >= at_least]
+            kept, shared = [], 0
+            for k, term, docs, own in trie.walk():
+                shared = min(shared, k)  # with the last term that was kept
+                if docs >= at_least:
+                    kept.append((shared, term, docs, own))
+                    shared = len(term)
             if kept:
                 row = packed(kept)
                 sums: Counter = Counter()
-                for _, _, own in kept:
+                for _, _, _, own in kept:
                     sums.update(own)
                 yield batch_of([(*now, *row, len(kept), [sums[s] for s in row[0]])], schema)
 
@@ -187,8 +213,12 @@ def merged(tries: DataFrame, ranges: int, at_least: int) -> DataFrame:
                 trie.add(*leaf)
         yield from out()
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with uncollected():
+            yield from run(batches)
+
     dealt = tries.repartition(ranges, "lang", "range").sortWithinPartitions("lang", "range")
-    return stored(dealt.mapInArrow(run, f"lang string, range int, {PACKED_SQL}, v bigint, sums array<bigint>"))
+    return stored(dealt.mapInArrow(task, f"lang string, range int, {PACKED_SQL}, v bigint, sums array<bigint>"))
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:

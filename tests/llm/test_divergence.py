@@ -1,5 +1,6 @@
 """Source divergence beside plain dictionaries; the trie beside sorting."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -62,8 +63,10 @@ def test_trie_walks_in_order_and_merges():
     for leaf in divergence.terms_of(row):
         two.add(*leaf)
     assert list(two.walk()) == list(both.walk())
-    assert [t for t, _, _ in both.walk()] == sorted(set(terms))
-    assert {t: sum(own.values()) for t, _, own in both.walk()} == Counter(terms)
+    leaves = list(both.walk())
+    assert [t for _, t, _, _ in leaves] == sorted(set(terms))
+    assert [k for k, _, _, _ in leaves[1:]] == [len(os.path.commonprefix([a[1], b[1]])) for a, b in zip(leaves, leaves[1:], strict=False)]
+    assert {t: sum(own.values()) for _, t, _, own in leaves} == Counter(terms)
 
 
 def test_shares_beyond_whole_numbers_of_64_bits():
