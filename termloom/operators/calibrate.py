@@ -5,11 +5,10 @@ Ranks come from counts of distinct scores and running sums in two levels, so tha
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.statistics import p_value
 from ..schemas import hard_fail
 from .ordering import accumulated
 
@@ -55,7 +54,7 @@ def ece(binned: DataFrame) -> DataFrame:
 
 
 def separation(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Of right and wrong answers' confidences: counts, means, deviations, the rank-sum statistic z and Cohen's d. The
+    """Of right and wrong answers' confidences: counts, means, deviations, the rank-sum statistic z with its two-sided p, and Cohen's d. The
     statistic is not corrected for ties."""
     sums = rank_sums(rows, label, score)
     y = F.col(label) == 1
@@ -64,15 +63,4 @@ def separation(rows: DataFrame, label: str = "label", score: str = "score") -> D
     z = (F.col("r1") - n1 * (n1 + n0 + 1) / 2) / F.sqrt(n1 * n0 * (n1 + n0 + 1) / 12)
     pooled = F.sqrt(((n1 - 1) * F.pow("sd_right", F.lit(2)) + (n0 - 1) * F.pow("sd_wrong", F.lit(2))) / (n1 + n0 - 2))
     both = (n1 > 0) & (n0 > 0)
-    return sums.join(of, F.lit(True)).select("n1", "n0", "mean_right", "mean_wrong", "sd_right", "sd_wrong", F.when(both, z).alias("z"), F.when((n1 > 1) & (n0 > 1) & (pooled > 0), (F.col("mean_right") - F.col("mean_wrong")) / pooled).alias("cohens_d"))
-
-
-def p_value(z: float) -> float:
-    """Two-sided, of a standard normal statistic."""
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def mcnemar(b: int, c: int) -> float:
-    """The exact two-sided p of b and c discordant pairs; 1 without any."""
-    n, k = b + c, min(b, c)
-    return min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1))) if n else 1.0
+    return sums.join(of, F.lit(True)).select("n1", "n0", "mean_right", "mean_wrong", "sd_right", "sd_wrong", F.when(both, z).alias("z"), F.when(both, p_value(z)).alias("p"), F.when((n1 > 1) & (n0 > 1) & (pooled > 0), (F.col("mean_right") - F.col("mean_wrong")) / pooled).alias("cohens_d"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import positional
+from .store import written
 from .vector_index import VectorIndex, new_path
 
 
@@ -23,18 +24,20 @@ def lexical(calls: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
     a word that many terms share is joined for the sets that nothing rarer tells apart.
     """
     q = calls.select("request_id", "query_ord", F.col("ontology").alias("asked"), F.array_sort(words(F.col("query"))).alias("qw"))
-    q = q.where(F.size("qw") > 0).withColumn("qid", F.md5(F.to_json(F.struct("asked", "qw"))))
+    q = q.where(F.size("qw") > 0).withColumn("qid", F.md5(F.concat_ws("\n", F.coalesce("asked", F.lit("\n")), F.array_join("qw", " "))))
     v = vocabulary.select("code", "term", "ontology", F.array_sort(words(F.col("term"))).alias("vw")).where(F.size("vw") > 0)
-    v = v.withColumn("vid", F.md5(F.to_json(F.struct("ontology", "vw"))))
     # of terms with equal words the k first codes can be among a query's best
-    v = v.withColumn("_nth", F.row_number().over(Window.partitionBy("vid").orderBy("code", "term"))).where(F.col("_nth") <= k)
-    sets = v.groupBy("vid").agg(F.first("ontology").alias("ontology"), F.first("vw").alias("vw"), F.min("code").alias("first"), F.count("*").alias("codes"))
-    of_word = sets.select("vid", "ontology", "vw", "first", "codes", F.explode("vw").alias("word"))
+    v = v.withColumn("_nth", F.row_number().over(Window.partitionBy("ontology", "vw").orderBy("code", "term"))).where(F.col("_nth") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("code", "term")))  # k at most
+    # each table is read and split into words once; all that follows reads these sets
+    sets = written(v.groupBy("ontology", "vw").agg(listed.alias("terms")).withColumn("vid", F.monotonically_increasing_id()))
+    q = written(q)
+    of_word = sets.select("vid", "ontology", "vw", F.col("terms")[0].code.alias("first"), F.size("terms").alias("codes"), F.explode("vw").alias("word"))
     often = of_word.groupBy("word").agg(F.count("*").alias("often"))
-    asked = q.select("qid", "asked", "qw").dropDuplicates(["qid"])
+    asked = q.groupBy("qid", "asked", "qw").agg(F.lit(1).alias("_one")).drop("_one")
     each = asked.select("qid", F.explode("qw").alias("word")).join(often, "word", "left")
     rare = each.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("rare"))
-    asked = asked.join(rare, "qid")
+    asked = written(asked.join(rare, "qid"))
     known = F.filter("rare", lambda w: w.often > 0)
     least = best_sets(asked.select("qid", "asked", "qw", F.slice(known, 1, 1).alias("by")), of_word, k)
     up_to = F.sum("codes").over(Window.partitionBy("qid").orderBy(F.desc("score"), "first").rowsBetween(Window.unboundedPreceding, -1))
@@ -43,7 +46,7 @@ def lexical(calls: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
     few = F.size("qw") - F.ceil(bound * F.size("qw") - 1e-9) + 1
     some = F.filter(F.slice("rare", F.lit(1), few.cast("int")), lambda w: w.often > 0)
     close = best_sets(asked.join(least, "qid", "left").select("qid", "asked", "qw", some.alias("by")), of_word, k)
-    hits = close.join(v.select("vid", "code", "term", "ontology"), "vid")
+    hits = close.join(sets.select("vid", "ontology", F.explode("terms").alias("t")), "vid").select("qid", "ontology", "t.code", "t.term", F.col("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "code")
     hits = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     out = q.select("request_id", "query_ord", "qid").join(hits, "qid")

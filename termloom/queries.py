@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import gold as G
 from .functions import identity as I
 from .functions import numbers as N
+from .functions import statistics
 from .functions import text as T
 from .operators import audit, breaker, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score, summaries, validate
 from .operators.vector_index import VectorIndex, new_path
@@ -440,7 +441,7 @@ def expected_calibration_error(spark, d):
 
 @query(f"WITH {_CONF}, m AS (SELECT avg(score) FILTER (WHERE label = 1) AS mr, avg(score) FILTER (WHERE label = 0) AS mw, stddev_samp(score) FILTER (WHERE label = 1) AS sr, stddev_samp(score) FILTER (WHERE label = 0) AS sw FROM x) SELECT n1, n0, round(mr, 6) AS mean_right, round(mw, 6) AS mean_wrong, round(sr, 6) AS sd_right, round(sw, 6) AS sd_wrong, round((r1 - n1 * (n1 + n0 + 1) / 2.0) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12.0), 6) AS z, round((mr - mw) / sqrt(((n1 - 1) * sr * sr + (n0 - 1) * sw * sw) / (n1 + n0 - 2)), 6) AS cohens_d FROM u, m")
 def separation_stats(spark, d):
-    return rounded(calibrate.separation(confidences(spark, d)))
+    return rounded(calibrate.separation(confidences(spark, d)).drop("p"))  # SQL has no error function
 
 
 # --- comparison -------------------------------------------------------------------------------------------------------
@@ -472,6 +473,20 @@ def transitions(spark, d):
     return paired(spark, d).agg(*compare.transitions(F.col("`top1_1-URGENT`"), F.col("`top1_2-HIGH`")))
 
 
+@query("""
+WITH w AS (SELECT l_suppkey AS tool, l_returnflag = 'R' AS ours, l_discount >= 0.05 AS theirs FROM lineitem),
+n AS (SELECT tool, count(*) FILTER (WHERE ours AND theirs) AS both_right, count(*) FILTER (WHERE ours AND NOT theirs) AS lost, count(*) FILTER (WHERE NOT ours AND theirs) AS gained,
+  count(*) FILTER (WHERE NOT ours AND NOT theirs) AS both_wrong FROM w GROUP BY tool)
+SELECT *, round(CASE WHEN lost + gained = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(lost, gained) + 1),
+  lambda i: exp(lgamma(lost + gained + 1) - CASE WHEN i > 1 THEN lgamma(i + 1) ELSE 0 END - lgamma(lost + gained - i + 1) - (lost + gained) * ln(2))))) END, 6)::DOUBLE AS p FROM n
+""")
+def mcnemar_by_tool(spark, d):
+    """Exact tests of paired outcomes, one a tool, in one aggregation."""
+    w = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tool"), (F.col("l_returnflag") == "R").alias("ours"), (F.col("l_discount") >= 0.05).alias("theirs"))
+    n = w.groupBy("tool").agg(*compare.transitions(F.col("ours"), F.col("theirs")))
+    return rounded(n.withColumn("p", statistics.mcnemar(F.col("lost"), F.col("gained"))))
+
+
 @query(f"WITH {_MODES} SELECT round(avg(CASE WHEN ca IS NOT DISTINCT FROM cb THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS top1_agreement, count(*) AS n FROM w")
 def run_agreement(spark, d):
     return paired(spark, d).agg(F.round(compare.agreement(F.col("`code_1-URGENT`"), F.col("`code_2-HIGH`")), 6).alias("top1_agreement"), F.count("*").alias("n"))

@@ -1,6 +1,8 @@
 """Edge cases of expressions and operators."""
 
 import json
+import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from termloom import providers
 from termloom.functions import gold as G
 from termloom.functions import identity as I
 from termloom.functions import numbers as N
+from termloom.functions import statistics
 from termloom.functions import text as T
 from termloom.operators import calibrate, candidates, compare, decide, hierarchy, routing, runs, score, validate
 from termloom.plans import disabled
@@ -84,8 +87,10 @@ def test_calibration_edges(spark):
     assert tuple(calibrate.roc_auc(one_class).first()) == (2, 0, None, "NOT_COMPUTABLE")
     assert [r["count"] for r in calibrate.bins(one_class).orderBy("bin").collect()] == [0, 0, 0, 0, 0, 1, 0, 0, 0, 1]
     assert calibrate.ece(calibrate.bins(one_class.limit(0))).first()[0] is None
-    assert calibrate.mcnemar(0, 0) == 1 and abs(calibrate.mcnemar(1, 9) - 0.021484375) < 1e-12
-    assert abs(calibrate.p_value(1.959963984540054) - 0.05) < 1e-9
+    assert abs(one(spark, calibrate.p_value(F.lit(1.959963984540054)))[0] - 0.05) < 1e-9
+    both = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1), (0, 0.2)], "label int, score double")
+    r = calibrate.separation(both).first()
+    assert abs(r.p - math.erfc(abs(r.z) / math.sqrt(2))) < 1e-12
 
 
 def test_decisions_and_results(spark):
@@ -182,6 +187,23 @@ def test_disabled_mode_holds_replies_against_the_request(spark):
     assert "this vocabulary only: RxNorm" in shown[0].prompt and "one of these vocabularies only: LOINC" in shown[1].prompt and "no alternatives" in shown[0].prompt
 
 
+def test_p_values_beside_math(spark):
+    zs = [0.0, 1e-9, 0.5, -1.96, 2.8, 2.9, 5.0, -12.0, 37.0]
+    for z, p in zip(zs, one(spark, *[statistics.p_value(F.lit(z)) for z in zs]), strict=True):
+        want = math.erfc(abs(z) / math.sqrt(2))
+        assert abs(p - want) <= 1e-9 * want + 1e-300, z
+    assert one(spark, statistics.p_value(F.lit(None)), statistics.mcnemar(F.lit(None), F.lit(1))) == (None, None)
+    pairs = [(0, 0), (1, 9), (5, 5), (0, 1), (0, 1000), (3, 1020), (400, 600), (12, 40), (50_000, 50_600)]
+
+    def exact(b, c):
+        n, k = b + c, min(b, c)
+        return min(1.0, float(2 * sum(Fraction(math.comb(n, i), 1) for i in range(k + 1)) / Fraction(2) ** n)) if n < 2000 else None
+
+    for (b, c), p in zip(pairs, one(spark, *[statistics.mcnemar(F.lit(b), F.lit(c)) for b, c in pairs]), strict=True):
+        want = exact(b, c)
+        assert 0 < p < 0.2 if want is None else abs(p - want) <= 1e-9 * want, (b, c, p, want)
+
+
 def test_validation_by_any_spelling(spark):
     rows = spark.createDataFrame([(c, "mapped") for c in ("HPO:1", "hp_1", "RXCUI:5", "HP:2", "x")], "mapped_code string, status string")
     vocabulary = spark.createDataFrame([("HP:1",), ("RXNORM:5",)], "code string")
