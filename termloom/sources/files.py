@@ -2,17 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.gold import split_codes
 from ..schemas import assert_columns, blank_to_null
 
 
-def read_table(spark: SparkSession, path: str | list[str], required: list[str], *, sep: str = ",") -> DataFrame:
-    """A CSV or TSV table of texts with a header. Missing columns are an error, more are kept. Files are never joined by order:
-    rows that need one carry a column for it."""
-    return assert_columns(spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"'), required)
+def read_table(spark: SparkSession, path: str | list[str], required: list[str], *, sep: str = ",", multi_line: bool = True, index: str | None = None) -> DataFrame:
+    """A CSV or TSV table of texts with a header. Missing columns are an error, more are kept. With index a column of that name comes first: the row's place (see
+    numbered()). Without multi_line no cell may hold a line break, and large files are read in splits."""
+    rows = assert_columns(spark.read.csv(path, header=True, sep=sep, multiLine=multi_line, escape='"'), required)
+    return numbered(rows, index) if index else rows
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows, straight from a scan of files, with their places from 0: files in order of their paths, rows in the order of a file, whatever the splits. Rows are
+    numbered inside their split; only the splits' counts meet in one task."""
+    place = rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    # a split is read by one task, in order
+    inside = place.withColumn("_nth", F.row_number().over(Window.partitionBy("_split").orderBy("_id")) - 1)
+    counts = place.groupBy("_split").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("_split").alias("_of"), before.alias("_before"))
+    both = inside.join(offsets, F.col("_split") == F.col("_of"))
+    return both.select((F.col("_before") + F.col("_nth")).alias(name), *[F.col(f"`{c}`") for c in rows.columns])
+
+
+def digests(spark: SparkSession, path: str, block: int = 8 << 20) -> DataFrame:
+    """path (below the given one), bytes and sha256 of every file at a path, of any size: tasks stream files through pyarrow, which reads file:, hdfs: and s3: URIs."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(where).toString()
+    found, files = [], fs.listFiles(where, True)
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        if not name.rpartition("/")[2].startswith((".", "_")):
+            found.append((name.removeprefix(top).lstrip("/"), name))
+
+    def run(parts):
+        from pyarrow import fs as pafs
+
+        for part in parts:
+            sums, sizes = [], []
+            for name in part["file"]:
+                system, local = pafs.FileSystem.from_uri(name if "://" in name else name.replace(":", "://", 1))
+                total, size = hashlib.sha256(), 0
+                with system.open_input_stream(local) as stream:
+                    while data := stream.read(block):
+                        total.update(data)
+                        size += len(data)
+                sums.append(total.hexdigest())
+                sizes.append(size)
+            yield part[["path"]].assign(bytes=sizes, sha256=sums)
+
+    listed = spark.createDataFrame(found, "path string, file string").repartition(max(1, len(found)))
+    return listed.mapInPandas(run, "path string, bytes bigint, sha256 string")
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """One digest of the names and contents of all files at a path; that of its content for a single file."""
+    rows = sorted((r.path, r.sha256) for r in digests(spark, path).collect())  # a row a file
+    if len(rows) == 1 and not rows[0][0]:
+        return rows[0][1]
+    return hashlib.sha256("".join(f"{d}  {p}\n" for p, d in rows).encode()).hexdigest()
+
+
+def changed(before: dict, now: dict, fields: list[str]) -> list[str]:
+    """The named settings of a run that differ from those it was begun with; it may be resumed if there are none."""
+    return [f for f in fields if before.get(f) != now.get(f)]
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +92,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_edges(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
     """Hierarchy edges from a TSV; with sha256 the file's content has to have that digest."""
-    if sha256 and spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).where(F.col("d") != sha256).count():
+    if sha256 and fingerprint(spark, path) != sha256:
         raise ValueError(f"{path} hasn't the stated digest")
     return read_table(spark, path, ["Subject", "Object"], sep="\t").select(F.col("Subject").alias("subject"), F.col("Object").alias("object"))
 

@@ -28,6 +28,39 @@ def test_round_trip(spark, tmp_path):
     assert files.markdown(df.select("query", "x")).splitlines()[2] == "| q | 0.5000 |"
 
 
+@pytest.mark.parametrize("size", ["200b", "1m"])
+def test_row_numbers_follow_files_whatever_the_splits(spark, tmp_path, size):
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = []
+    for name, n in (("a", 70), ("b", 0), ("c", 45)):
+        rows = [f"{name}{k},{'x' * (k % 13)}" for k in range(n)]
+        (tmp_path / f"{name}.csv").write_text("id,text\n" + "".join(r + "\n" for r in rows))
+        want += [r.split(",")[0] for r in rows]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = files.read_table(spark, str(tmp_path), ["id"], multi_line=False, index="raw_row_index")
+        assert got.columns == ["raw_row_index", "id", "text"]
+        assert [(r.raw_row_index, r.id) for r in got.orderBy("raw_row_index").collect()] == list(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_fingerprints_see_every_byte(spark, tmp_path):
+    top = tmp_path / "data"
+    (top / "more").mkdir(parents=True)
+    (top / "a.bin").write_bytes(b"x" * 100_000)
+    (top / "more" / "b.bin").write_bytes(b"")
+    rows = {r.path: (r.bytes, r.sha256) for r in files.digests(spark, str(top), block=4096).collect()}
+    assert rows == {"a.bin": (100_000, hashlib.sha256(b"x" * 100_000).hexdigest()), "more/b.bin": (0, hashlib.sha256(b"").hexdigest())}
+    assert files.fingerprint(spark, str(top / "a.bin")) == rows["a.bin"][1]
+    first = files.fingerprint(spark, str(top))
+    (top / "a.bin").write_bytes(b"x" * 99_999 + b"y")
+    second = files.fingerprint(spark, str(top))
+    assert first != second
+    begun = {"dataset": first, "model": "m", "seed": 42}
+    assert files.changed(begun, begun | {"dataset": second, "seed": 43}, ["dataset", "model", "seed"]) == ["dataset", "seed"]
+
+
 def test_stream_appends_once(spark, tmp_path):
     rows = spark.createDataFrame([(k, "2024-01-01 00:00:00") for k in range(6)], "id int, t string").selectExpr("*", "cast(t as timestamp) as time")
     rows.write.parquet(str(tmp_path / "in"))
