@@ -171,8 +171,9 @@ def completeness(rows: DataFrame, fields: list[str], by: list[str] | None = None
 
 def mode_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """rows: scored predictions (status, top1, top3, top5, rr, recall, mapped_code, was_retrieved, validation_status, confidence,
-    semantic_correctness, end_to_end_seconds, llm_seconds, api_cost_usd). A row a mode with every metric that reports have, except those
-    of calibration, which calibrate gives."""
+    semantic_correctness, end_to_end_seconds, llm_seconds, api_cost_usd). A row a mode with every metric that reports have; those of calibration
+    are null for a mode without mapped rows that have a confidence."""
+    from . import calibrate
     from .score import abstained
 
     by = by or []
@@ -195,7 +196,7 @@ def mode_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     ).drop("_grounded")
     for column in ("end_to_end_seconds", "llm_seconds"):
         out = beside(out, percentiles(rows, column, {f"median_{column}": 0.5}, by), by)
-    return out
+    return beside(out, calibrate.summary(rows, by), by)
 
 
 def comparison(summaries: DataFrame, modes: list[str], *, mode: str = "mode") -> DataFrame:

@@ -153,25 +153,32 @@ def latency_completeness(spark, d):
     return rounded(summaries.completeness(rows, ["planner", "llm"], ["mode"]))
 
 
-_MODE = f"""{_PRED}, w AS (SELECT mode, status, top1, top3, top5, rr, recall, ranks[1] AS code, id % 3 = 0 AS retrieved, CASE WHEN status <> 'mapped' THEN 'NOT_APPLICABLE' WHEN id % 5 = 0 THEN 'INVALID' WHEN id % 5 = 1 THEN 'UNRESOLVED' ELSE 'VALID' END AS v,
+_MODE = f"""{_PRED}, w AS (SELECT mode, status, CASE WHEN id % 11 <> 0 THEN (id * 7 % 100 + CASE WHEN top1 THEN 40 ELSE 0 END) / 140.0::DOUBLE END AS conf, top1, top3, top5, rr, recall, ranks[1] AS code, id % 3 = 0 AS retrieved, CASE WHEN status <> 'mapped' THEN 'NOT_APPLICABLE' WHEN id % 5 = 0 THEN 'INVALID' WHEN id % 5 = 1 THEN 'UNRESOLVED' ELSE 'VALID' END AS v,
   id % 97 / 10.0 AS e2e, CASE WHEN id % 7 <> 0 THEN id % 50 / 20.0 END AS llm, CASE WHEN id % 5 <> 0 THEN id % 11 / 1000.0 END AS cost FROM s),
 a AS (SELECT mode, count(*) AS n, avg(top1::DOUBLE) AS top1_accuracy, avg(top3::DOUBLE) AS top3_accuracy, avg(top5::DOUBLE) AS top5_accuracy, avg(rr)::DOUBLE AS mrr, coalesce(avg(recall), 0) AS recall_at_gt, count(recall) AS recall_at_gt_n,
   count(*) FILTER (WHERE status <> 'error' AND (status = 'unmapped' OR code IS NULL)) AS abstention_count, count(*) FILTER (WHERE status = 'mapped') AS mapped_count, count(*) FILTER (WHERE status = 'unmapped') AS unmapped_count, count(*) FILTER (WHERE status = 'error') AS execution_error_count,
   count(*) FILTER (WHERE status = 'mapped' AND retrieved) AS g, count(*) FILTER (WHERE v = 'VALID') AS valid_code_count, count(*) FILTER (WHERE v = 'INVALID') AS invalid_code_count, count(*) FILTER (WHERE v = 'UNRESOLVED') AS unresolved_validation_count,
   avg(e2e)::DOUBLE AS mean_end_to_end_seconds, avg(llm)::DOUBLE AS mean_llm_seconds, sum(cost)::DOUBLE AS total_api_cost_usd, avg(cost)::DOUBLE AS mean_api_cost_per_row_usd, quantile_cont(e2e::DOUBLE, 0.5) AS median_end_to_end_seconds, quantile_cont(llm::DOUBLE, 0.5) AS median_llm_seconds FROM w GROUP BY mode),
+cp AS (SELECT mode, top1::INT AS y, conf, rank() OVER (PARTITION BY mode ORDER BY conf) + (count(*) OVER (PARTITION BY mode, conf) - 1) / 2.0 AS rk FROM w WHERE status = 'mapped' AND conf IS NOT NULL),
+cb AS (SELECT mode, count(*) AS n, abs(avg(y) - avg(conf)) AS gap FROM cp GROUP BY mode, least(floor(conf * 10), 9)), ce AS (SELECT mode, sum(gap * n) / sum(n) AS ece FROM cb GROUP BY mode),
+ca AS (SELECT mode, count(*) AS calibration_n, avg(power(conf - y, 2)) AS brier_score, sum(y)::DOUBLE AS n1, count(*)::DOUBLE - sum(y)::DOUBLE AS n0, sum(rk) FILTER (WHERE y = 1)::DOUBLE AS r1,
+  avg(conf) FILTER (WHERE y = 1) - avg(conf) FILTER (WHERE y = 0) AS apart, var_samp(conf) FILTER (WHERE y = 1) AS v1, var_samp(conf) FILTER (WHERE y = 0) AS v0 FROM cp GROUP BY mode),
+cal AS (SELECT mode, calibration_n, brier_score, CASE WHEN n1 > 0 AND n0 > 0 THEN (r1 - n1 * (n1 + 1) / 2) / (n1 * n0) END AS roc_auc, ece,
+  CASE WHEN n1 > 1 AND n0 > 1 THEN apart / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0) END AS cohens_d FROM ca JOIN ce USING (mode)),
 ms AS (SELECT * EXCLUDE (g), n AS abstention_total, abstention_count / n AS abstention_rate, g / nullif(mapped_count, 0) AS grounding_rate, invalid_code_count / nullif(valid_code_count + invalid_code_count, 0) AS hallucination_rate,
-  (valid_code_count + invalid_code_count) / nullif(mapped_count, 0) AS validation_coverage, unresolved_validation_count / nullif(mapped_count, 0) AS unresolved_validation_rate, execution_error_count / n AS execution_error_rate FROM a)"""
+  (valid_code_count + invalid_code_count) / nullif(mapped_count, 0) AS validation_coverage, unresolved_validation_count / nullif(mapped_count, 0) AS unresolved_validation_rate, execution_error_count / n AS execution_error_rate FROM a JOIN cal USING (mode))"""
 
 
 def mode_summaries(spark, d):
     p = score.scored(predictions(spark, d))
     i = F.col("id")
     outcome = F.when(F.col("status") != "mapped", "NOT_APPLICABLE").when(i % 5 == 0, "INVALID").when(i % 5 == 1, "UNRESOLVED").otherwise("VALID")
-    rows = p.select("mode", "status", "top1", "top3", "top5", "rr", "recall", F.col("ranks")[0].alias("mapped_code"), (i % 3 == 0).alias("was_retrieved"), outcome.alias("validation_status"), (i % 97 / 10).alias("end_to_end_seconds"), F.when(i % 7 != 0, i % 50 / 20).alias("llm_seconds"), F.when(i % 5 != 0, i % 11 / 1000).alias("api_cost_usd"))
+    confidence = F.when(i % 11 != 0, (i * 7 % 100 + F.when(F.col("top1"), 40).otherwise(0)) / 140.0)
+    rows = p.select("mode", "status", confidence.alias("confidence"), F.col("top1").alias("semantic_correctness"), "top1", "top3", "top5", "rr", "recall", F.col("ranks")[0].alias("mapped_code"), (i % 3 == 0).alias("was_retrieved"), outcome.alias("validation_status"), (i % 97 / 10).alias("end_to_end_seconds"), F.when(i % 7 != 0, i % 50 / 20).alias("llm_seconds"), F.when(i % 5 != 0, i % 11 / 1000).alias("api_cost_usd"))
     return summaries.mode_summary(rows, ["mode"])
 
 
-_ROUNDED = "top1_accuracy, top3_accuracy, top5_accuracy, mrr, recall_at_gt, abstention_rate, hallucination_rate, validation_coverage, grounding_rate, execution_error_rate, mean_end_to_end_seconds, mean_llm_seconds, mean_api_cost_per_row_usd, total_api_cost_usd, median_end_to_end_seconds, median_llm_seconds, unresolved_validation_rate".split(", ")
+_ROUNDED = "top1_accuracy, top3_accuracy, top5_accuracy, mrr, recall_at_gt, abstention_rate, hallucination_rate, validation_coverage, grounding_rate, execution_error_rate, mean_end_to_end_seconds, mean_llm_seconds, mean_api_cost_per_row_usd, total_api_cost_usd, median_end_to_end_seconds, median_llm_seconds, unresolved_validation_rate, roc_auc, brier_score, ece, cohens_d".split(", ")
 
 
 @query(f"WITH {_MODE} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)}) FROM ms")
@@ -179,7 +186,7 @@ def mode_summary(spark, d):
     return rounded(mode_summaries(spark, d))
 
 
-@query(f"""WITH {_MODE}, u AS (UNPIVOT (SELECT mode, {', '.join(f'''CAST(coalesce({c}, -1) AS DOUBLE) AS "{summaries.COMPARED[c].replace("'", "")}"''' for c in _ROUNDED if c in summaries.COMPARED)} FROM ms) ON COLUMNS(* EXCLUDE (mode)) INTO NAME metric VALUE v)
+@query(f"""WITH {_MODE}, u AS (UNPIVOT (SELECT mode, {', '.join(f'''CAST({c} AS DOUBLE) AS "{summaries.COMPARED[c]}"''' for c in _ROUNDED if c in summaries.COMPARED)} FROM ms) ON COLUMNS(* EXCLUDE (mode)) INTO NAME metric VALUE v)
 SELECT metric, {', '.join(f'''round(max(v) FILTER (WHERE mode = '{m}'), 6) AS "{m}"''' for m in MODES)} FROM u GROUP BY metric""")
 def comparison_table(spark, d):
     return rounded(summaries.comparison(mode_summaries(spark, d), MODES))
