@@ -76,17 +76,6 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
-def abbreviations(rows: DataFrame, text: str) -> DataFrame:
-    """short, long and how often: what texts define as `long form (LF)`, the initials of the words before it. A separate
-    pass whose few rows a later one joins, instead of state that grows while rows are read."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"((?:[A-Za-z]+ ){2,6}\([A-Z]{2,6}\))"), F.lit(1))
-    rows = rows.select(F.explode(found).alias("m"))
-    rows = rows.select(F.regexp_extract("m", r"\(([A-Z]+)\)", 1).alias("short"), F.split(F.trim(F.regexp_replace("m", r"\([A-Z]+\)$", "")), " +").alias("w"))
-    words = F.slice(F.col("w"), F.greatest(F.size("w") - F.length("short") + 1, F.lit(1)), F.length("short"))
-    rows = rows.select("short", words.alias("w")).where(F.upper(F.array_join(F.transform("w", lambda x: F.left(x, F.lit(1))), "")) == F.col("short"))
-    return rows.groupBy("short", F.lower(F.array_join("w", " ")).alias("long")).agg(F.count("*").alias("n"))
-
-
 def fingerprint(config: dict) -> str:
     """A digest of a run's settings, for resuming with the same ones only."""
     import hashlib

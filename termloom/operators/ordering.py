@@ -30,9 +30,9 @@ def accumulated(df: DataFrame, by: str, then: list[str], value: Column, name: st
     return _running(df, by, then, value, name, ranges, group, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
-def greatest_before(df: DataFrame, by: str, value: Column, name: str, ranges: int | None = None) -> DataFrame:
-    """df with the greatest value of all rows before a row, null for the first."""
-    return _running(df, by, [], value, name, ranges, None, F.max, lambda a, b: F.greatest(a, b))
+def greatest_before(df: DataFrame, by: str, value: Column, name: str, ranges: int | None = None, group: list[str] | None = None) -> DataFrame:
+    """df with the greatest value of all rows (of a group) before a row, null for the first."""
+    return _running(df, by, [], value, name, ranges, group, F.max, lambda a, b: F.greatest(a, b))
 
 
 def _running(df, by, then, value, name, ranges, group, total, both) -> DataFrame:

@@ -16,6 +16,7 @@ from .functions import identity as I
 from .functions import numbers as N
 from .functions import statistics
 from .functions import text as T
+from .operators import abbreviations as abbreviations_of
 from .operators import audit, breaker, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score, summaries, validate
 from .operators.vector_index import VectorIndex, new_path
 from .plans import mapping
@@ -692,7 +693,42 @@ def abbreviations(spark, d):
     w = F.regexp_extract_all("p_name", F.lit("([A-Za-z]+)"), F.lit(1))
     p = table(spark, d, "part").select(w.alias("w")).where(F.size("w") == 2)
     text = F.concat(F.array_join("w", " "), F.lit(" ("), F.upper(F.concat(F.left(F.col("w")[0], F.lit(1)), F.left(F.col("w")[1], F.lit(1)))), F.lit(")"))
-    return evaluate.abbreviations(p.select(text.alias("t")), "t")
+    return abbreviations_of.learned(p.select(text.alias("t")), "t")
+
+
+# every third text ends with a definition whose letters lie inside its last words; the other texts use some of these words
+_ABBR = r"""t AS (SELECT doc_id AS k, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents),
+d AS (SELECT k, w, CASE WHEN k % 3 = 0 AND len(w) > 1 THEN text || ' ' || w[-2] || ' ' || w[-1] || ' (' || upper(left(w[-2], 1) || right(w[-1], 1)) || ')' ELSE text END AS text FROM t),
+o AS (SELECT k, i AS place, regexp_extract(p[i + 1], '^([^()]{2,10})\)', 1) AS short, list_filter(regexp_split_to_array(regexp_extract(p[i], '[^)]*$'), '[ \t\r\n]+'), lambda x: x <> '') AS ws
+  FROM (SELECT k, p, unnest(range(1, len(p))) AS i FROM (SELECT k, string_split(text, '(') AS p FROM d WHERE contains(text, '(')))),
+c AS (SELECT k, place, short, array_to_string(ws[greatest(len(ws) - least(length(short) + 5, length(short) * 2) + 1, 1):], ' ') AS before FROM o
+  WHERE regexp_matches(short, '^[\p{L}\p{N}]') AND regexp_matches(short, '\p{L}') AND len(regexp_split_to_array(short, '[ \t\r\n]+')) <= 2 AND len(ws) > 0),
+q AS (SELECT *, translate(short, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s,
+  reverse(regexp_replace(translate(before, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]', ' ', 'g')) || ' ' AS b FROM c),
+r AS (SELECT *, length(regexp_extract(b, '^(.*?' || array_to_string(list_reverse(regexp_extract_all(s, '[\p{L}\p{N}]')), '.*?') || ') ', 1)) AS e FROM q),
+f AS (SELECT k, place, s AS short, right(before, e) AS long FROM r WHERE e > length(short)),
+g AS (SELECT short, k, max_by(long, place) AS long FROM f GROUP BY short, k),
+u AS (SELECT DISTINCT k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}]+')) AS short FROM d)"""
+
+
+def defining(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    w = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    docs = docs.withColumn("w", w)
+    one, two = F.element_at("w", -2), F.element_at("w", -1)
+    tail = F.concat(F.lit(" "), one, F.lit(" "), two, F.lit(" ("), F.upper(F.concat(F.left(one, F.lit(1)), F.right(two, F.lit(1)))), F.lit(")"))
+    return docs.select("k", F.when((F.col("k") % 3 == 0) & (F.size("w") > 1), F.concat("text", tail)).otherwise(F.col("text")).alias("text"))
+
+
+@query(f"WITH {_ABBR} SELECT short, long, count(*) AS n FROM f GROUP BY short, long")
+def abbreviation_definitions(spark, d):
+    found = abbreviations_of.definitions(defining(spark, d), "text", ["k"])
+    return found.groupBy(abbreviations_of.lowered(F.col("short")).alias("short"), "long").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ABBR} SELECT u.k, u.short, g.long FROM u ASOF JOIN g ON u.short = g.short AND u.k > g.k")
+def abbreviations_in_order(spark, d):
+    return abbreviations_of.expanded(defining(spark, d), "text", "k")
 
 
 @query("SELECT route, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors, CAST(sum(retries) AS BIGINT) AS retries, count(*) FILTER (WHERE retries <> 0) AS rows_with_retries FROM (SELECT event_type AS route, event_id % 13 = 0 AS failed, event_id % 4 AS retries FROM events) GROUP BY route")
