@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import errors
 from .functions import gold as G
 from .functions import numbers as N
-from .operators import audit, baselines, compare, contracts, decide, evaluate, hierarchy, patch, planning, retrieve, runs, score, summaries, validate
+from .operators import audit, baselines, compare, contracts, decide, evaluate, hierarchy, patch, planning, reconcile, retrieve, runs, score, summaries, validate
 from .operators.vector_index import new_path
 from .plans import disabled
 from .queries import _PRED, _REL, MODES, predictions, query, relations, rounded, table
@@ -169,13 +169,16 @@ ms AS (SELECT * EXCLUDE (g), n AS abstention_total, abstention_count / n AS abst
   (valid_code_count + invalid_code_count) / nullif(mapped_count, 0) AS validation_coverage, unresolved_validation_count / nullif(mapped_count, 0) AS unresolved_validation_rate, execution_error_count / n AS execution_error_rate FROM a JOIN cal USING (mode))"""
 
 
-def mode_summaries(spark, d):
+def mode_rows(spark, d):
     p = score.scored(predictions(spark, d))
     i = F.col("id")
     outcome = F.when(F.col("status") != "mapped", "NOT_APPLICABLE").when(i % 5 == 0, "INVALID").when(i % 5 == 1, "UNRESOLVED").otherwise("VALID")
     confidence = F.when(i % 11 != 0, (i * 7 % 100 + F.when(F.col("top1"), 40).otherwise(0)) / 140.0)
-    rows = p.select("mode", "status", confidence.alias("confidence"), F.col("top1").alias("semantic_correctness"), "top1", "top3", "top5", "rr", "recall", F.col("ranks")[0].alias("mapped_code"), (i % 3 == 0).alias("was_retrieved"), outcome.alias("validation_status"), (i % 97 / 10).alias("end_to_end_seconds"), F.when(i % 7 != 0, i % 50 / 20).alias("llm_seconds"), F.when(i % 5 != 0, i % 11 / 1000).alias("api_cost_usd"))
-    return summaries.mode_summary(rows, ["mode"])
+    return p.select("mode", "status", confidence.alias("confidence"), F.col("top1").alias("semantic_correctness"), "top1", "top3", "top5", "rr", "recall", F.col("ranks")[0].alias("mapped_code"), (i % 3 == 0).alias("was_retrieved"), outcome.alias("validation_status"), (i % 97 / 10).alias("end_to_end_seconds"), F.when(i % 7 != 0, i % 50 / 20).alias("llm_seconds"), F.when(i % 5 != 0, i % 11 / 1000).alias("api_cost_usd"))
+
+
+def mode_summaries(spark, d):
+    return summaries.mode_summary(mode_rows(spark, d), ["mode"])
 
 
 _ROUNDED = "top1_accuracy, top3_accuracy, top5_accuracy, mrr, recall_at_gt, abstention_rate, hallucination_rate, validation_coverage, grounding_rate, execution_error_rate, mean_end_to_end_seconds, mean_llm_seconds, mean_api_cost_per_row_usd, total_api_cost_usd, median_end_to_end_seconds, median_llm_seconds, unresolved_validation_rate, roc_auc, brier_score, ece, cohens_d".split(", ")
@@ -192,6 +195,57 @@ def comparison_table(spark, d):
     return rounded(summaries.comparison(mode_summaries(spark, d), MODES))
 
 
+# what a run states: its summary with a difference within the tolerance, others beyond it, and a value left out
+_OFF = {"mrr": ("1-URGENT", "mrr + 0.00001"), "roc_auc": ("2-HIGH", "roc_auc - 0.01"), "n": ("3-MEDIUM", "n + 1"), "ece": ("5-LOW", "NULL"), "brier_score": ("5-LOW", "brier_score * 1.0000001")}
+_STATED = [*reconcile.COUNTS, *summaries.COMPARED]
+
+
+@query(f"""WITH {_MODE}, st AS (SELECT mode, {', '.join(f"CASE WHEN mode = '{_OFF[c][0]}' THEN {_OFF[c][1]} ELSE {c} END AS {c}" if c in _OFF else c for c in _STATED)} FROM ms),
+x AS (SELECT ms.mode, unnest([{', '.join(f"{{metric: '{c}', found: ms.{c}::DOUBLE, stated: st.{c}::DOUBLE}}" for c in _STATED)}], recursive := true) FROM ms JOIN st USING (mode))
+SELECT mode, metric, round(found, 6) AS found, round(stated, 6) AS stated, true AS kept FROM x
+WHERE (found IS NULL) <> (stated IS NULL) OR abs(found - stated) > greatest(1e-9, 1e-6 * greatest(abs(found), abs(stated)))""")
+def reconcile_runs(spark, d):
+    """A run whose summary states other values is refused, and the version before (kept) stays; the differences by name."""
+    rows = mode_rows(spark, d)
+    own = {r["mode"]: {c: r[c] for c in _STATED} for r in summaries.mode_summary(rows, ["mode"]).collect()}  # as many rows as modes
+    run = VersionedTable(spark, new_path(spark))
+    first = reconcile.commit(run, rows, own)
+    stated = {m: dict(values) for m, values in own.items()}
+    for metric, (m, _) in _OFF.items():
+        v = stated[m][metric]
+        stated[m][metric] = {"mrr": lambda x: x + 0.00001, "roc_auc": lambda x: x - 0.01, "n": lambda x: x + 1, "ece": lambda x: None, "brier_score": lambda x: x * 1.0000001}[metric](v)
+    try:
+        reconcile.commit(run, rows, stated)
+        refused = []
+    except reconcile.Refused as e:
+        refused = e.problems
+    kept = run.version() == first and run.read().count() == rows.count()
+    held = [(m, c, *[None if x is None else float(x) for x in pair], kept) for m in own for c, pair in reconcile.differences(own[m], stated[m]).items()]
+    named = [h for h in held if any(p.startswith(f"{h[0]}: {h[1]} is ") for p in refused)]
+    return rounded(spark.createDataFrame(named, "mode string, metric string, found double, stated double, kept boolean"))
+
+
+_MODEL = f"""{_RAW}, e AS (SELECT model, run, count(*)::DOUBLE AS n, count(*) FILTER (WHERE status = 'error')::DOUBLE AS bad, sum(CASE WHEN status = 'error' THEN 0 ELSE tp END)::DOUBLE AS tp, sum(CASE WHEN status = 'error' THEN 0 ELSE fp END)::DOUBLE AS fp,
+  sum(CASE WHEN status = 'error' THEN 1 ELSE fn END)::DOUBLE AS fn, sum(cost) FILTER (WHERE status <> 'error')::DOUBLE AS cost, count(*) FILTER (WHERE status <> 'error') AS ok FROM x WHERE model <> '1-URGENT' OR status <> 'error' GROUP BY model, run),
+f AS (SELECT *, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM e),
+m AS (SELECT model, sum(cost) / sum(n) AS implied, sum(cost) / sum(ok) AS mean FROM f GROUP BY model)"""
+
+
+@query(f"""WITH {_MODEL} SELECT model, run, 'error_count' AS problem, bad AS found, bad + 1 AS stated FROM f WHERE model = '2-HIGH' AND run = 1
+UNION ALL SELECT model, run, 'not reported', NULL, NULL FROM f WHERE model = '5-LOW' AND run = 2
+UNION ALL SELECT model, run, 'weighted_f1', round(f1, 6), round(f1 + 0.001, 6) FROM f WHERE run = 2 AND bad = 0 AND model <> '5-LOW'
+UNION ALL SELECT model, NULL, 'mean_api_cost_per_term_usd', round(implied, 6), round(mean, 6) FROM m WHERE abs(implied - mean) > 1e-8 + 1e-6 * abs(mean)""")
+def model_run_problems(spark, d):
+    """One model without failed rows; of the reported runs one has a wrong number of errors, one is absent, and second runs have wrong scores."""
+    rows = raw(spark, d).where("model <> '1-URGENT' OR mapped_status <> 'error'")
+    reported = summaries.end_to_end(rows, ["model", "run_number"]).where("model <> '5-LOW' OR run_number <> 2")
+    wrong = (F.col("model") == "2-HIGH") & (F.col("run_number") == 1)
+    reported = reported.withColumn("error_count", F.col("execution_error_count") + wrong.cast("int")).withColumn("weighted_f1", F.col("weighted_f1") + F.when(F.col("run_number") == 2, 0.001).otherwise(0.0))
+    ok = F.col("mapped_status") != "error"
+    models = rows.groupBy("model").agg(F.sum(F.when(ok, F.col("api_cost_usd"))).alias("combined_api_cost_usd"), (F.sum(F.when(ok, F.col("api_cost_usd"))) / F.count_if(ok)).alias("mean_api_cost_per_term_usd"))
+    return rounded(reconcile.model_problems(rows, reported, models))
+
+
 _CATS = ["F", "O", "P"]
 
 

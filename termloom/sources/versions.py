@@ -58,10 +58,17 @@ class VersionedTable:
 
     # --- writing ---
 
-    def overwrite(self, rows: DataFrame, *, since: int | None = None, stream: tuple[str, int] | None = None) -> int:
-        """rows as the next version. since: the version that the writer has read (by default the last one)."""
+    def overwrite(self, rows: DataFrame, *, since: int | None = None, stream: tuple[str, int] | None = None, check: Callable[[DataFrame], None] | None = None) -> int:
+        """rows as the next version. since: the version that the writer has read (by default the last one). check gets the staged rows; if it raises, nothing is committed."""
         base = self.manifest(since)
-        return self._commit(base, [self._staged(rows)], rows.schema, stream)
+        folder = self._staged(rows)
+        if check:
+            try:
+                check(self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}"))
+            except BaseException:
+                self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+                raise
+        return self._commit(base, [folder], rows.schema, stream)
 
     def append(self, rows: DataFrame, *, since: int | None = None, stream: tuple[str, int] | None = None) -> int:
         """rows after those of the version before."""
