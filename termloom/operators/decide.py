@@ -92,14 +92,19 @@ def provenance(candidates: DataFrame) -> DataFrame:
     return candidates.select("request_id", "rank", *[c for c in kept if c in candidates.columns])
 
 
+def ranked(candidates: Column, d: Column) -> Column:
+    """The selected candidate and the decision's alternatives that some candidate has, each as c with the decision's confidence."""
+    none = F.array().cast("array<struct<code: string, confidence: double, explanation: string>>")
+    own = F.when(d.selected_code.isNotNull(), F.array(F.struct(d.selected_code.alias("code"), d.confidence.alias("confidence"), F.lit(None).cast("string").alias("explanation"))))
+    named = F.concat(F.coalesce(own, none), F.coalesce(d.alternatives, none))
+    with_candidate = F.transform(named, lambda a: F.struct(F.get(F.filter(candidates, lambda c: c.code == a.code), F.lit(0)).alias("c"), a.confidence.alias("confidence")))
+    return F.filter(with_candidate, lambda x: x.c.isNotNull())
+
+
 def ranking_trace(rows: DataFrame) -> DataFrame:
     """rows: request_id, candidates and decision. The selected candidate and its alternatives with ranks from 1 without gaps, the confidence
     of the decision and the scores of the retrieval; alternatives that no candidate has are left out."""
     d = F.col("decision")
-    none = F.array().cast("array<struct<code: string, confidence: double, explanation: string>>")
-    own = F.when(d.selected_code.isNotNull(), F.array(F.struct(d.selected_code.alias("code"), d.confidence.alias("confidence"), F.lit(None).cast("string").alias("explanation"))))
-    named = F.concat(F.coalesce(own, none), F.coalesce(d.alternatives, none))
-    with_candidate = F.transform(named, lambda a: F.struct(F.get(F.filter("candidates", lambda c: c.code == a.code), F.lit(0)).alias("c"), a.confidence.alias("confidence")))
-    kept = F.filter(with_candidate, lambda x: x.c.isNotNull())
+    kept = ranked(F.col("candidates"), d)
     out = rows.select("request_id", d.selected_code.alias("selected"), F.posexplode(kept).alias("at", "x"))
     return out.select("request_id", (F.col("at") + 1).alias("rank"), "x.c.code", "x.c.ontology", (F.col("x.c.code") == F.col("selected")).alias("selected"), F.col("x.confidence").alias("final_confidence"), F.col("x.c.raw_score").alias("raw_score"), F.col("x.c.normalized_score").alias("normalized_score"))

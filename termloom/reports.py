@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import errors
 from .functions import gold as G
 from .functions import numbers as N
-from .operators import audit, baselines, compare, contracts, decide, evaluate, hierarchy, patch, planning, reconcile, retrieve, runs, score, summaries, validate
+from .operators import audit, baselines, compare, contracts, decide, evaluate, hierarchy, patch, payload, planning, reconcile, retrieve, runs, score, summaries, validate
 from .operators.vector_index import new_path
 from .plans import disabled
 from .queries import _PRED, _REL, MODES, predictions, query, relations, rounded, table
@@ -429,17 +429,54 @@ def error_stages(spark, d):
     return e.select("id", errors.error_stage(F.col("chain")).alias("stage"), errors.chain_text(F.col("chain")).alias("text"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, 'P:' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS code, l_discount AS s FROM lineitem)
-SELECT id AS request_id, k AS rank, code, k = 1 AS selected, round(s, 6) AS normalized_score FROM l WHERE k <= 3""")
-def ranking_trace(spark, d):
+def decided(spark, d):
     li = table(spark, d, "lineitem")
     code = F.concat_ws(":", F.lit("P"), "l_linenumber", "l_partkey", "l_suppkey")
     per = li.groupBy(F.col("l_orderkey").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", code.alias("code"), F.col("l_discount").alias("normalized_score")))).alias("x"))
     held = F.transform("x", lambda x: F.struct(x.code.alias("code"), F.lit("P").alias("ontology"), F.lit(1.0).alias("raw_score"), x.normalized_score.alias("normalized_score")))
     alternative = lambda c, score: F.struct(c.alias("code"), F.lit(score).alias("confidence"), F.lit(None).cast("string").alias("explanation"))
     others = F.concat(F.transform(F.slice("x", 2, 2), lambda x: alternative(x.code, 0.4)), F.array(alternative(F.lit("none"), 0.1)))
-    rows = per.select("request_id", held.alias("candidates"), F.struct(F.col("x")[0].code.alias("selected_code"), F.lit(0.9).alias("confidence"), others.alias("alternatives")).alias("decision"))
-    return rounded(decide.ranking_trace(rows).select("request_id", "rank", "code", "selected", "normalized_score"))
+    return per.select("request_id", held.alias("candidates"), F.struct(F.col("x")[0].code.alias("selected_code"), F.lit(0.9).alias("confidence"), others.alias("alternatives")).alias("decision"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, 'P:' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS code, l_discount AS s FROM lineitem)
+SELECT id AS request_id, k AS rank, code, k = 1 AS selected, round(s, 6) AS normalized_score FROM l WHERE k <= 3""")
+def ranking_trace(spark, d):
+    return rounded(decide.ranking_trace(decided(spark, d)).select("request_id", "rank", "code", "selected", "normalized_score"))
+
+
+_PAYLOAD = """l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, 'P:' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS code FROM lineitem)"""
+
+
+@query(f"WITH {_PAYLOAD} SELECT id AS request_id, k AS rank, code, 'P' AS ontology, CASE k WHEN 1 THEN 0.9 ELSE 0.4 END::DOUBLE AS final_confidence FROM l WHERE k <= 3")
+def payload_trace(spark, d):
+    """Traces packed into payloads and read back from them."""
+    return rounded(payload.trace(payload.packed(decided(spark, d)), ["request_id"]))
+
+
+@query(f"""WITH {_PAYLOAD}, c AS (SELECT id, count(*) AS n FROM l GROUP BY id)
+SELECT id AS request_id, id % 7 <> 2 AS readable, CASE WHEN id % 7 <> 2 THEN id % 7 IN (0, 1, 3) END AS is_grounded, CASE WHEN id % 7 <> 2 THEN CASE WHEN id % 7 IN (0, 1, 3) THEN 'public_api' ELSE 'none' END END AS grounding_source,
+  CASE WHEN id % 7 <> 2 THEN id % 7 IN (1, 5) END AS retrieval_skipped, CASE WHEN id % 7 <> 2 THEN CASE WHEN id % 7 IN (0, 1, 3) THEN n ELSE 0 END END AS candidate_count, CASE WHEN id % 7 <> 2 THEN id % 7 IN (0, 3) END AS selected_code_was_retrieved,
+  CASE WHEN id % 7 IN (0, 1) THEN n END AS retries, CASE WHEN id % 7 IN (0, 1, 3) AND id % 3 = 0 THEN n END AS tokens FROM c""")
+def payload_evidence(spark, d):
+    """Payloads of several shapes as text (whole ones; cut ones; without a record; disabled, with the flag beside the others; of other types) and what is read from them."""
+    i = F.col("request_id") % 7
+    rows = decided(spark, d)
+    n = F.size("candidates")
+    rows = rows.withColumns({
+        "is_grounded": F.lit(True), "grounding_source": F.lit("public_api"), "retrieval_trace": F.struct((i == 1).alias("retrieval_skipped")), "pipeline_timings": F.create_map(F.lit("total"), n * 1.5),
+        "pipeline_usage": F.when(F.col("request_id") % 3 == 0, F.create_map(F.lit("tokens"), n)).otherwise(F.create_map().cast("map<string,int>")),
+        "retrieval_diagnostics": F.struct(F.when(i == 3, 0).otherwise(n).alias("retrieval_request_count"), n.alias("retrieval_retry_count")),
+    })
+    rows = payload.packed(rows).withColumn("whole", F.to_json("payload"))
+    text = (
+        F.when(i == 2, F.left("whole", F.length("whole") - 1)).when(i == 4, F.lit('{"rag_debug": null}')).when(i == 5, F.lit('{"rag_debug": {"candidates_retrieved": [{"is_grounded": false, "retrieval_skipped": true}]}}'))
+        .when(i == 6, F.lit('{"rag_debug": {"candidates_retrieved": [{"is_grounded": "who knows", "grounding_source": "", "candidate_score_provenance": [5, "x", {"code": ""}, {"code": null}]}]}}')).otherwise(F.col("whole"))
+    )
+    rows = rows.select("request_id", payload.parsed(text).alias("payload"), F.when(F.col("request_id") % 7 != 1, F.col("decision.selected_code")).alias("code"))
+    e = payload.evidence(F.col("payload"), F.col("code"))
+    out = rows.select("request_id", F.col("payload").isNotNull().alias("readable"), e.alias("e"), payload.at(F.col("payload"), "$.rag_debug.retrieval_diagnostics.retrieval_retry_count", "bigint").alias("retries"), payload.at(F.col("payload"), "$.rag_debug.pipeline_usage.tokens", "bigint").alias("tokens"))
+    return rounded(out.select("request_id", "readable", "e.is_grounded", "e.grounding_source", "e.retrieval_skipped", "e.candidate_count", "e.selected_code_was_retrieved", "retries", "tokens"))
 
 
 @query("SELECT l_orderkey AS query, min(l_linenumber)::BIGINT AS line FROM lineitem GROUP BY l_orderkey")
