@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import greatest_before
+from .store import freed, written
 
 # The fewest and most characters of a short form, the most words in it, and how many words of the text before may belong to it:
 # the lesser of its characters plus five and twice its characters.
 SHORTEST, LONGEST, WORDS, MORE, TIMES = 2, 10, 2, 5, 2
+#: Up to so many different short forms (of at most LONGEST characters) are broadcast to the rows; more are joined by a shuffle.
+FEW = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = "[ \\t\\r\\n]+"
 
@@ -42,7 +45,7 @@ def definitions(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     pieces = F.split(F.col(text), r"\(")
     # an opening parenthesis with the piece before it, from its last closing one on
     opened = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("inside"), F.substring_index(F.get(pieces, i), ")", -1).alias("before")))
-    out = rows.where(F.contains(text, F.lit("("))).select(*keep, F.posexplode(opened).alias("at", "x"))
+    out = rows.select(*keep, F.posexplode(opened).alias("at", "x"))
     short = F.regexp_extract("x.inside", rf"^([^()]{{{SHORTEST},{LONGEST}}})\)", 1)
     words = F.filter(F.split("x.before", _SPACE), lambda w: w != "")
     out = out.select(*keep, "at", short.alias("short"), words.alias("_words"))
@@ -64,16 +67,20 @@ def expanded(rows: DataFrame, text: str, order: str) -> DataFrame:
     its latest definition, in the order of rows and, within one, of its text. A row doesn't see its own definitions or later ones.
 
     An as-of join without a sort of each short form's rows in one task: running greatest values in two levels, so a short form that a
-    third of all rows use is spread over ranges. Only words that some row defines are shuffled."""
-    found = definitions(rows, text, [order]).withColumn("short", lowered(F.col("short")))
+    third of all rows use is spread over ranges. Of the words, those that no row defines stay where they are while short forms are FEW."""
+    found = written(definitions(rows, text, [order]).withColumn("short", lowered(F.col("short"))))
     last = found.groupBy("short", order).agg(F.max_by("long", "at").alias("long"))
     words = F.array_distinct(F.regexp_extract_all(lowered(F.col(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     words = F.filter(words, lambda w: F.length(w).between(SHORTEST, LONGEST))
     uses = rows.select(order, F.explode(words).alias("short"))
-    uses = uses.join(found.select("short").distinct(), "short", "left_semi")
+    shorts = found.select("short").distinct()
+    if shorts.count() <= FEW:
+        shorts = F.broadcast(shorts)
+    uses = uses.join(shorts, "short", "left_semi")
     events = last.select("short", order, "long", F.lit(False).alias("use")).unionByName(uses.select("short", order, F.lit(None).cast("string").alias("long"), F.lit(True).alias("use")))
     # one row a short form and place, so that a row's own definition isn't before its use
     events = events.groupBy("short", order).agg(F.max("long").alias("long"), F.bool_or("use").alias("use"))
     value = F.when(F.col("long").isNotNull(), F.struct(F.col(order).alias("at"), F.col("long").alias("long")))
     seen = greatest_before(events, order, value, "_seen", group=["short"])
+    freed(found)  # the events are written by now
     return seen.where(F.col("use") & F.col("_seen").isNotNull()).select(order, "short", F.col("_seen.long").alias("long"))

@@ -16,6 +16,7 @@ from .functions import identity as I
 from .functions import numbers as N
 from .functions import statistics
 from .functions import text as T
+from .functions.identity import let
 from .operators import abbreviations as abbreviations_of
 from .operators import audit, breaker, calibrate, candidates, compare, evaluate, hierarchy, retrieve, routing, runs, score, summaries, validate
 from .operators.vector_index import VectorIndex, new_path
@@ -713,11 +714,12 @@ u AS (SELECT DISTINCT k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKL
 
 def defining(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    w = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
-    docs = docs.withColumn("w", w)
-    one, two = F.element_at("w", -2), F.element_at("w", -1)
-    tail = F.concat(F.lit(" "), one, F.lit(" "), two, F.lit(" ("), F.upper(F.concat(F.left(one, F.lit(1)), F.right(two, F.lit(1)))), F.lit(")"))
-    return docs.select("k", F.when((F.col("k") % 3 == 0) & (F.size("w") > 1), F.concat("text", tail)).otherwise(F.col("text")).alias("text"))
+    short = lambda x: F.upper(F.concat(F.left(x.one, F.lit(1)), F.right(x.two, F.lit(1))))
+    tail = lambda x: F.concat(F.lit(" "), x.one, F.lit(" "), x.two, F.lit(" ("), short(x), F.lit(")"))
+    last = lambda w: F.struct(F.try_element_at(w, F.lit(-2)).alias("one"), F.try_element_at(w, F.lit(-1)).alias("two"))
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    ended = let(words, lambda w: let(last(w), lambda x: F.concat(F.col("text"), F.coalesce(tail(x), F.lit("")))))
+    return docs.select("k", F.when(F.col("k") % 3 == 0, ended).otherwise(F.col("text")).alias("text"))
 
 
 @query(f"WITH {_ABBR} SELECT short, long, count(*) AS n FROM f GROUP BY short, long")
