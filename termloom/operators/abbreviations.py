@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import let
 from .ordering import greatest_before
 from .store import freed, written
 
@@ -42,9 +43,10 @@ def long_form(short: Column, before: Column) -> Column:
 
 def definitions(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """keep, at (the place among the text's parentheses), short and long, as written."""
-    pieces = F.split(F.col(text), r"\(")
-    # an opening parenthesis with the piece before it, from its last closing one on
-    opened = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("inside"), F.substring_index(F.get(pieces, i), ")", -1).alias("before")))
+    # an opening parenthesis with the piece before it, from its last closing one on; a text is split once, however many it has
+    before = lambda p, i: F.substring_index(F.get(p, i), ")", -1)
+    pairs = lambda p: F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("inside"), before(p, i).alias("before")))
+    opened = let(F.split(F.col(text), r"\("), pairs)
     out = rows.select(*keep, F.posexplode(opened).alias("at", "x"))
     short = F.regexp_extract("x.inside", rf"^([^()]{{{SHORTEST},{LONGEST}}})\)", 1)
     words = F.filter(F.split("x.before", _SPACE), lambda w: w != "")
