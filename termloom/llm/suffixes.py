@@ -115,11 +115,12 @@ class Surroundings:
         rows[:, :8] = self.gram[:, None].view(np.uint8)
         rows[:, 8], rows[:, 9] = low, many
         inside = (at >= low[:, None]) & (at < (low + many + self.length - 1)[:, None])
-        from_ = np.clip((self.place - self.wide + 1)[:, None] + at, 0, max(len(bytes_) - 1, 0))
-        if len(bytes_):
-            rows[:, 10:] = np.where(inside, bytes_[from_], 0)
+        around = np.concatenate([np.zeros(self.wide - 1, np.uint8), bytes_, np.zeros(width, np.uint8)])
+        np.multiply(np.lib.stride_tricks.sliding_window_view(around, width)[self.place], inside, out=rows[:, 10:])
         whole = rows.view(f"V{rows.shape[1]}").ravel()
-        order = np.lexsort((self.ids[self.doc], *by_bytes(rows)))
+        # equal rows have equal hashes; unequal ones with one hash only stay apart, perhaps in several records
+        h = hashed(rows)
+        order = np.lexsort((self.ids[self.doc], h, self.gram))
         new = np.r_[True, whole[order][1:] != whole[order][:-1]][: len(order)]
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
@@ -130,12 +131,14 @@ def unpacked(data: bytes, size: int) -> bytes:
     return pa.decompress(data, size, asbytes=True, **ZSTD) if size else b""
 
 
-def by_bytes(rows: np.ndarray) -> list[np.ndarray]:
-    """The columns of byte rows as numbers, least significant first, for np.lexsort."""
+def hashed(rows: np.ndarray) -> np.ndarray:
+    """A hash of each byte row."""
     wide = np.zeros((len(rows), -(-rows.shape[1] // WORD) * WORD), np.uint8)
     wide[:, : rows.shape[1]] = rows
-    words = wide.view(">u8").astype(np.uint64)
-    return [words[:, k] for k in reversed(range(words.shape[1]))]
+    h = np.zeros(len(rows), np.uint64)
+    for c in wide.view("<u8").T:
+        h = mixed(h * M1 ^ c * M2)
+    return h
 
 
 def in_sorted(values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -155,11 +158,25 @@ def changes(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     return new
 
 
+def packed(keys: list[np.ndarray]) -> np.ndarray:
+    """A number a row, which sorts as rows of keys (whole numbers from 0, most significant first) do; where 64 bits don't hold them all, names stand for the first ones."""
+    bits = lambda k: int(k.max(initial=0)).bit_length()
+    out = keys[0].astype(np.uint64)
+    for k in keys[1:]:
+        if bits(out) + bits(k) > 64:
+            out = named([out]).astype(np.uint64)
+        if bits(out) + bits(k) > 64:
+            k = named([k])
+        out = (out << np.uint64(bits(k))) | k.astype(np.uint64)
+    return out
+
+
 def named(keys: list[np.ndarray]) -> np.ndarray:
     """Names of rows of keys (most significant first): their places among the distinct ones in order."""
-    order = np.lexsort(keys[::-1])
+    key = packed(keys)
+    order = np.argsort(key)
     out = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
-    out[order] = np.cumsum(changes(order, keys)) - 1
+    out[order] = np.cumsum(changes(order, [key])) - 1
     return out
 
 
@@ -175,32 +192,36 @@ def ordered(rows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     low, many = rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64)
     padded = np.zeros((len(rows), width + 4 * WORD), np.uint8)
     padded[:, :width] = rows[:, 2:]
+    words: dict[int, np.ndarray] = {}
     names: dict[int, np.ndarray] = {}
 
     def word(c: int) -> np.ndarray:
-        return np.ascontiguousarray(padded[:, c : c + WORD]).view(">u8").ravel().astype(np.uint64)
+        if c not in words:
+            words[c] = named([np.ascontiguousarray(padded[:, c : c + WORD]).view(">u8").ravel()])
+        return words[c]
 
     def name(c: int) -> np.ndarray:
         if c not in names:
             names[c] = named([word(c), word(c + WORD), word(c + 2 * WORD)])
         return names[c]
 
-    gram = named([word(wide - 1), word(wide - 1 + WORD)])
     out = np.zeros(len(rows), np.uint64)
     for column in range(wide):
         v = np.flatnonzero((low <= column) & (column < low + many))
         if not len(v):
             continue
         at = column if column % 3 else column + 1
-        for c in [c for c in names if c < at]:
-            del names[c]  # later columns need later names only
-        keys = [gram[v], *([padded[v, column]] if at > column else [])]
+        for held in (names, words):
+            for c in [c for c in held if c < at]:
+                del held[c]  # later columns need later names only
+        # the gram lies inside of every window, so it is no key of its own
+        keys = [padded[v, column]] if at > column else []
         while at + 3 * WORD <= column + length:
             keys.append(name(at)[v])
             at += 3 * WORD
-        keys += [padded[v, c] for c in range(at, column + length)]
-        order = np.lexsort(keys[::-1])
-        new = changes(order, keys)
+        key = packed([*keys, *[padded[v, c] for c in range(at, column + length)]])
+        order = np.argsort(key)
+        new = changes(order, [key])
         least = np.minimum.reduceat(docs[v][order], np.flatnonzero(new))[np.cumsum(new) - 1]
         out[v[order]] |= (least < docs[v][order]).astype(np.uint64) << np.uint64(column)
     return out
@@ -265,8 +286,9 @@ def shared_grams(batches: DataFrame, length: int, buckets: int, hot: int) -> Dat
             g, at = np.unique(np.concatenate(grams), return_inverse=True)
             many = np.bincount(at, np.concatenate([np.frombuffer(r["b"], "<u4") for r in group]))
             marks = (many > 1).astype(np.uint8) + (many > hot)
-            for r, own in zip(group, np.split(at, np.cumsum([len(x) for x in grams])[:-1]), strict=True):
-                yield batch_of([(r["batch"], r["bucket"], marks[own].tobytes())], answer)
+            parts = np.split(marks[at], np.cumsum([len(x) for x in grams])[:-1])
+            # one batch a bucket: rows grow with the product of batches and buckets
+            yield batch_of([(r["batch"], r["bucket"], own.tobytes()) for r, own in zip(group, parts, strict=True)], answer)
 
     answer = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("marks", pa.binary())])
     met = regrouped(batches.mapInArrow(tell, DEALT), buckets).mapInArrow(meet, "batch bigint, bucket int, marks binary")
@@ -314,10 +336,7 @@ def surroundings(row: dict, length: int, buckets: int) -> tuple[Surroundings, np
     gram = rows[:, :8].copy().view("<u8").ravel()
     if len(hot):  # windows of hot grams go by their own bytes
         own = in_sorted(hot, gram)
-        h = gram[own].copy()
-        for c in by_bytes(rows[own][:, 8:]):
-            h = mixed(h * M1 ^ c * M2)
-        gram[own] = h
+        gram[own] = hashed(rows[own])
     bucket = (gram % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     back = np.empty(len(order), np.int64)
@@ -350,8 +369,8 @@ def removed(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", te
         for group in grouped(rows):
             records = [np.frombuffer(unpacked(r["a"], len(r["b"]) // 8 * wide), np.uint8).reshape(-1, wide) for r in group]
             bits = ordered(np.concatenate(records), np.concatenate([np.frombuffer(r["b"], "<i8") for r in group]), length)
-            for r, own in zip(group, np.split(bits, np.cumsum([len(x) for x in records])[:-1]), strict=True):
-                yield batch_of([(r["batch"], r["bucket"], own.tobytes())], answer)
+            parts = np.split(bits, np.cumsum([len(x) for x in records])[:-1])
+            yield batch_of([(r["batch"], r["bucket"], own.tobytes()) for r, own in zip(group, parts, strict=True)], answer)
 
     sent = beside.mapInArrow(send, DEALT)
     found = regrouped(sent, buckets).mapInArrow(sort, "batch bigint, bucket int, bits binary")

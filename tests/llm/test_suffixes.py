@@ -78,3 +78,29 @@ def test_names_follow_the_order_of_triples():
 
     keys = [np.array([2, 1, 2, 1]), np.array([0, 5, 0, 4])]
     assert suffixes.named(keys).tolist() == [2, 1, 2, 0]
+
+
+def test_keys_beyond_64_bits_sort_as_their_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    keys = [rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(62), *[rng.integers(0, 4, 500).astype(np.uint64) << np.uint64(61) for _ in range(3)], rng.integers(0, 3, 500)]
+    rows = list(zip(*[k.tolist() for k in keys], strict=True))
+    place = {r: k for k, r in enumerate(sorted(set(rows)))}
+    assert suffixes.named(keys).tolist() == [place[r] for r in rows]
+
+
+def test_a_bucket_answers_all_batches_at_once(spark, monkeypatch):
+    """Answers grow with batches times buckets; an Arrow batch each made the work grow so, too."""
+    docs = [(i, "the same passage of more than fifty bytes in every document, and " + str(i) * 40) for i in range(64)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    made, path = suffixes.batch_of, spark.sparkContext.accumulator(0)
+
+    def counted(rows, schema):
+        if schema.names[-1] in ("marks", "bits"):
+            path.add(1)
+        return made(rows, schema)
+
+    monkeypatch.setattr(suffixes, "batch_of", counted)
+    assert suffixes.removed(df, batch_bytes=200, bucket_bytes=1 << 20).count() == 64
+    assert 0 < path.value <= 4 * 8  # 32 batches, 8 buckets, 2 answers, each perhaps evaluated twice
