@@ -12,15 +12,22 @@ NA, SAME, NARROWER, BROADER, SIBLING, UNRELATED = "Not Applicable", "Same", "Mor
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs subject, object with a path between them, of any length. Each round joins the pairs that the one before it found with
-    all that are known, so that the greatest length doubles, and ends, on cycles too, when none is new any more."""
-    known = new = written(edges.select("subject", "object").where("subject IS NOT NULL AND object IS NOT NULL").distinct())
-    while not new.isEmpty():
-        step = known.select(F.col("subject").alias("_via"), F.col("object").alias("_up"))
-        longer = new.join(step, new["object"] == step["_via"]).select("subject", F.col("_up").alias("object")).distinct()
-        new = written(longer.join(known, ["subject", "object"], "left_anti"))
-        known = known.unionByName(new)
-    return known
+    """All pairs subject, object with a path between them, of any length, cycles included.
+
+    A subject is one row with the objects nearer than some length and those just that far. A round doubles the length: whatever lies further away lies
+    behind one of the latter, so only these are looked up, and the work follows the pairs that there are, not the paths between them. It ends when nothing lies that far."""
+    edges = edges.select("subject", "object").where("subject IS NOT NULL AND object IS NOT NULL")
+    none = F.array().cast(f"array<{edges.schema['object'].dataType.simpleString()}>")
+    known = written(edges.groupBy("subject").agg(F.collect_set("object").alias("far")).select("subject", none.alias("near"), "far"))
+    while not (going := known.where(F.size("far") > 0)).isEmpty():
+        via = going.select(F.col("subject").alias("_start"), F.explode("far").alias("_via"))
+        beyond = via.join(known, F.col("_via") == F.col("subject")).select(F.col("_start").alias("subject"), "near", "far")
+        own = going.select("subject", F.concat("near", "far").alias("near"), none.alias("far"))
+        met = own.unionByName(beyond).groupBy("subject").agg(F.collect_list("near").alias("near"), F.collect_list("far").alias("far"))
+        met = met.select("subject", F.array_distinct(F.flatten("near")).alias("near"), F.flatten("far").alias("far"))
+        new = written(met.select("subject", "near", F.array_except("far", "near").alias("far")))
+        known = new.unionByName(known.where(F.size("far") == 0))
+    return known.select("subject", F.explode("near").alias("object"))
 
 
 def related(pairs: DataFrame, asserted: DataFrame, entailed: DataFrame) -> DataFrame:

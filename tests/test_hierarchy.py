@@ -21,3 +21,18 @@ def test_deep_paths_and_cycles(spark):
 
 def test_no_edges(spark):
     assert hierarchy.closure(spark.createDataFrame([], "subject string, object string")).count() == 0
+
+
+def test_rounds_keep_one_row_a_subject(spark, monkeypatch):
+    """Layers of which each node has all of the next one as parents: pairs and paths are many, and no round writes more rows than there are subjects."""
+    edges = spark.createDataFrame([(f"{k}:{i}", f"{k + 1}:{j}") for k in range(6) for i in range(8) for j in range(8)], "subject string, object string")
+    sizes, keep = [], hierarchy.written
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(hierarchy, "written", counted)
+    assert hierarchy.closure(edges).count() == 8 * 8 * sum(range(7))
+    assert max(sizes) <= 6 * 8 and len(sizes) <= 5
