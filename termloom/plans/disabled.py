@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import blank, canonical, inconsistency, normalized_code
 from ..functions.text import without_fences
 from ..operators.planning import upper_list
-from ..operators.store import written
+from ..operators.store import spread, written
 from ..providers import answered
 from ..schemas import assert_columns
 
@@ -40,6 +40,7 @@ def results(rows: DataFrame, most: int = 5) -> DataFrame:
     their vocabulary, or repeat a code; the first `most` of the others stay, sorted by confidence."""
     text = without_fences(F.col("reply"))
     whole = F.coalesce(F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull(), F.lit(False))
+    rows = spread(rows.select("request_id", "target", "allowed", "reply", "error"))  # reading a reply is heavy
     rows = rows.select("request_id", "reply", "error", whole.alias("whole"), F.from_json(text, REPLY).alias("r"), canonical(F.col("target")).alias("target"), canonical_list(F.col("allowed")).alias("allowed"))
     answer = rows.select(
         "request_id", "reply", "error", "whole", "target", "allowed", F.trim(F.coalesce("r.target_code", F.lit(""))).alias("code"), F.trim(F.coalesce("r.target_term", F.lit(""))).alias("term"),
