@@ -21,3 +21,20 @@ def test_replies_are_read_by_many_tasks(spark, tmp_path):
     got = disabled.results(rows)
     assert tasks(got) > 1
     assert sorted((r.request_id, r.target_code) for r in got.collect()) == [(i, f"HP:{i}") for i in range(400)]
+
+
+def test_rows_without_a_code_dont_meet_in_one_task(spark):
+    rows = spark.createDataFrame([(i, "unmapped" if i % 4 else "mapped", None if i % 3 else f"HP:{i}") for i in range(4000)], "id int, status string, mapped_code string")
+    codes = spark.createDataFrame([(f"HP:{i}",) for i in range(0, 4000, 2)], "code string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(kept, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        out = validate.validated(rows, codes)
+        most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        got = {r.validation_status: r["count"] for r in out.groupBy("validation_status").count().collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert most < 1500  # of 4000 over 8 tasks
+    assert got == {"NOT_APPLICABLE": 4000 - 334, "VALID": 334}
