@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import let
 from .ordering import greatest_before
-from .store import freed, written
+from .store import freed, spread, written
 
 # The fewest and most characters of a short form, the most words in it, and how many words of the text before may belong to it:
 # the lesser of its characters plus five and twice its characters.
@@ -56,7 +56,9 @@ def definitions(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     most = F.least(n + MORE, n * TIMES, F.size("_words"))
     out = out.where(fits & (F.size("_words") > 0))
     last = F.array_join(F.slice("_words", F.size("_words") - most + 1, most), " ")
-    return out.select(*keep, "at", "short", long_form(F.col("short"), last).alias("long")).where("long IS NOT NULL")
+    # the alignment is heavy: pairs are dealt over all tasks first, and written, so that the condition below isn't evaluated before
+    out = written(spread(out.select(*keep, "at", "short", last.alias("_last"))))
+    return out.select(*keep, "at", "short", long_form(F.col("short"), F.col("_last")).alias("long")).where("long IS NOT NULL")
 
 
 def learned(rows: DataFrame, text: str) -> DataFrame:

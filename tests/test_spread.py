@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from termloom.operators import abbreviations, store, validate
+from termloom.operators import abbreviations, summaries, validate
 from termloom.plans import disabled
 
 
@@ -38,3 +38,27 @@ def test_rows_without_a_code_dont_meet_in_one_task(spark):
             spark.conf.set(k, v)
     assert most < 1500  # of 4000 over 8 tasks
     assert got == {"NOT_APPLICABLE": 4000 - 334, "VALID": 334}
+
+
+def test_pairs_are_aligned_by_many_tasks(spark, tmp_path):
+    rows = one_file(spark, tmp_path, [(i, f"alpha beta{i} (AB)") for i in range(400)], "k int, t string")
+    got = abbreviations.definitions(rows, "t", ["k"])
+    assert tasks(got) > 1
+    assert sorted((r.k, r.short, r.long) for r in got.collect()) == [(i, "AB", f"alpha beta{i}") for i in range(400)]
+
+
+def test_a_summary_evaluates_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(i):
+        seen.add(1)
+        return "mapped" if i % 3 else "unmapped"
+
+    i = F.col("id")
+    of = {"mode": F.lit("a"), "status": told(i), **{f"top{k}": i % (k + 1) == 0 for k in (1, 3, 5)}, "rr": i / 90, "recall": i / 90, "mapped_code": F.lit("c"), "was_retrieved": i % 2 == 0, "validation_status": F.lit("VALID")}
+    of |= {"confidence": i / 100, "semantic_correctness": i % 2 == 0, "end_to_end_seconds": i / 10, "llm_seconds": i / 20, "api_cost_usd": i / 1000}
+    rows = spark.range(90).select(*[c.alias(n) for n, c in of.items()])
+    got = summaries.mode_summary(rows, ["mode"]).collect()
+    assert [(r.n, r.mapped_count, r.calibration_n) for r in got] == [(90, 60, 60)]
+    assert seen.value == 90
