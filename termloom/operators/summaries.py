@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.gold import prf
 from ..functions.numbers import rate
 from .ordering import percentiles
+from .store import written
 
 # How a mapping came about, and the metrics that modes are compared by, with their labels.
 LOGIC = ("direct", "rag", "hybrid", "llm")
@@ -169,6 +170,10 @@ def completeness(rows: DataFrame, fields: list[str], by: list[str] | None = None
     return out.select(*by, "field", "present", F.col("_rows").alias("rows"), rate(F.col("present"), F.col("_rows"), empty=0.0).alias("share"))
 
 
+#: What a mode summary reads of its rows.
+MODE_COLUMNS = ("status", "top1", "top3", "top5", "rr", "recall", "mapped_code", "was_retrieved", "validation_status", "confidence", "semantic_correctness", "end_to_end_seconds", "llm_seconds", "api_cost_usd")
+
+
 def mode_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """rows: scored predictions (status, top1, top3, top5, rr, recall, mapped_code, was_retrieved, validation_status, confidence,
     semantic_correctness, end_to_end_seconds, llm_seconds, api_cost_usd). A row a mode with every metric that reports have; those of calibration
@@ -177,6 +182,8 @@ def mode_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     from .score import abstained
 
     by = by or []
+    # written, since totals, percentiles, bins and ranks each read them, and rows may be the result of joins
+    rows = written(rows.select(*dict.fromkeys((*by, *MODE_COLUMNS))))
     n = lambda c: F.count_if(c)
     mapped = F.col("status") == "mapped"
     outcome = lambda s: n(F.col("validation_status") == s)
