@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import normalized_code
+from ..functions.identity import let, normalized_code
 from .decide import ranked
 
 # Where a result keeps what its stages say, and what stands for no source.
@@ -21,7 +21,12 @@ BESIDE = ("pipeline_timings", "pipeline_usage", "retrieval_diagnostics")
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """rows: candidates, decision and any of INSIDE and BESIDE (structs, maps or plain values). rows with payload. Empty maps, and
+    """texts() with the payload as a VARIANT."""
+    return texts(rows).withColumn("payload", F.parse_json("payload"))
+
+
+def texts(rows: DataFrame) -> DataFrame:
+    """rows: candidates, decision and any of INSIDE and BESIDE (structs, maps or plain values). rows with payload as JSON text. Empty maps, and
     diagnostics without a request, are left out as if they were null."""
     has = set(rows.columns)
     types = dict(rows.dtypes)
@@ -35,7 +40,7 @@ def packed(rows: DataFrame) -> DataFrame:
         F.transform("candidates", lambda c: F.struct(*[c[n].alias(n) for n in own])).alias("candidate_score_provenance"), trace.alias("final_ranking_trace"),
     )
     debug = F.struct(F.array(record).alias("candidates_retrieved"), F.size("candidates").alias("top_k"), *[c.alias(n) for n, c in told.items()])
-    return rows.withColumn("payload", F.parse_json(F.to_json(F.struct(debug.alias("rag_debug")))))
+    return rows.withColumn("payload", F.to_json(F.struct(debug.alias("rag_debug"))))
 
 
 def parsed(text: Column) -> Column:
@@ -56,12 +61,13 @@ def evidence(payload: Column, code: Column) -> Column:
     codes = F.transform(F.filter(pairs, lambda p: p.code != ""), lambda p: normalized_code(p.code, p.ontology))
     skipped = F.when(told("retrieval_skipped", "variant").isNotNull(), told("retrieval_skipped", "boolean")).otherwise(told("retrieval_trace.retrieval_skipped", "boolean"))
     false = F.lit(False)
-    found = F.struct(
+    # codes are made once, as three fields are read from them
+    found = lambda codes: F.struct(
         F.coalesce(told("is_grounded", "boolean"), false).alias("is_grounded"), F.coalesce(F.nullif(told("grounding_source", "string"), F.lit("")), F.lit(NO_SOURCE)).alias("grounding_source"),
         F.coalesce(skipped, false).alias("retrieval_skipped"), codes.alias("candidate_codes"), F.coalesce(told("candidate_count", "int"), F.size(codes)).alias("candidate_count"),
         F.coalesce(F.array_contains(codes, code), false).alias("selected_code_was_retrieved"),
     )
-    return F.when(payload.isNotNull(), found)
+    return F.when(payload.isNotNull(), let(codes, found))
 
 
 def trace(rows: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:

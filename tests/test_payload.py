@@ -42,3 +42,9 @@ def test_evidence(spark):
     assert got[2:6] == [default] * 4
     assert got[6:] == [None] * 3
     assert [r[0] for r in df.where("k = 0").select(P.evidence(P.parsed(F.col("t")), F.lit(None).cast("string"))["selected_code_was_retrieved"]).collect()] == [False]
+
+
+def test_codes_of_a_payload_are_made_once(spark):
+    e = P.evidence(F.col("payload"), F.lit("HP:1"))
+    plan = spark.createDataFrame([("{}",)], "t string").select(P.parsed(F.col("t")).alias("payload")).select(e.alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("candidate_score_provenance, ArrayType") == 1, plan.count("candidate_score_provenance, ArrayType")
