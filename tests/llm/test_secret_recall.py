@@ -91,3 +91,29 @@ def test_many_windows_are_coded_like_one():
     text = f"x é token=abc/def12345 {'Q' * 130} {'ab' * 4}{'0123456789abcdef' * 2}Zz99 end 😀abcdefghijk"
     found = [w for a, b, _ in secrets.candidates(text, secrets.base(text)) for w in secrets.windows(a, b)]
     assert (secrets.coded(secrets.numbers(text), found) == np.stack([secrets.codes(text, a, b) for a, b in found])).all()
+
+
+def test_every_finding_is_learned_from_in_any_order(spark, monkeypatch):
+    import zlib
+
+    dice = random.Random(4)
+    plain = lambda: "".join(dice.choice("abdeilnorstu") for _ in range(dice.randint(10, 14)))
+    rows = [(i, " ".join(plain() for _ in range(150)) + f" token={key(9)}1") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    every = [(t[a:b], inside) for _, t in rows for a, b, inside in secrets.candidates(t, secrets.base(t)) if inside or not secrets.looks_random(t[a:b])]
+    held = [inside for word, inside in every if zlib.crc32(word.encode()) % 5 == 0]
+    monkeypatch.setattr(secrets, "SHARE", 8_000, raising=False)  # four shares
+    model = secrets.train(docs)
+    assert model.held[2:] == (sum(held), len(held) - sum(held)) and model.held[3] > 5_000
+    assert model.held[0] > 0.9
+    again = secrets.train(docs.repartition(5))
+    assert again.threshold == model.threshold and (again.conv == model.conv).all()
+
+
+def test_rare_label_is_in_every_share(spark):
+    import numpy as np
+
+    rows = [(str(i), 0, 0, 3 if i < 3 else 0, i, 1, bytes(secrets.BEFORE + secrets.WINDOW + secrets.AFTER)) for i in range(150_000)]
+    fit = spark.createDataFrame(rows, "id string, start int, at int, kind int, crc bigint, n int, code binary")
+    got = [np.frombuffer(r.kind, np.uint8) for r in secrets.shared(fit, {0: 149_997, 1: 3}).select("kind").collect()]
+    assert len(got) == 3 and sum((k == 0).sum() for k in got) == 149_997 and all((k == 3).sum() == 3 for k in got)
