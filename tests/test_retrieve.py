@@ -71,3 +71,37 @@ def test_index_is_exact_skips_clusters_and_is_read_again(spark, tmp_path):
         assert got == sorted((q, p, i, lab, c) for q, i, lab, c, p in loop(wanted, 6))
     assert built.skipped(queries, 6) > 0.7
     assert "CartesianProduct" not in built.search(queries, 6)._jdf.queryExecution().toString()
+
+
+def test_memory_of_placing_rows_does_not_grow_with_centres(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from termloom.operators import vector_index
+
+    x = np.random.default_rng(5).normal(size=(8000, 16))
+    peaks = []
+    for n in (32, 1024):
+        got = vector_index.assigned(Batches(x), {16: vector_index.unit(x[:n])})
+        tracemalloc.start()
+        out = pa.Table.from_batches(list(got))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        far = vector_index.distances(vector_index.unit(x), vector_index.unit(x[:n]))
+        assert (out["cluster"].to_numpy() == far.argmin(1)).all() and np.allclose(out["away"].to_numpy(), far.min(1), atol=1e-6)
+    assert peaks[1] < 3 * peaks[0] and peaks[1] < 40e6, peaks
+
+
+class Batches:
+    """Rows that run a task's function here, over one batch of all of them."""
+
+    def __init__(self, x):
+        import pyarrow as pa
+        from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+        self.schema = StructType([StructField("vec", ArrayType(DoubleType()))])
+        self.batch = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64()))], ["vec"])
+
+    def mapInArrow(self, run, schema):
+        return run(iter([self.batch]))
