@@ -27,6 +27,11 @@ def lowered(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
+def lowered_word(c: Column) -> Column:
+    """As lowered(), quicker for words in ASCII."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(lowered(c))
+
+
 def long_form(short: Column, before: Column) -> Column:
     """The end of before (words with single spaces) that short stands for; null if none does."""
     # a space for all but letters and digits, and one at the end, so that a letter and a space is a letter that starts a word
@@ -43,18 +48,20 @@ def long_form(short: Column, before: Column) -> Column:
 
 def definitions(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """keep, at (the place among the text's parentheses), short and long, as written."""
-    # an opening parenthesis with the piece before it, from its last closing one on; a text is split once, however many it has
-    before = lambda p, i: F.substring_index(F.get(p, i), ")", -1)
-    pairs = lambda p: F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("inside"), before(p, i).alias("before")))
-    opened = let(F.split(F.col(text), r"\("), pairs)
-    out = rows.select(*keep, F.posexplode(opened).alias("at", "x"))
-    short = F.regexp_extract("x.inside", rf"^([^()]{{{SHORTEST},{LONGEST}}})\)", 1)
+    # an opening parenthesis with the piece before it, from its last closing one on; a text is split once, however many it has, and of a
+    # piece only the last words are looked at, from its end
+    short = lambda x: F.regexp_extract(F.left(x, F.lit(LONGEST + 1)), rf"^([^()]{{{SHORTEST},{LONGEST}}})\)", 1)
+    fits = lambda s: s.rlike(r"^[\p{L}\p{N}]") & s.rlike(r"\p{L}") & (F.size(F.split(s, _SPACE)) <= WORDS)
+    opening = lambda p: F.filter(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: F.struct(i.alias("at"), short(x).alias("short"))), lambda x: fits(x.short))
+    few = rf"^[ \t\r\n]*+(?:[^ \t\r\n]++[ \t\r\n]*+){{1,{LONGEST + MORE}}}+"
+    before = lambda p, i: F.reverse(F.regexp_extract(F.reverse(F.substring_index(F.get(p, i), ")", -1)), few, 0))
+    opened = let(F.split(F.col(text), r"\("), lambda p: F.transform(opening(p), lambda x: F.struct(x.at.alias("at"), x.short.alias("short"), before(p, x.at).alias("before"))))
+    out = rows.select(*keep, F.explode(opened).alias("x"))
     words = F.filter(F.split("x.before", _SPACE), lambda w: w != "")
-    out = out.select(*keep, "at", short.alias("short"), words.alias("_words"))
-    fits = F.col("short").rlike(r"^[\p{L}\p{N}]") & F.col("short").rlike(r"\p{L}") & (F.size(F.split("short", _SPACE)) <= WORDS)
+    out = out.select(*keep, "x.at", "x.short", words.alias("_words"))
     n = F.length("short")
     most = F.least(n + MORE, n * TIMES, F.size("_words"))
-    out = out.where(fits & (F.size("_words") > 0))
+    out = out.where(F.size("_words") > 0)
     last = F.array_join(F.slice("_words", F.size("_words") - most + 1, most), " ")
     # the alignment is heavy: pairs are dealt over all tasks first, and written, so that the condition below isn't evaluated before
     out = written(spread(out.select(*keep, "at", "short", last.alias("_last"))))
@@ -74,9 +81,10 @@ def expanded(rows: DataFrame, text: str, order: str) -> DataFrame:
     third of all rows use is spread over ranges. Of the words, those that no row defines stay where they are while short forms are FEW."""
     found = written(definitions(rows, text, [order]).withColumn("short", lowered(F.col("short"))))
     last = found.groupBy("short", order).agg(F.max_by("long", "at").alias("long"))
-    words = F.array_distinct(F.regexp_extract_all(lowered(F.col(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    # distinct words first: a text has its words several times; those that differ in case alone are one below
+    words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     words = F.filter(words, lambda w: F.length(w).between(SHORTEST, LONGEST))
-    uses = rows.select(order, F.explode(words).alias("short"))
+    uses = rows.select(order, F.explode(words).alias("short")).select(order, lowered_word(F.col("short")).alias("short"))
     shorts = found.select("short").distinct()
     if shorts.count() <= FEW:
         shorts = F.broadcast(shorts)

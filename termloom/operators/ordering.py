@@ -17,7 +17,13 @@ def ranged(df: DataFrame, by: str, ranges: int | None = None) -> DataFrame:
     ranges = ranges or max(RANGES, df.count() // RANGE_ROWS)
     cuts = sorted(set(df.stat.approxQuantile(by, [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
     held = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>") if cuts else F.array().cast("array<double>")
-    return df.withColumn("_range", F.size(F.filter(held, lambda c: c < F.col(by))))
+    return df.withColumn("_range", below(held, len(cuts), F.col(by)))
+
+
+def below(held: Column, n: int, value: Column) -> Column:
+    """How many of n numbers in order are less than value, by halving: the steps of a row grow with the logarithm of n."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < value, at + step).otherwise(at))
 
 
 def numbered(df: DataFrame, by: str, then: list[str], name: str, ranges: int | None = None) -> DataFrame:

@@ -68,3 +68,26 @@ def test_rows_see_what_was_before(spark):
     assert got == [(2, "bmi", "body mass index"), (3, "bmi", "body mass index"), (4, "bm", "best mates"), (4, "bmi", "big money inside")]
     assert sorted(tuple(r) for r in A.expanded(rows.repartition(5), "t", "k").collect()) == got
     assert A.expanded(rows.limit(0), "t", "k").count() == 0
+
+
+def test_ranges_are_found_by_halving(spark):
+    from pyspark.sql import functions as F
+
+    from termloom.operators import ordering
+
+    for n in (0, 1, 2, 31, 32, 700):
+        cuts = [float(3 * k) for k in range(n)]
+        held = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+        df = spark.createDataFrame([(None,), (float("nan"),), *((x / 2,) for x in range(-3, 6 * n + 3, 5))], "x double")
+        plain = F.size(F.filter(held, lambda c: c < F.col("x")))
+        assert df.where(ordering.below(held, n, F.col("x")) != plain).count() == 0 and df.where(ordering.below(held, n, F.col("x")).isNull()).count() == 0
+
+
+def test_work_of_a_row_does_not_grow_with_ranges(spark):
+    from termloom.operators import ordering
+
+    df = ordering.ranged(spark.range(3000).withColumnRenamed("id", "x"), "x", 300).selectExpr("transform(array(_range), r -> r) AS r")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter([" not in plan
+    at = [r.r[0] for r in df.collect()]
+    assert at == sorted(at) and at[0] == 0 and 250 < at[-1] < 300
