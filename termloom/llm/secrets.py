@@ -168,8 +168,8 @@ def begun(seed: int = 1) -> list[np.ndarray]:
     return [p.astype(np.float32) for p in net] + [np.full(p.shape, 1e-3, np.float32) for p in net]
 
 
-def visits(x: np.ndarray, n: np.ndarray, kind: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """What a share is read as: coded windows and weights, in batches one after another. Each batch has windows of every kind, and each window comes once at
+def visits(kind: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a share is read: windows, whose contexts they get, and a batch's weights, in batches one after another. Each batch has windows of every kind, and each window comes once at
     least, half of the times in the context of another that is no secret: the network has to judge the candidate as well."""
     own = [np.flatnonzero(kind == k) for k in range(4)]
     own = [k for k in own if len(k)]
@@ -183,7 +183,7 @@ def visits(x: np.ndarray, n: np.ndarray, kind: np.ndarray, rng: np.random.Genera
     i = i.ravel()
     others = np.flatnonzero(kind < 2)
     j = np.where(rng.random(len(i)) < 0.5, i, others[rng.integers(len(others), size=len(i))]) if len(others) else i
-    return together(x, n, i, j), weight * (2 * label - 1)
+    return i, j, weight * (2 * label - 1)
 
 
 def together(x: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -197,26 +197,28 @@ def together(x: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def learn(net: list[np.ndarray], x: np.ndarray, weight: np.ndarray, rate: float = 0.02) -> list[np.ndarray]:
-    """Goes on from a network over batches as visits() gives them (a secret's weight is positive): stochastic gradient descent with adaptive steps (Adagrad)."""
+def learn(net: list[np.ndarray], x: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray, rate: float = 0.02) -> list[np.ndarray]:
+    """Goes on from a network over batches as visits() gives them, some of which are coded at once (a secret's weight is positive): stochastic gradient descent with adaptive steps (Adagrad)."""
     conv, shift, dense, bias, *seen = [p.copy() for p in net]
     seen = [p * p for p in seen]
     m, places = len(weight), x.shape[1] - WIDTH + 1
     y, mass = weight > 0, np.abs(weight)
     f, rows = np.arange(FILTERS)[None, :], np.arange(m)[:, None]
-    for a in range(0, len(x), m):
-        k = x[a : a + m]
+    for a in range(0, len(i), m):
+        if a % (16 * m) == 0:
+            some = together(x, n, i[a : a + 16 * m], j[a : a + 16 * m])
+        k = some[a % (16 * m) :][:m]
         out = conv[0][k[:, :places]]
-        for j in range(1, WIDTH):
-            out += conv[j][k[:, j : j + places]]
+        for w in range(1, WIDTH):
+            out += conv[w][k[:, w : w + places]]
         at = out.argmax(1)
         top = np.take_along_axis(out, at[:, None], 1)[:, 0] + shift
         h = np.maximum(top, 0)
         d = (1 / (1 + np.exp(-np.clip((h * dense).sum(1) + bias, -40, 40))) - y) * mass
         back = (d[:, None] * dense * (top > 0)).ravel()
         g = np.empty_like(conv)
-        for j in range(WIDTH):
-            g[j] = np.bincount((k[rows, at + j] * FILTERS + f).ravel(), back, CODES * FILTERS).reshape(CODES, FILTERS)
+        for w in range(WIDTH):
+            g[w] = np.bincount((k[rows, at + w] * FILTERS + f).ravel(), back, CODES * FILTERS).reshape(CODES, FILTERS)
         for p, grad, s in ((conv, g, seen[0]), (shift, back.reshape(m, -1).sum(0), seen[1]), (dense, (h * d[:, None]).sum(0), seen[2]), (bias, d.sum(), seen[3])):
             s += grad * grad
             p -= rate * grad / np.sqrt(s)
@@ -276,10 +278,10 @@ def round_of(shares: DataFrame, net: list[np.ndarray], number: int) -> list[np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 kind, n = (np.frombuffer(r[c], np.uint8).astype(int) for c in ("kind", "n"))
                 rng = np.random.default_rng([r["share"], number])
-                got = learn(held.value, *visits(np.frombuffer(r["code"], np.uint8).reshape(len(n), -1), n, kind, rng))
+                got = learn(held.value, np.frombuffer(r["code"], np.uint8).reshape(len(n), -1), n, *visits(kind, rng))
                 sums = np.concatenate([[1], *[np.rint(p.ravel() * FIXED) for p in got]]).astype("<i8")
                 yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
@@ -300,7 +302,8 @@ def held_scores(held: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
             x = np.frombuffer(b"".join(found[a : a + PART_ROWS]), np.uint8).reshape(len(n), -1)
             every = np.arange(len(n))
             z = np.floor(np.clip(model.value.raw(together(x, n, every, every)), -TOP, TOP) * STEPS).astype(int)
-            yield from zip(ids[a:], starts[a:], (k // 2 for k in kinds[a:]), crcs[a:], z.tolist(), strict=False)
+            b = a + PART_ROWS
+            yield from zip(ids[a:b], starts[a:b], [k // 2 for k in kinds[a:b]], crcs[a:b], z.tolist(), strict=True)
 
     each = map_batches(held.select("id", "start", "kind", "crc", "n", "code"), run, "id string, start int, label int, crc bigint, z int")
     got = each.groupBy("id", "start", "crc").agg(F.max("z").alias("z"), F.max("label").alias("label")).groupBy("z", "label").agg(F.count("*").alias("many")).orderBy("z", "label").collect()
