@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, remembered
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pieces that a worker remembers; then it starts anew.
@@ -110,16 +110,9 @@ class Coder(dict):
         return out
 
 
-_coders: dict[tuple, Coder] = {}
-
-
 def coder(content: bytes, pattern: str) -> Coder:
     """One coder a worker and vocabulary."""
-    key = (len(content), hash(content), pattern)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(content, pattern)
-    return _coders[key]
+    return remembered((Coder, len(content), hash(content), pattern), lambda: Coder(content, pattern))
 
 
 def encode(

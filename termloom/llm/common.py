@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,44 @@ def map_batches(df: DataFrame, of: Callable[[list], Iterable[tuple]], schema: st
     return df.mapInArrow(run, schema)
 
 
+def map_texts(of: Callable[[list], Iterable], kind: str) -> Callable[[str | Column], Column]:
+    """A column function over texts: of() gets slices of them as a Python list and gives a value of the kind for each. Only a slice
+    is held as Python objects, and not a whole Arrow batch."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return mapped(texts, of, arrow)
+
+    return run
+
+
+def mapped(texts: pa.Array, of: Callable[[list], Iterable], kind: pa.DataType) -> pa.Array:
+    """What of() gives for each of the texts, which it gets in slices."""
+    parts = slices(pa.RecordBatch.from_arrays([texts], ["text"]))
+    return pa.concat_arrays([pa.array([], kind), *[pa.array(list(of(p.column(0).to_pylist())), kind) for p in parts]])
+
+
+_remembered: dict[Hashable, Any] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from one batch or task to the next: only what was asked for last, since a worker serves
+    one stage after another and would end up with what all of them keep."""
+    if key not in _remembered:
+        forget()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def forget() -> None:
+    """For tasks that keep nothing themselves, and need the room."""
+    _remembered.clear()
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

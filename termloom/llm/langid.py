@@ -17,12 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, map_texts, remembered, stored
 
 BUCKETS, DIM, EPOCHS = 1 << 16, 16, 6
 #: Learned from: about so many documents a language.
@@ -156,29 +155,21 @@ def language(docs: DataFrame, model: Model, text: str | Column) -> Column:
     """A struct column: lang_pred string, score double, rejected boolean."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def of(texts: list) -> Iterator[tuple]:
         m = shared.value
         known = words_for(m)
-        out = []
         for t in texts:
             found = words_of(t.lower()) if t is not None else []
             if not found or not m.languages:
-                out.append((UNKNOWN, 0.0, True))
+                yield UNKNOWN, 0.0, True
                 continue
             p = softmax(m.logits(known.total(found)) / m.temperature)
             k = int(p.argmax())
-            out.append((m.languages[k], float(p[k]), bool(p[k] < m.reject)))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+            yield m.languages[k], float(p[k]), bool(p[k] < m.reject)
 
-    return of(text)
-
-
-_words: list[Words] = []
+    return map_texts(of, "lang_pred string, score double, rejected boolean")(text)
 
 
 def words_for(model: Model) -> Words:
     """One memory a worker and model."""
-    if not _words or _words[0].model is not model:
-        _words[:] = [Words(model)]
-    return _words[0]
+    return remembered((Words, id(model)), lambda: Words(model))  # which holds the model, so that no other gets its number

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, map_batches, slices, stored
+from .common import freed, map_batches, remembered, slices, stored
 from .graph import components
 from .neighbours import settle
 
@@ -50,7 +50,6 @@ class Words(dict):
         return out
 
 
-_words = Words()
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -66,7 +65,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(remembered(Words, Words).__getitem__, found), np.uint64, len(found))
     n = min(width, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):

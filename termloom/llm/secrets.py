@@ -19,18 +19,18 @@ gives an empty result; columns other than the text (in training the id, too) are
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, map_batches, stored
+from .common import forget, freed, map_batches, map_texts, stored
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -230,6 +230,7 @@ def findings(rows: DataFrame) -> DataFrame:
     label, and 1 with a digit), crc (of the candidate's text), n (the window's length), code (what the network reads, a byte a character)."""
 
     def run(columns: list) -> Iterator[tuple]:
+        forget()
         for i, text, said in zip(*columns, strict=True):
             text = text or ""
             places, told = [], []
@@ -273,19 +274,32 @@ def shared(fit: DataFrame, count: dict[int, int]) -> DataFrame:
 
 
 def round_of(shares: DataFrame, net: list[np.ndarray], number: int) -> list[np.ndarray]:
-    """The mean of the networks that the shares learn, each going on from net. Sums are whole numbers, so their order changes nothing."""
+    """The mean of the networks that the shares learn, each going on from net. Sums are whole numbers, so their order changes nothing; they are
+    added up in each task, then in groups of tasks, of which there are as many as a group has tasks."""
     held, sizes = shares.sparkSession.sparkContext.broadcast(net), [p.size for p in net]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        total = None
         for batch in batches:
             for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 kind, n = (np.frombuffer(r[c], np.uint8).astype(int) for c in ("kind", "n"))
                 rng = np.random.default_rng([r["share"], number])
                 got = learn(held.value, np.frombuffer(r["code"], np.uint8).reshape(len(n), -1), n, *visits(kind, rng))
-                sums = np.concatenate([[1], *[np.rint(p.ravel() * FIXED) for p in got]]).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+                own = np.concatenate([[1], *[np.rint(p.ravel() * FIXED) for p in got]]).astype("<i8")
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    sums = shares.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r.sums), "<i8")).treeReduce(np.add)
+    def added(rows: list[bytes]) -> np.ndarray:
+        return np.sum([np.frombuffer(x, "<i8") for x in rows], 0)
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"sums": pa.array([added(table.column("sums").to_pylist()).tobytes()], pa.binary())})
+
+    groups = math.ceil(math.sqrt(shares.rdd.getNumPartitions()))
+    each = shares.mapInArrow(run, "sums binary").withColumn("part", F.spark_partition_id() % groups)
+    sums = added([bytes(r.sums) for r in each.groupBy("part").applyInArrow(add, "sums binary").collect()])
     mean = np.split(sums[1:] / (FIXED * sums[0]), np.cumsum(sizes)[:-1])
     return [m.reshape(p.shape).astype(np.float32) for m, p in zip(mean, net, strict=True)]
 
@@ -396,22 +410,23 @@ def secret_spans(docs: DataFrame, model: Model | None, text: str | Column) -> Co
     """A column: an array of structs kind string, start int, end int, score double."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<struct<kind: string, start: int, end: int, score: double>>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in found] for found in spans_of(texts, held.value)])
+    def of(texts: list) -> Iterator[list]:
+        forget()
+        return spans_of(texts, held.value)
 
-    return of(text)
+    return map_texts(of, "array<struct<kind: string, start: int, end: int, score: double>>")(text)
 
 
 def redacted(docs: DataFrame, model: Model | None, text: str | Column, mark: str = "[SECRET]") -> Column:
     """A column: the text with each stretch of findings replaced by the mark; null stays null."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, [(s, e) for _, s, e, _ in found], mark) for t, found in zip(texts, spans_of(texts, held.value), strict=True)], dtype=object)
+    def of(texts: list) -> Iterator[str | None]:
+        forget()
+        for t, found in zip(texts, spans_of(texts, held.value), strict=True):
+            yield redact(t, [(s, e) for _, s, e, _ in found], mark)
 
-    return of(text)
+    return map_texts(of, "string")(text)
 
 
 def redact(text: str | None, found: list[tuple[int, int]], mark: str) -> str | None:
